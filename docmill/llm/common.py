@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,3 +61,8 @@ def fold(c: Column, modulus: int) -> Column:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def worker_store() -> dict:
+    """A dictionary that lives as long as the Python process: what one task has read or built, later tasks reuse."""
+    return vars(sys.modules.setdefault("_docmill_worker", types.ModuleType("_docmill_worker")))
