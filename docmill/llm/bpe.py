@@ -8,8 +8,8 @@ by a scan: compose within blocks of ``BLOCK`` positions for all start states at
 once, combine the blocks' functions by doubling, then walk all blocks together.
 A token begins where the (state, class) table says so.
 
-Each slice is encoded by merging its bytes pairwise, lowest rank first, with a
-bounded cache. Offsets of the slices and of the ids in the text's bytes are
+Each slice is encoded by merging its bytes pairwise, lowest rank first (the
+library's merge, given one slice at a time), with a bounded cache. Offsets of the slices and of the ids in the text's bytes are
 kept, so any range of ids decodes to an exact range of bytes.
 
 Edge cases: a null text counts as empty, an empty text has no ids; lone
@@ -21,9 +21,9 @@ columns of the input are not read.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
-import heapq
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -60,6 +60,11 @@ def _machine() -> tuple[np.ndarray, np.ndarray]:
 
 
 _GOES, _BEGINS = _machine()
+_GOES_TABLE, _BEGINS_TABLE = (x.astype(np.uint8).tobytes().ljust(256, b"\0") for x in (_GOES, _BEGINS))
+
+
+def _look(at: np.ndarray, by_byte: bytes) -> np.ndarray:
+    return np.frombuffer(at.tobytes().translate(by_byte), np.uint8).reshape(at.shape)
 
 
 def class_table() -> np.ndarray:
@@ -111,9 +116,8 @@ def token_starts(c: np.ndarray) -> np.ndarray:
     grid[:n] = c
     grid = np.ascontiguousarray(grid.reshape(blocks, BLOCK).T)
     whole = np.broadcast_to(np.arange(9, dtype=np.uint8), (blocks, 9))
-    flat = _GOES.ravel()
     for row in grid:
-        whole = flat[row[:, None] * np.uint8(9) + whole]
+        whole = _look(row[:, None] * np.uint8(9) + whole, _GOES_TABLE)
     # inclusive scan over blocks: after step k, whole[i] is the composition of blocks i-2k+1 .. i
     step = 1
     while step < blocks:
@@ -125,8 +129,8 @@ def token_starts(c: np.ndarray) -> np.ndarray:
     begins = np.empty((BLOCK, blocks), bool)
     for j, row in enumerate(grid):
         at = row * np.uint8(9) + state
-        begins[j] = _BEGINS.ravel()[at]
-        state = flat[at]
+        begins[j] = _look(at, _BEGINS_TABLE)
+        state = _look(at, _GOES_TABLE)
     return np.flatnonzero(begins.T.ravel()[:n])
 
 
@@ -149,7 +153,7 @@ def slices(text: str, by_cp: np.ndarray):
                 continue
             end = cuts.pop()
         size = WINDOW
-        yield from map(piece.__getitem__, map(slice, cuts, chain(islice(cuts, 1, None), (end,))))
+        yield from [piece[a:b] for a, b in zip(cuts, [*cuts[1:], end])]
         at += end
 
 
@@ -160,7 +164,7 @@ def slices_of(texts: list[str], by_cp: np.ndarray) -> list[list[str]]:
     starts = token_starts(classes(np.frombuffer(joined.encode("utf-32-le"), np.uint32), by_cp, breaks))
     firsts = np.searchsorted(starts, breaks).tolist()
     cuts = starts.tolist()
-    pieces = list(map(joined.__getitem__, map(slice, cuts, [*cuts[1:], len(joined)])))
+    pieces = [joined[a:b] for a, b in zip(cuts, [*cuts[1:], len(joined)])]
     out, at = [], 0
     for end in firsts:  # pieces[end] is the break itself
         out.append(pieces[at:end])
@@ -168,52 +172,6 @@ def slices_of(texts: list[str], by_cp: np.ndarray) -> list[list[str]]:
     return [*out, pieces[at:]]
 
 
-def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    get, none = ranks.get, 1 << 40
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
-    while pairs and (least := min(pairs)) < none:
-        i = pairs.index(least)
-        parts[i] += parts.pop(i + 1)
-        pairs.pop(i)
-        if i:
-            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
-        if i < len(pairs):
-            pairs[i] = get(parts[i] + parts[i + 1], none)
-    return [ranks[x] for x in parts]
-
-
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one slice: the adjacent pair of lowest rank (leftmost among equals) is joined until none is known."""
-    if (whole := ranks.get(piece)) is not None:
-        return [whole]
-    n = len(piece)
-    if n <= 48:
-        return _merge_short(piece, ranks)
-    ends = list(range(1, n + 1))  # end of the part that begins at i
-    back = list(range(-1, n - 1))
-    alive = [True] * n
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, end = heapq.heappop(heap)
-        if not alive[i] or (j := ends[i]) >= n or ends[j] != end:
-            continue
-        alive[j] = False
-        ends[i] = end
-        if end < n:
-            back[end] = i
-            if (r := ranks.get(piece[i : ends[end]])) is not None:
-                heapq.heappush(heap, (r, i, ends[end]))
-        if (b := back[i]) >= 0 and (r := ranks.get(piece[b:end])) is not None:
-            heapq.heappush(heap, (r, b, end))
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : ends[i]]])
-        i = ends[i]
-    return out
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -223,15 +181,22 @@ class Codec:
     """Encoder and decoder of one vocabulary, with a bounded cache of slices."""
 
     def __init__(self, path: str):
+        import tiktoken
+
         self.ranks = read_ranks(path)
-        self.bytes = {i: b for b, i in self.ranks.items()}
+        self.bytes = [b""] * (max(self.ranks.values()) + 1)
+        for b, i in self.ranks.items():
+            self.bytes[i] = b
+        self.decimal = [str(i) for i in range(len(self.bytes))]
+        #: merges the whole of what it is given: the slices are cut here, by the scan
+        self.merge = tiktoken.Encoding("slices", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
         self.by_cp = class_table()
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def _new(self, piece: str) -> tuple[int, ...]:
         if len(self.cache) >= CACHE:
             self.cache.clear()
-        ids = tuple(merge(piece.encode(), self.ranks))
+        ids = tuple(self.merge(piece))
         if len(piece) <= 64:
             self.cache[piece] = ids
         return ids
@@ -270,6 +235,7 @@ class Codec:
 def codec(path: str) -> Codec:
     """The vocabulary's codec, made once for each Python process."""
     store = worker_store()
+    gc.disable()  # millions of small acyclic objects: collecting cycles would only cost time
     if ("codec", path) not in store:
         store["codec", path] = Codec(path)
     return store["codec", path]
@@ -323,7 +289,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
             counts, encoded, decoded = [], [], []
             for ids in c.encode_all(b.column(1).to_pylist()):
                 counts.append(len(ids))
-                encoded.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                encoded.append(hashlib.sha256(",".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
