@@ -1,13 +1,15 @@
 """The training-data queries and, where SQL can express them, their SQL."""
 
-from docmill.llm import bpe, language, mixing, url_rules
+from docmill.llm import bpe, language, mixing, secrets, toxicity, url_rules
 
 
 def queries():
     return {
         "op2_language": language.op2_language,
+        "op3_secrets": secrets.op3_secrets,
         "op4_bpe": bpe.op4_bpe,
         "op5_mixing": mixing.op5_mixing,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op9_url_rules": url_rules.op9_url_rules,
     }
 
