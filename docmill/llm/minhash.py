@@ -219,8 +219,9 @@ def _linked_by_difference(stars: DataFrame, percent: int) -> DataFrame:
 
     def run(t):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        side = [t.filter(pa.compute.equal(t["left"], flag)) for flag in (True, False)]
+        side = [t.filter(pc.equal(t["left"], flag)) for flag in (True, False)]
         ids = [s["id"].to_numpy() for s in side]
         n = [s["n"].to_numpy() for s in side]
         deltas = [[np.frombuffer(d, np.uint64) for d in s["delta"].to_pylist()] for s in side]
@@ -239,8 +240,9 @@ def _candidates_of_rest(members: DataFrame, signatures: DataFrame) -> DataFrame:
 
     def run(t):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        side = [t.filter(pa.compute.equal(t["left"], flag)) for flag in (True, False)]
+        side = [t.filter(pc.equal(t["left"], flag)) for flag in (True, False)]
         ids = [s["id"].to_numpy() for s in side]
         s = [np.frombuffer(b"".join(x["signature"].to_pylist()), np.uint32).reshape(-1, HASHES) for x in side]
         near = (s[0][:, None, :] == s[1][None, :, :]).mean(2) >= RULES_OUT_LINK
