@@ -10,8 +10,8 @@
    cannot be linked with any of A; those between (B) can.
 4. Rest, exactly. B meets A and B of its leader in blocks that compare
    differences from the leader (small, and enough to know any two sets' similarity).
-   C meets B and C of its bucket in blocks of signatures, and pairs that may be
-   similar are verified on full sets. Blocks hold about ``CHUNK`` sets to a side and
+   C meets B and C of its bucket in blocks that compare signatures and, where those
+   leave a pair open, full sets. Blocks hold about ``CHUNK`` sets to a side and
    return forests, so neither a bucket nor all its pairs are ever in one place.
 5. Components by large-star and small-star.
 
@@ -233,10 +233,9 @@ def _linked_by_difference(stars: DataFrame, percent: int) -> DataFrame:
     return forest(blocks.groupBy("leader", "i", "j").applyInArrow(run, "u bigint, v bigint"))
 
 
-def _candidates_of_rest(members: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs of a C with a B or C of one bucket that the signatures do not rule out."""
-    rest = members.where("status <> 'A'").join(signatures, "id")
-    blocks = _blocks(rest, ["band", "key"], "status = 'C'", "status <> 'A'", ["signature"])
+def _linked_in_rest(rest: DataFrame, percent: int) -> DataFrame:
+    """Edges between a C and a B or C of one bucket: signatures first, then full sets, within blocks."""
+    blocks = _blocks(rest, ["band", "key"], "status = 'C'", "status <> 'A'", ["signature", "hashes"])
 
     def run(t):
         import pyarrow as pa
@@ -245,12 +244,18 @@ def _candidates_of_rest(members: DataFrame, signatures: DataFrame) -> DataFrame:
         side = [t.filter(pc.equal(t["left"], flag)) for flag in (True, False)]
         ids = [s["id"].to_numpy() for s in side]
         s = [np.frombuffer(b"".join(x["signature"].to_pylist()), np.uint32).reshape(-1, HASHES) for x in side]
+        sets = [[np.frombuffer(h, np.uint64) for h in x["hashes"].to_pylist()] for x in side]
+        size = [np.array([len(x) for x in y]) for y in sets]
         near = (s[0][:, None, :] == s[1][None, :, :]).mean(2) >= RULES_OUT_LINK
-        i, j = np.nonzero(near & (ids[0][:, None] != ids[1][None, :]))
-        x, y = np.minimum(ids[0][i], ids[1][j]), np.maximum(ids[0][i], ids[1][j])
-        return pa.table({"x": pa.array(y, pa.int64()), "y": pa.array(x, pa.int64())})
+        near &= _similar(np.minimum(size[0][:, None], size[1][None, :]), np.maximum(size[0][:, None], size[1][None, :]), percent)
+        found = []
+        for i, j in zip(*np.nonzero(near & (ids[0][:, None] != ids[1][None, :]))):
+            inter = len(np.intersect1d(sets[0][i], sets[1][j], assume_unique=True))
+            if _similar(inter, size[0][i] + size[1][j] - inter, percent):
+                found.append((ids[0][i], ids[1][j]))
+        return pa.table({k: pa.array([f[n] for f in found], pa.int64()) for n, k in enumerate("uv")})
 
-    return blocks.groupBy("band", "key", "i", "j").applyInArrow(run, "x bigint, y bigint").distinct()
+    return forest(blocks.groupBy("band", "key", "i", "j").applyInArrow(run, "u bigint, v bigint"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -270,16 +275,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialize(full_sets(docs, may.select(F.explode(F.array("x", "y")).alias("id")).distinct(), id_col, text_col).dropDuplicates(["id"]), "mh-sets")
     stars = materialize(verified(may, sets, percent), "mh-stars")
     status = estimate.join(stars.select("x", "y", "status"), ["x", "y"], "left").select(F.col("x").alias("id"), F.col("y").alias("leader"), F.coalesce("status", F.lit("C")).alias("status"))
-    rest = materialize(_candidates_of_rest(member.join(materialize(status, "mh-status"), ["id", "leader"]), signatures).join(estimate.where("may").select("x", "y"), ["x", "y"], "left_anti"), "mh-rest")
-    more = full_sets(docs, rest.select(F.explode(F.array("x", "y")).alias("id")).distinct(), id_col, text_col).dropDuplicates(["id"])
-    late = verified(rest, materialize(more, "mh-sets"), percent)
+    placed = materialize(member.join(materialize(status, "mh-status"), ["id", "leader"]).where("status <> 'A'"), "mh-placed")
+    busy = placed.groupBy("band", "key").agg(F.count_if(F.col("status") == "C").alias("c"), F.count("*").alias("all")).where("c > 0 AND all > 1").select("band", "key")
+    rest = materialize(placed.join(busy, ["band", "key"]), "mh-rest")
+    others = materialize(full_sets(docs, rest.select("id").distinct(), id_col, text_col).dropDuplicates(["id"]), "mh-sets")
+    late = _linked_in_rest(rest.join(signatures, "id").join(others, "id"), percent)
     star_edges = stars.where("status = 'A'").select(F.col("x").alias("u"), F.col("y").alias("v"))
-    edges = star_edges.unionByName(_linked_by_difference(stars, percent)).unionByName(late.where("status = 'A'").select(F.col("x").alias("u"), F.col("y").alias("v")))
+    edges = star_edges.unionByName(_linked_by_difference(stars, percent)).unionByName(late)
     parts = connected_components(edges)
     known = materialize(same.join(parts, same["rep"] == parts["node"], "left").where("copies > 1 OR component IS NOT NULL").select("digest", F.coalesce("component", "rep").alias("component")), "mh-components")
     lone = found.where("digest IS NULL OR id IS NULL").select("id", "n_shingles", F.col("id").alias("component"))
     placed = found.where("digest IS NOT NULL AND id IS NOT NULL").select("id", "n_shingles", "digest").join(known, "digest", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
-    for used in (nodes, lead, member, estimate, sets, stars, rest):
+    for used in (nodes, lead, member, estimate, sets, stars, placed, rest, others):
         discard(used)
     return placed.unionByName(lone).select(F.col("id").cast(kind).alias(id_col), "n_shingles", F.col("component").cast(kind).alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
