@@ -1,10 +1,11 @@
 """The training-data queries and, where SQL can express them, their SQL."""
 
-from docmill.llm import bpe, language, minhash, mixing, secrets, toxicity, url_rules
+from docmill.llm import bpe, language, minhash, mixing, secrets, toxicity, url_rules, winnowing
 
 
 def queries():
     return {
+        "op1_winnowing": winnowing.op1_winnowing,
         "op2_language": language.op2_language,
         "op3_secrets": secrets.op3_secrets,
         "op4_bpe": bpe.op4_bpe,
