@@ -275,9 +275,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialize(full_sets(docs, may.select(F.explode(F.array("x", "y")).alias("id")).distinct(), id_col, text_col).dropDuplicates(["id"]), "mh-sets")
     stars = materialize(verified(may, sets, percent), "mh-stars")
     status = estimate.join(stars.select("x", "y", "status"), ["x", "y"], "left").select(F.col("x").alias("id"), F.col("y").alias("leader"), F.coalesce("status", F.lit("C")).alias("status"))
-    placed = materialize(member.join(materialize(status, "mh-status"), ["id", "leader"]).where("status <> 'A'"), "mh-placed")
-    busy = placed.groupBy("band", "key").agg(F.count_if(F.col("status") == "C").alias("c"), F.count("*").alias("all")).where("c > 0 AND all > 1").select("band", "key")
-    rest = materialize(placed.join(busy, ["band", "key"]), "mh-rest")
+    judged = materialize(member.join(materialize(status, "mh-status"), ["id", "leader"]).where("status <> 'A'"), "mh-placed")
+    busy = judged.groupBy("band", "key").agg(F.count_if(F.col("status") == "C").alias("c"), F.count("*").alias("all")).where("c > 0 AND all > 1").select("band", "key")
+    rest = materialize(judged.join(busy, ["band", "key"]), "mh-rest")
     others = materialize(full_sets(docs, rest.select("id").distinct(), id_col, text_col).dropDuplicates(["id"]), "mh-sets")
     late = _linked_in_rest(rest.join(signatures, "id").join(others, "id"), percent)
     star_edges = stars.where("status = 'A'").select(F.col("x").alias("u"), F.col("y").alias("v"))
@@ -286,7 +286,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = materialize(same.join(parts, same["rep"] == parts["node"], "left").where("copies > 1 OR component IS NOT NULL").select("digest", F.coalesce("component", "rep").alias("component")), "mh-components")
     lone = found.where("digest IS NULL OR id IS NULL").select("id", "n_shingles", F.col("id").alias("component"))
     placed = found.where("digest IS NOT NULL AND id IS NOT NULL").select("id", "n_shingles", "digest").join(known, "digest", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
-    for used in (nodes, lead, member, estimate, sets, stars, placed, rest, others):
+    for used in (nodes, lead, member, estimate, sets, stars, judged, rest, others):
         discard(used)
     return placed.unionByName(lone).select(F.col("id").cast(kind).alias(id_col), "n_shingles", F.col("component").cast(kind).alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 

@@ -1,6 +1,6 @@
 """The training-data queries and, where SQL can express them, their SQL."""
 
-from docmill.llm import bpe, language, minhash, mixing, secrets, toxicity, url_rules, winnowing
+from docmill.llm import bpe, language, minhash, mixing, secrets, toxicity, url_rules, vectors, winnowing
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op4_bpe": bpe.op4_bpe,
         "op5_mixing": mixing.op5_mixing,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_vectors": vectors.op8_vectors,
         "op9_url_rules": url_rules.op9_url_rules,
         "op10_minhash": minhash.op10_minhash,
     }
