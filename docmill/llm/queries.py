@@ -1,6 +1,6 @@
 """The training-data queries and, where SQL can express them, their SQL."""
 
-from docmill.llm import bpe, language, minhash, mixing, secrets, toxicity, url_rules, vectors, winnowing
+from docmill.llm import bpe, language, minhash, mixing, scoring, secrets, toxicity, url_rules, vectors, winnowing
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op3_secrets": secrets.op3_secrets,
         "op4_bpe": bpe.op4_bpe,
         "op5_mixing": mixing.op5_mixing,
+        "op6_scoring": scoring.op6_scoring,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_vectors": vectors.op8_vectors,
         "op9_url_rules": url_rules.op9_url_rules,
