@@ -1,9 +1,307 @@
 """Every query of the document-preparation operators, with its SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from docmill.functions import text as T
+from docmill.operators import blocks as B
+from docmill.operators import joins as J
+from docmill.operators import transcripts as TR
+from docmill.sources import decorated as D
+from docmill.sources import html as H
+
+
+def _docs(spark, sf):
+    return D.documents(spark, sf)
+
+
+def _blocks(spark, sf):
+    return B.blockify(D.decorated_lines(_docs(spark, sf)))
+
+
+def _classified(spark, sf):
+    return B.classify(_blocks(spark, sf))
+
+
+def text_quality(spark, sf):
+    """Character classes of the raw documents, as counts and unrounded ratios."""
+    t = F.coalesce("text", F.lit(""))
+    n = F.length(t)
+    share = lambda c: F.when(n > 0, c / n).otherwise(F.lit(0.0))
+    return _docs(spark, sf).select("doc_id", n.cast("long").alias("total_chars"), share(T.count(t, T.CJK)).alias("chinese_ratio"), share(T.count(t, "[a-zA-Z0-9]")).alias("alnum_ratio"), share(T.count(t, r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}-\x{9f}]")).alias("control_ratio"), T.count(t, "�").alias("replacement_chars"), T.contains_any(t, T.CTA).alias("has_cta_text"))
+
+
+def language_hint(spark, sf):
+    """ch where at least 3 CJK characters make up a fifth of CJK and Latin letters, else en."""
+    t = F.substring(F.coalesce("text", F.lit("")), 1, 65536)
+    cjk, latin = T.count(t, T.CJK), T.count(t, "[A-Za-z]")
+    return _docs(spark, sf).select("doc_id", F.when((cjk >= 3) & (cjk / (cjk + latin) >= 0.2), "ch").otherwise("en").alias("language"))
+
+
+def language_mix(spark, sf):
+    """Share of CJK among letters by stated language."""
+    t = F.coalesce("text", F.lit(""))
+    return _docs(spark, sf).groupBy("lang").agg(F.sum(T.count(t, T.CJK)).alias("cjk"), F.sum(T.count(t, r"\p{L}")).alias("letters")).select("lang", "cjk", "letters", F.when(F.col("letters") == 0, "other").when(F.col("cjk") / F.col("letters") >= 0.2, "zh").when(F.col("cjk") / F.col("letters") <= 0.05, "en").otherwise("mixed").alias("mix"))
+
+
+def lines(spark, sf):
+    return D.decorated_lines(_docs(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(T.stripped(F.col("line")) == "").alias("blank"), F.max(F.length("line")).cast("long").alias("longest"))
+
+
+def structure_counts(spark, sf):
+    k = B.line_kinds(D.decorated_lines(_docs(spark, sf)))
+    return k.groupBy("doc_id").agg(F.count_if(F.col("kind") == "section_heading").alias("headings"), F.count_if(F.col("opens")).alias("fences"), F.count_if(F.col("kind") == "image_evidence").alias("images"), F.count_if(F.col("kind") == "table").alias("table_lines"))
+
+
+def blockify(spark, sf):
+    return _blocks(spark, sf).select("doc_id", "block_idx", "type", "line_start", "line_end", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def heading_path(spark, sf):
+    return _blocks(spark, sf).select("doc_id", "block_idx", "heading_path")
+
+
+def classify_blocks(spark, sf):
+    return _classified(spark, sf).select("doc_id", "block_idx", "type", "status", "protected", "confidence", "reason")
+
+
+def block_status_counts(spark, sf):
+    return _classified(spark, sf).groupBy("status", "type").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).alias("chars"))
+
+
+def discard_ratio(spark, sf):
+    """Body loss per document: warn above 0.25, strict above 0.45; known pollution does not count."""
+    b = _classified(spark, sf)
+    body = ~((F.col("status") == "discard") & F.col("type").isin(T.DISCARD_EXEMPT))
+    return b.groupBy("doc_id").agg(F.count_if(body).alias("counted"), F.count_if(body & (F.col("status") == "discard")).alias("discarded"), F.count_if((F.col("status") == "discard") & ~body).alias("pollution"), F.coalesce(F.sum(F.when(body & (F.col("status") != "discard"), F.length("text"))) / F.sum(F.when(body, F.length("text"))), F.lit(1.0)).alias("coverage")).withColumn(
+        "gate", F.when(F.col("discarded") / F.greatest("counted", F.lit(1)) > 0.45, "fail").when(F.col("discarded") / F.greatest("counted", F.lit(1)) > 0.25, "warn").otherwise("pass"))
+
+
+def rule_matches(spark, sf):
+    found = D.decorated_lines(_docs(spark, sf)).withColumn("rule_id", B.promotional_rule(F.col("line"))).where("rule_id IS NOT NULL")
+    return found.groupBy("rule_id").agg(F.count("*").alias("lines"), F.count_distinct("doc_id").alias("docs"))
+
+
+def _before(spark, sf):
+    """Blocks as segmented, all kept: what the promotional-line rules then change."""
+    return _blocks(spark, sf).withColumn("status", F.lit("keep"))
+
+
+def patch_build(spark, sf):
+    return B.patches(_before(spark, sf))
+
+
+def patch_gate(spark, sf):
+    before = _before(spark, sf)
+    return B.gate(B.patches(before), before, ["english_signup"]).groupBy(F.coalesce("rejected", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("patches"))
+
+
+def relationships(spark, sf):
+    """next_sibling by document order; contains from a heading to what follows it up to the next heading of its level or above."""
+    order = Window.partitionBy("doc_id").orderBy("block_idx")
+    b = _blocks(spark, sf).select("doc_id", "block_idx", "type", F.length(F.regexp_extract("text", "^(#+)", 1)).alias("level"))
+    sibling = b.select("doc_id", F.lit("next_sibling").alias("kind"), F.col("block_idx").alias("source"), F.lead("block_idx").over(order).alias("target")).where("target IS NOT NULL")
+    upto = order.rowsBetween(Window.unboundedPreceding, -1)
+    heads = [F.max(F.when((F.col("type") == "section_heading") & (F.col("level") == n), F.col("block_idx"))).over(upto).alias(f"h{n}") for n in range(1, 7)]
+    open_ = b.select("*", *heads)
+    at = [F.when((F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(F.col(f"h{m}"), F.lit(-1)) for m in range(1, n)]) < F.coalesce(F.col(f"h{n}"), F.lit(-1))) & ~((F.col("type") == "section_heading") & (F.col("level") <= n)), F.col(f"h{n}")) for n in range(1, 7)]
+    contains = open_.select("doc_id", F.lit("contains").alias("kind"), F.explode(F.array_compact(F.array(*at))).alias("source"), F.col("block_idx").alias("target"))
+    return sibling.unionByName(contains).groupBy("doc_id", "kind").agg(F.count("*").alias("edges"), F.sum(F.col("source") * 1000 + F.col("target")).alias("checksum"))
+
+
+def annotations(spark, sf):
+    """Headings that nothing follows before the next one, and paragraphs under 20 characters."""
+    order = Window.partitionBy("doc_id").orderBy("block_idx")
+    b = _blocks(spark, sf).withColumn("next", F.lead("type").over(order))
+    empty = (F.col("type") == "section_heading") & (F.col("next").isNull() | (F.col("next") == "section_heading"))
+    code = F.when(empty, "empty_heading").when((F.col("type") == "paragraph") & (F.length("text") < 20), "short_paragraph")
+    return b.select("doc_id", "block_idx", code.alias("code")).where("code IS NOT NULL")
+
+
+def chunk_generic(spark, sf):
+    return B.chunk_generic(_classified(spark, sf))
+
+
+def quality_gates(spark, sf):
+    """Documents by gate and status, from chunk sizes and body loss."""
+    loss = discard_ratio(spark, sf).select("doc_id", F.lit("cleanup_safety").alias("gate"), F.col("gate").alias("status"))
+    sizes = chunk_generic(spark, sf).groupBy("doc_id").agg(F.count_if(F.col("char_count") > B.LONGEST).alias("long"), F.count_if(F.col("char_count") < 300).alias("short")).select("doc_id", F.lit("splitting_integrity").alias("gate"), F.when(F.col("long") > 0, "fail").when(F.col("short") > 0, "warn").otherwise("pass").alias("status"))
+    return loss.unionByName(sizes).groupBy("gate", "status").agg(F.count("*").alias("docs"))
+
+
+def review_pack(spark, sf):
+    return _classified(spark, sf).where("status = 'review' OR confidence < 0.76").groupBy("doc_id").agg(F.count("*").alias("blocks"), F.min("block_idx").alias("first_block"))
+
+
+def render_cleaned(spark, sf):
+    kept = _classified(spark, sf).where("status = 'keep'").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", "text"))).alias("b"))
+    md = F.array_join(F.transform("b", lambda x: x["text"]), "\n\n")
+    return kept.select("doc_id", F.length(md).cast("long").alias("chars"), F.sha2(md, 256).alias("cleaned_sha256"))
+
+
+def transcript_turns(spark, sf):
+    return TR.turns(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
+def rolling_dedupe(spark, sf):
+    return TR.without_echo(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
+def url_domain(spark, sf):
+    host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z]+://([^/?#]*)", 1)), r"^www\.", "")
+    return spark.read.parquet(f"{sf}/pages.parquet").select(host.alias("domain")).groupBy("domain").agg(F.count("*").alias("pages"))
+
+
+def source_pattern(spark, sf):
+    """Pages whose address begins with a pattern at a boundary (end, /, ?, #)."""
+    p = "https://www.thering.example.org"
+    u = F.coalesce("url", F.lit(""))
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", ((u == p) | (u.startswith(p) & F.substring(u, len(p) + 1, 1).isin("/", "?", "#"))).alias("matches"))
+
+
+def html_to_markdown(spark, sf):
+    return H.to_markdown(spark.read.parquet(f"{sf}/pages.parquet")).select("page_id", F.length("markdown").cast("long").alias("chars"), F.sha2("markdown", 256).alias("markdown_sha256"))
+
+
+def latest_run(spark, sf):
+    """Newest event of each user and type, ties by the larger id."""
+    return spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+def keep_newest_runs(spark, sf):
+    """The three newest events of each user stay, older ones are due for removal."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.when(F.row_number().over(w) <= 3, "keep").otherwise("remove").alias("action")).groupBy("action").agg(F.count("*").alias("events"), F.sum("event_id").alias("checksum"))
+
+
+def as_of_page_map(spark, sf):
+    return J.as_of(spark, sf)
+
+
+def interval_span(spark, sf):
+    return J.overlaps(spark, sf)
+
+
+def first_wins_dedupe(spark, sf):
+    """The first part of each name, compared without case, in key order."""
+    w = Window.partitionBy(F.lower("p_name")).orderBy("p_partkey")
+    return spark.read.parquet(f"{sf}/part.parquet").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("p_partkey", F.lower("p_name").alias("name"))
+
+
+def manifest_left_join(spark, sf):
+    """Inventory with results: each customer with the number of orders, and a status."""
+    c, o = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("customer", "orders"))
+    done = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"), F.count_if(F.col("o_orderstatus") == "F").alias("failed"))
+    met = c.select("c_custkey").join(done, "c_custkey", "left")
+    return met.select("c_custkey", F.coalesce("orders", F.lit(0)).cast("long").alias("orders"), F.when(F.col("orders").isNull(), "pending").when(F.col("failed") == F.col("orders"), "failed").when(F.col("failed") > 0, "completed_with_warnings").otherwise("succeeded").alias("status"))
+
+
+def batch_summary(spark, sf):
+    return manifest_left_join(spark, sf).groupBy("status").agg(F.count("*").alias("items"), F.sum("orders").alias("orders"))
+
+
+def id_difference(spark, sf):
+    """Customers without orders and order keys without lines: differences both ways, with none left over expected on either side."""
+    c, o = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("customer", "orders"))
+    left = c.join(o, c.c_custkey == o.o_custkey, "left_anti").select(F.lit("missing").alias("side"), F.col("c_custkey").alias("id"))
+    right = o.join(c, c.c_custkey == o.o_custkey, "left_anti").select(F.lit("extra").alias("side"), F.col("o_custkey").alias("id")).distinct()
+    return left.unionByName(right)
+
+
+def _re(p: str) -> str:
+    return "'" + p.replace("'", "''") + "'"
+
+
+def _any(col: str, terms: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower({col}), {_re(t.lower())})" for t in terms) + ")"
+
+
+_CJK = "'[\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}\\x{20000}-\\x{2a6df}]'"
+_CNT = lambda t, p: f"len(regexp_extract_all({t}, {p}))"
+_STRIP = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+_KINDS = f"""
+k0 AS (SELECT *, {_STRIP('line')} AS s FROM lines),
+k1 AS (SELECT *, starts_with(s, '```') AS fence, sum(starts_with(s, '```')::INT) OVER w AS fences, lag(s) OVER (PARTITION BY doc_id ORDER BY line_no) AS b, lead(s) OVER (PARTITION BY doc_id ORDER BY line_no) AS a
+  FROM k0 WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
+kinds AS (SELECT doc_id, line_no, line, s, fence AND fences % 2 = 1 AS opens, CASE WHEN fence OR fences % 2 = 1 THEN 'code' WHEN s = '' THEN 'blank' WHEN regexp_matches(line, '^#{{1,6}}\\s+\\S') THEN 'section_heading'
+  WHEN starts_with(s, '|') AND (coalesce(starts_with(b, '|'), false) OR coalesce(starts_with(a, '|'), false)) THEN 'table' WHEN regexp_matches(s, {_re(T.IMAGE)}) AND length(s) < 200 THEN 'image_evidence' WHEN starts_with(s, '>') THEN 'quote' ELSE 'text' END AS kind FROM k1)"""
+_PATH = ", ".join(f"max(CASE WHEN level = {n} THEN line_no END) OVER w AS h{n}" for n in range(1, 7))
+_ON = lambda n: " AND ".join([f"h{n} IS NOT NULL", *[f"coalesce(h{m}, -1) < h{n}" for m in range(1, n)]])
+_BLOCKS = f"""{D.LINES_SQL},{_KINDS},
+b0 AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) AS prev, CASE WHEN kind = 'section_heading' THEN length(regexp_extract(line, '^(#+)', 1)) END AS level FROM kinds),
+b1 AS (SELECT *, sum((kind <> 'blank' AND (opens OR kind IN ('section_heading', 'image_evidence') OR prev IS NULL OR prev <> kind))::INT) OVER w - 1 AS block_idx, {_PATH} FROM b0 WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
+titles AS (SELECT doc_id, line_no, {_STRIP("regexp_extract(line, '^#{1,6}\\s+(.*)$', 1)")} AS title FROM b0 WHERE kind = 'section_heading'),
+b2 AS (SELECT doc_id, block_idx, min(line_no) AS line_start, max(line_no) AS line_end, min(kind) AS kind, {_STRIP("string_agg(line, chr(10) ORDER BY line_no)")} AS text, {', '.join(f"arg_max(CASE WHEN {_ON(n)} THEN h{n} ELSE -1 END, line_no) AS h{n}" for n in range(1, 7))} FROM b1 WHERE kind <> 'blank' GROUP BY doc_id, block_idx),
+blocks AS (SELECT b2.doc_id, block_idx::BIGINT AS block_idx, line_start::BIGINT AS line_start, line_end::BIGINT AS line_end, text, CASE WHEN kind <> 'text' THEN kind WHEN starts_with(text, '|') THEN 'table' WHEN regexp_matches(text, {_re(T.STEP)}) THEN 'operation_step' ELSE 'paragraph' END AS type,
+  kind IN ('code', 'table') AS protected, concat_ws(' > ', {', '.join(f't{n}.title' for n in range(1, 7))}) AS heading_path FROM b2 {' '.join(f'LEFT JOIN titles t{n} ON t{n}.doc_id = b2.doc_id AND t{n}.line_no = h{n}' for n in range(1, 7))})"""
+_RULES = [
+    ("text = ''", "discard", "'empty'", "false", 0.95, "empty"),
+    (f"length(regexp_replace(text, '\\s+', '', 'g')) <= 80 AND {_any('text', T.CTA)} AND NOT {_any('text', T.KNOWLEDGE)} AND type NOT IN ('code', 'table')", "discard", "'marketing_cta'", "false", 0.96, "marketing_wrapper"),
+    ("type IN ('code', 'table')", "keep", "type", "true", 0.90, "structural"), ("type IN ('section_heading', 'quote')", "keep", "type", "protected", 0.90, "structural"),
+    ("type = 'image_evidence'", "unclassified", "type", "false", 0.0, "image"), ("type = 'operation_step'", "keep", "type", "true", 0.90, "protected_type"),
+    *[(f"regexp_matches(text, {_re('(?i)' + p)})", "keep", f"'{label}'", "true", 0.90, "protected_pattern") for label, p in T.PROTECTED],
+    (f"{_any('text', T.CTA)} AND {_any('text', T.KNOWLEDGE)}", "keep", "'case_step'", "true", 0.88, "contextual_cta"),
+    *[(f"regexp_matches(text, {_re('(?i)' + p)})", "discard", "'transcript_filler'", "false", 0.95, "filler") for p in T.FILLER],
+    (_any("text", T.CTA), "discard", "'marketing_cta'", "false", 0.95, "cta"), (f"regexp_matches(text, {_re(T.REFUND)})", "discard", "'refund_policy'", "false", 0.95, "refund"), (f"regexp_matches(text, {_re('(?i)' + T.FOOTER)})", "discard", "'footer'", "false", 0.95, "footer"),
+    *[(f"regexp_matches(text, {_re('(?i)' + p)})", "evidence", f"'{label}'", "false", 0.85, "evidence") for label, p in T.EVIDENCE],
+    ("length(text) >= 20 AND length(text) - length(replace(text, chr(65533), '')) >= 3", "review", "'garbled'", "false", 0.80, "garbled"),
+]
+_CASE = lambda k, other: "CASE " + " ".join(f"WHEN {r[0]} THEN {k(r)}" for r in _RULES) + f" ELSE {other} END"
+_CLASSIFIED = f"""{_BLOCKS},
+classified AS (SELECT doc_id, block_idx, text, {_CASE(lambda r: r[2], 'type')} AS type, {_CASE(lambda r: f"'{r[1]}'", "'keep'")} AS status, {_CASE(lambda r: r[3], 'protected')} AS protected, {_CASE(lambda r: f"{r[4]}::DOUBLE", "0.7::DOUBLE")} AS confidence, {_CASE(lambda r: f"'{r[5]}'", "'default'")} AS reason FROM blocks)"""
+_PROMO = lambda c: f"CASE WHEN NOT {_any(c, T.KNOWLEDGE)} THEN CASE " + " ".join(f"WHEN regexp_matches({c}, {_re('(?i)' + p)}) THEN '{n}'" for n, p in T.PROMO) + " END END"
+_EXEMPT = "(status = 'discard' AND type IN (" + ", ".join(f"'{x}'" for x in T.DISCARD_EXEMPT) + "))"
+_LOSS = f"""loss AS (SELECT doc_id, count(*) FILTER (NOT {_EXEMPT}) AS counted, count(*) FILTER (NOT {_EXEMPT} AND status = 'discard') AS discarded, count(*) FILTER ({_EXEMPT}) AS pollution,
+  coalesce(sum(length(text)) FILTER (NOT {_EXEMPT} AND status <> 'discard')::DOUBLE / sum(length(text)) FILTER (NOT {_EXEMPT}), 1.0) AS coverage FROM classified GROUP BY doc_id),
+gated AS (SELECT *, CASE WHEN discarded::DOUBLE / greatest(counted, 1) > 0.45 THEN 'fail' WHEN discarded::DOUBLE / greatest(counted, 1) > 0.25 THEN 'warn' ELSE 'pass' END AS gate FROM loss)"""
+_CHUNKS = f"""kept AS (SELECT doc_id, block_idx, length(text) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY block_idx) AS rn FROM classified WHERE status = 'keep' AND text <> ''),
+packed AS (SELECT doc_id, rn, block_idx, n, 0 AS chunk, n AS size FROM kept WHERE rn = 1 UNION ALL
+  SELECT k.doc_id, k.rn, k.block_idx, k.n, CASE WHEN p.size + 2 + k.n <= {B.TARGET} THEN p.chunk ELSE p.chunk + 1 END, CASE WHEN p.size + 2 + k.n <= {B.TARGET} THEN p.size + 2 + k.n ELSE k.n END FROM packed p JOIN kept k ON k.doc_id = p.doc_id AND k.rn = p.rn + 1),
+chunks AS (SELECT doc_id, chunk::BIGINT AS chunk, min(block_idx) AS first_block, count(*) AS blocks, max(size)::BIGINT AS char_count FROM packed GROUP BY doc_id, chunk)"""
+_PATCH = f"""patched AS (SELECT doc_id, block_idx, rule_id, 'status_update' AS change_type, 'keep' AS before_status, 'discard' AS after_status, type, protected FROM (SELECT *, {_PROMO('text')} AS rule_id FROM blocks) WHERE rule_id IS NOT NULL AND NOT protected)"""
+
+SQL = {
+    "text_quality": f"SELECT doc_id, length(t) AS total_chars, coalesce({_CNT('t', _CJK)}::DOUBLE / nullif(length(t), 0), 0) AS chinese_ratio, coalesce({_CNT('t', _re('[a-zA-Z0-9]'))}::DOUBLE / nullif(length(t), 0), 0) AS alnum_ratio, coalesce({_CNT('t', _re('[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{9f}]'))}::DOUBLE / nullif(length(t), 0), 0) AS control_ratio, length(t) - length(replace(t, chr(65533), '')) AS replacement_chars, {_any('t', T.CTA)} AS has_cta_text FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
+    "language_hint": f"SELECT doc_id, CASE WHEN c >= 3 AND c::DOUBLE / (c + a) >= 0.2 THEN 'ch' ELSE 'en' END AS language FROM (SELECT doc_id, {_CNT('t', _CJK)} AS c, {_CNT('t', _re('[A-Za-z]'))} AS a FROM (SELECT doc_id, substr(coalesce(text, ''), 1, 65536) AS t FROM documents))",
+    "language_mix": f"SELECT lang, cjk, letters, CASE WHEN letters = 0 THEN 'other' WHEN cjk / letters >= 0.2 THEN 'zh' WHEN cjk / letters <= 0.05 THEN 'en' ELSE 'mixed' END AS mix FROM (SELECT lang, sum({_CNT('coalesce(text, chr(32))', _CJK)})::BIGINT AS cjk, sum({_CNT('coalesce(text, chr(32))', _re(r'\\p{L}'))})::BIGINT AS letters FROM documents GROUP BY lang)".replace("\\\\p", "\\p"),
+    "lines": f"WITH {D.LINES_SQL} SELECT doc_id, count(*) AS lines, count(*) FILTER ({_STRIP('line')} = '') AS blank, max(length(line)) AS longest FROM lines GROUP BY doc_id",
+    "structure_counts": f"WITH {D.LINES_SQL},{_KINDS} SELECT doc_id, count(*) FILTER (kind = 'section_heading') AS headings, count(*) FILTER (opens) AS fences, count(*) FILTER (kind = 'image_evidence') AS images, count(*) FILTER (kind = 'table') AS table_lines FROM kinds GROUP BY doc_id",
+    "blockify": f"WITH {_BLOCKS} SELECT doc_id, block_idx, type, line_start, line_end, length(text) AS chars, sha256(text) AS text_sha256 FROM blocks",
+    "heading_path": f"WITH {_BLOCKS} SELECT doc_id, block_idx, heading_path FROM blocks",
+    "classify_blocks": f"WITH {_CLASSIFIED} SELECT doc_id, block_idx, type, status, protected, confidence, reason FROM classified",
+    "block_status_counts": f"WITH {_CLASSIFIED} SELECT status, type, count(*) AS blocks, sum(length(text))::BIGINT AS chars FROM classified GROUP BY status, type",
+    "discard_ratio": f"WITH {_CLASSIFIED}, {_LOSS} SELECT * FROM gated",
+    "rule_matches": f"WITH {D.LINES_SQL} SELECT rule_id, count(*) AS lines, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, {_PROMO('line')} AS rule_id FROM lines) WHERE rule_id IS NOT NULL GROUP BY rule_id",
+    "patch_build": f"WITH {_BLOCKS}, {_PATCH} SELECT doc_id, block_idx, rule_id, change_type, before_status, after_status, type FROM patched",
+    "patch_gate": f"WITH {_BLOCKS}, {_PATCH} SELECT CASE WHEN rule_id <> 'english_signup' THEN 'rule_not_in_policy_snapshot' WHEN protected OR type IN ('code', 'table', 'image', 'formula') THEN 'protected_structure_change' WHEN type = 'section_heading' THEN 'whole_section_deletion' ELSE 'accepted' END AS outcome, count(*) AS patches FROM patched GROUP BY 1",
+    "relationships": f"WITH {_BLOCKS}, b AS (SELECT doc_id, block_idx, CASE WHEN type = 'section_heading' THEN length(regexp_extract(text, '^(#+)', 1)) END AS level FROM blocks), e AS (SELECT doc_id, 'next_sibling' AS kind, block_idx AS source, lead(block_idx) OVER (PARTITION BY doc_id ORDER BY block_idx) AS target FROM b UNION ALL SELECT h.doc_id, 'contains', h.block_idx, t.block_idx FROM (SELECT h.*, (SELECT min(n.block_idx) FROM b n WHERE n.doc_id = h.doc_id AND n.block_idx > h.block_idx AND n.level <= h.level) AS stop FROM b h WHERE h.level IS NOT NULL) h JOIN b t ON t.doc_id = h.doc_id AND t.block_idx > h.block_idx AND (h.stop IS NULL OR t.block_idx < h.stop)) SELECT doc_id, kind, count(*) AS edges, sum(source * 1000 + target)::BIGINT AS checksum FROM e WHERE target IS NOT NULL GROUP BY doc_id, kind",
+    "annotations": f"WITH {_BLOCKS}, n AS (SELECT *, lead(type) OVER (PARTITION BY doc_id ORDER BY block_idx) AS nx FROM blocks), c AS (SELECT doc_id, block_idx, CASE WHEN type = 'section_heading' AND (nx IS NULL OR nx = 'section_heading') THEN 'empty_heading' WHEN type = 'paragraph' AND length(text) < 20 THEN 'short_paragraph' END AS code FROM n) SELECT * FROM c WHERE code IS NOT NULL",
+    "chunk_generic": f"WITH RECURSIVE {_CLASSIFIED}, {_CHUNKS} SELECT * FROM chunks",
+    "quality_gates": f"WITH RECURSIVE {_CLASSIFIED}, {_LOSS}, {_CHUNKS}, both_ AS (SELECT doc_id, 'cleanup_safety' AS gate, gate AS status FROM gated UNION ALL SELECT doc_id, 'splitting_integrity', CASE WHEN max(char_count) > {B.LONGEST} THEN 'fail' WHEN min(char_count) < 300 THEN 'warn' ELSE 'pass' END FROM chunks GROUP BY doc_id) SELECT gate, status, count(*) AS docs FROM both_ GROUP BY gate, status",
+    "review_pack": f"WITH {_CLASSIFIED} SELECT doc_id, count(*) AS blocks, min(block_idx) AS first_block FROM classified WHERE status = 'review' OR confidence < 0.76 GROUP BY doc_id",
+    "render_cleaned": f"WITH {_CLASSIFIED}, r AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY block_idx) AS md FROM classified WHERE status = 'keep' GROUP BY doc_id) SELECT doc_id, length(md) AS chars, sha256(md) AS cleaned_sha256 FROM r",
+    "transcript_turns": TR.TURNS_SQL,
+    "rolling_dedupe": TR.ECHO_SQL,
+    "url_domain": "SELECT regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z]+://([^/?#]*)', 1)), '^www\\.', '') AS domain, count(*) AS pages FROM pages GROUP BY 1",
+    "source_pattern": "SELECT page_id, coalesce(url, '') = 'https://www.thering.example.org' OR (starts_with(coalesce(url, ''), 'https://www.thering.example.org') AND substr(url, 32, 1) IN ('/', '?', '#')) AS matches FROM pages",
+    "latest_run": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
+    "keep_newest_runs": "SELECT action, count(*) AS events, sum(event_id)::BIGINT AS checksum FROM (SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3 THEN 'keep' ELSE 'remove' END AS action FROM events) GROUP BY action",
+    "as_of_page_map": J.AS_OF_SQL,
+    "interval_span": J.OVERLAPS_SQL,
+    "first_wins_dedupe": "SELECT p_partkey, name FROM (SELECT p_partkey, lower(p_name) AS name, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS rn FROM part) WHERE rn = 1",
+    "manifest_left_join": "SELECT c_custkey, coalesce(n, 0) AS orders, CASE WHEN n IS NULL THEN 'pending' WHEN f = n THEN 'failed' WHEN f > 0 THEN 'completed_with_warnings' ELSE 'succeeded' END AS status FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey",
+    "id_difference": "SELECT 'missing' AS side, c_custkey::BIGINT AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT 'extra', o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)",
+}
+SQL["batch_summary"] = f"SELECT status, count(*) AS items, sum(orders)::BIGINT AS orders FROM ({SQL['manifest_left_join']}) GROUP BY status"
+
 
 def queries():
-    return {}
+    return {f.__name__: f for f in (
+        text_quality, language_hint, language_mix, lines, structure_counts, blockify, heading_path, classify_blocks, block_status_counts, discard_ratio, rule_matches, patch_build, patch_gate, relationships, annotations, chunk_generic, quality_gates,
+        review_pack, render_cleaned, transcript_turns, rolling_dedupe, url_domain, source_pattern, html_to_markdown, latest_run, keep_newest_runs, as_of_page_map, interval_span, first_wins_dedupe, manifest_left_join, batch_summary, id_difference)}
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
