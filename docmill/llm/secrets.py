@@ -110,8 +110,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     clean = f"""aggregate({merged}, struct(0 AS at, cast(array() AS array<string>) AS parts),
         (a, x) -> struct(x.e AS at, array_append(a.parts, concat(substring(text, a.at + 1, x.s - a.at), '{mark}')) AS parts),
         a -> concat(array_join(a.parts, ''), substring(text, a.at + 1)))"""
-    text = F.when(F.size("spans") == 0, F.col(f"row.`{text_col}`")).otherwise(F.expr(clean))
-    return found.select(*[(text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    text = F.when(F.size("spans") == 0, F.col(f"id.`{text_col}`")).otherwise(F.expr(clean))
+    return found.select(*[(text if c == text_col else F.col(f"id.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op3_secrets(spark, sf_dir):
