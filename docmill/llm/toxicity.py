@@ -2,7 +2,7 @@
 
 Lexicon. From labelled documents outside the held-out fold come words, and word
 beginnings of 4 to 8 letters, that stand in toxic documents far more often than in
-clean ones. Words covered by a kept beginning are dropped.
+clean ones. Of words covered by a kept beginning the ``COVERED`` commonest stay.
 
 Matching. The Levenshtein automata of all entries are intersected with their trie
 and determinised as words come (see ``Automaton``). One edit is allowed for entries of
@@ -34,7 +34,8 @@ from docmill.llm.common import discard, fold, materialize, table, worker_store
 
 SPAN = 6
 STEMS = range(4, 9)
-TERMS = 4000
+TERMS, COVERED = 4000, 200
+MISSPELLED = 0.7
 WORDS_HELD = 500_000
 #: fixed values: characters written for letters, marks of quotation, words of reporting
 LEET = str.maketrans("013457@$", "oieastas")
@@ -174,6 +175,8 @@ class Scorer:
                     quoted = closing or any(_EDGE.sub("", x) in REPORTING for x in near)
                     tally[2 * (k - 1) + quoted] += 1
         n = max(len(words), 1)
+        # a misspelled hit counts as most of an exact one, unless the labels say otherwise through its own weight
+        tally = [tally[0] + MISSPELLED * tally[2], tally[1] + MISSPELLED * tally[3], *tally[2:]]
         return [*map(math.log1p, tally), *(math.log1p(100 * x / n) for x in tally)]
 
 
@@ -234,7 +237,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for s in sorted((r["term"][:-1] for r in top if r["term"].endswith("-")), key=lambda s: (len(s), s)):
         if not any(s.startswith(x) for x in stems):
             stems.append(s)
-    words = sorted(r["term"] for r in top if not r["term"].endswith("-") and not any(r["term"].startswith(s) for s in stems))
+    plain = [r["term"] for r in top if not r["term"].endswith("-")]
+    covered = [w for w in plain if any(w.startswith(s) for s in stems)]
+    # words that a stem covers matter only for misspellings: the commonest of them stay
+    words = sorted({*plain} - {*covered[COVERED:]})
 
     def featured(batches):
         import pyarrow as pa
