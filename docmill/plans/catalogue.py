@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from docmill.functions import text as T
 from docmill.operators import blocks as B
 from docmill.operators import joins as J
+from docmill.operators import packing as P
 from docmill.operators import transcripts as TR
+from docmill.sources import converters as C
 from docmill.sources import decorated as D
 from docmill.sources import html as H
 
@@ -210,6 +212,54 @@ def id_difference(spark, sf):
     return left.unionByName(right)
 
 
+def chunk_markdown(spark, sf):
+    return P.chunk_markdown(_classified(spark, sf))
+
+
+def chunk_transcript(spark, sf):
+    return P.chunk_transcript(_classified(spark, sf))
+
+
+def parts(spark, sf):
+    return P.parts(_classified(spark, sf))
+
+
+def text_shape(spark, sf):
+    """Line counts that tell text profiles apart, on the raw documents."""
+    t = F.coalesce("text", F.lit(""))
+    n = lambda p: T.count(t, "(?dm)" + p)
+    return _docs(spark, sf).select("doc_id", F.length(t).cast("long").alias("char_count"), n(r"^#{1,6}[ \t]+").alias("heading_count"), n(r"^[ \t]*\d+[.)][ \t]+").alias("numbered_step_count"), n(r"^[ \t]*(?:\d{1,2}:)?\d{1,2}:\d{2}").alias("timestamp_line_count"), n(r"^\|.+\|$").alias("table_row_count"))
+
+
+def code_to_markdown(spark, sf):
+    md = C.code_block(F.coalesce("text", F.lit("")), F.lit("text"))
+    return _docs(spark, sf).select("doc_id", F.length(md).cast("long").alias("chars"), F.sha2(md, 256).alias("markdown_sha256"))
+
+
+def json_to_markdown(spark, sf):
+    return C.converted(spark.read.parquet(f"{sf}/events.parquet"), "event_id", "props", C.json_block)
+
+
+def image_context(spark, sf):
+    """Five lines before and three after each image line, without itself."""
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    k = B.line_kinds(D.decorated_lines(_docs(spark, sf)))
+    near = k.select("doc_id", "line_no", "kind", F.concat(F.collect_list("line").over(w.rowsBetween(-5, -1)), F.collect_list("line").over(w.rowsBetween(1, 3))).alias("near"))
+    return near.where("kind = 'image_evidence'").select("doc_id", F.col("line_no").cast("long"), F.sha2(F.array_join("near", "\n"), 256).alias("context_sha256"))
+
+
+def run_identity(spark, sf):
+    """Content and configuration hash of each document: equal texts of one source are processed once."""
+    key = F.sha2(F.concat_ws(":", F.sha2(F.coalesce("text", F.lit("")), 256), "source", F.lit("standard")), 256)
+    return _docs(spark, sf).groupBy(key.alias("run_key")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("docs"))
+
+
+def rerun_scope(spark, sf):
+    """Users whose last event failed are due for a rerun."""
+    last = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
+    return last.groupBy("last").agg(F.count("*").alias("users"))
+
+
 def _re(p: str) -> str:
     return "'" + p.replace("'", "''") + "'"
 
@@ -260,6 +310,15 @@ _CHUNKS = f"""kept AS (SELECT doc_id, block_idx, length(text) AS n, row_number()
 packed AS (SELECT doc_id, rn, block_idx, n, 0 AS chunk, n AS size FROM kept WHERE rn = 1 UNION ALL
   SELECT k.doc_id, k.rn, k.block_idx, k.n, CASE WHEN p.size + 2 + k.n <= {B.TARGET} THEN p.chunk ELSE p.chunk + 1 END, CASE WHEN p.size + 2 + k.n <= {B.TARGET} THEN p.size + 2 + k.n ELSE k.n END FROM packed p JOIN kept k ON k.doc_id = p.doc_id AND k.rn = p.rn + 1),
 chunks AS (SELECT doc_id, chunk::BIGINT AS chunk, min(block_idx) AS first_block, count(*) AS blocks, max(size)::BIGINT AS char_count FROM packed GROUP BY doc_id, chunk)"""
+def _pack(opens: str, closes: str, gap: int, docs: str) -> str:
+    """Packing as a recursion over a document's kept blocks; ``p`` is the group so far, the other names are the block's."""
+    return f"""WITH RECURSIVE {_CLASSIFIED}, kept AS (SELECT doc_id, block_idx, type, text, length(text) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY block_idx) AS rn FROM classified WHERE status = 'keep' AND text <> '' AND {docs}),
+packed AS (SELECT doc_id, rn, type, block_idx, 0 AS chunk, n AS size FROM kept WHERE rn = 1 UNION ALL
+  SELECT doc_id, rn, type, block_idx, CASE WHEN fresh THEN chunk + 1 ELSE chunk END, CASE WHEN fresh THEN n ELSE size + {gap} + n END FROM (
+    SELECT k.doc_id, k.rn, k.type, k.block_idx, k.n, p.chunk, p.size, ({closes}) OR ({opens.replace("type =", "k.type =").replace("(text", "(k.text")}) AS fresh FROM packed p JOIN kept k ON k.doc_id = p.doc_id AND k.rn = p.rn + 1))
+SELECT doc_id, chunk::BIGINT AS chunk, min(block_idx) AS first_block, count(*) AS blocks, max(size)::BIGINT AS char_count FROM packed GROUP BY doc_id, chunk"""
+
+
 _PATCH = f"""patched AS (SELECT doc_id, block_idx, rule_id, 'status_update' AS change_type, 'keep' AS before_status, 'discard' AS after_status, type, protected FROM (SELECT *, {_PROMO('text')} AS rule_id FROM blocks) WHERE rule_id IS NOT NULL AND NOT protected)"""
 
 SQL = {
@@ -280,6 +339,14 @@ SQL = {
     "annotations": f"WITH {_BLOCKS}, n AS (SELECT *, lead(type) OVER (PARTITION BY doc_id ORDER BY block_idx) AS nx FROM blocks), c AS (SELECT doc_id, block_idx, CASE WHEN type = 'section_heading' AND (nx IS NULL OR nx = 'section_heading') THEN 'empty_heading' WHEN type = 'paragraph' AND length(text) < 20 THEN 'short_paragraph' END AS code FROM n) SELECT * FROM c WHERE code IS NOT NULL",
     "chunk_generic": f"WITH RECURSIVE {_CLASSIFIED}, {_CHUNKS} SELECT * FROM chunks",
     "quality_gates": f"WITH RECURSIVE {_CLASSIFIED}, {_LOSS}, {_CHUNKS}, both_ AS (SELECT doc_id, 'cleanup_safety' AS gate, gate AS status FROM gated UNION ALL SELECT doc_id, 'splitting_integrity', CASE WHEN max(char_count) > {B.LONGEST} THEN 'fail' WHEN min(char_count) < 300 THEN 'warn' ELSE 'pass' END FROM chunks GROUP BY doc_id) SELECT gate, status, count(*) AS docs FROM both_ GROUP BY gate, status",
+    "chunk_markdown": _pack("type = 'section_heading' AND regexp_matches(text, '^\\s*#{1,3}\\s+') OR p.size + 2 + k.n > " + str(B.LONGEST), f"p.size >= {B.TARGET} AND p.type <> 'section_heading'", 2, "true"),
+    "chunk_transcript": _pack(f"p.size + 2 + k.n > {B.LONGEST} OR (regexp_matches(text, '^\\s*(?:(?:\\d{{1,2}}:)?\\d{{1,2}}:\\d{{2}}|[^:\\n：]{{1,24}}[：:]\\s+\\S)') AND p.size >= {B.TARGET})", "false", 2, "true"),
+    "parts": _pack(f"p.size >= {P.PART_LEAST} AND (type = 'section_heading' OR p.size + k.n > {P.PART_MOST})", "false", 0, f"doc_id IN (SELECT doc_id FROM classified WHERE status = 'keep' GROUP BY doc_id HAVING sum(length(text)) >= {P.PART_FROM})"),
+    "text_shape": "SELECT doc_id, length(t) AS char_count, " + ", ".join(f"len(regexp_extract_all(t, {_re('(?m)' + p)})) AS {n}" for p, n in ((r"^#{1,6}[ \t]+", "heading_count"), (r"^[ \t]*\d+[.)][ \t]+", "numbered_step_count"), (r"^[ \t]*(?:\d{1,2}:)?\d{1,2}:\d{2}", "timestamp_line_count"), (r"^\|.+\|$", "table_row_count"))) + " FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
+    "code_to_markdown": "SELECT doc_id, length(md) AS chars, sha256(md) AS markdown_sha256 FROM (SELECT doc_id, f || 'text' || chr(10) || body || chr(10) || f || chr(10) AS md FROM (SELECT doc_id, body, repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(body, '`+'), lambda x: length(x))), 0))) AS f FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\s+$', '') AS body FROM documents)))",
+    "image_context": f"WITH {D.LINES_SQL},{_KINDS}, near AS (SELECT doc_id, line_no, kind, string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND 3 FOLLOWING EXCLUDE CURRENT ROW) AS c FROM kinds) SELECT doc_id, line_no, sha256(c) AS context_sha256 FROM near WHERE kind = 'image_evidence'",
+    "run_identity": "SELECT sha256(sha256(coalesce(text, '')) || ':' || source || ':standard') AS run_key, min(doc_id) AS first_doc, count(*) AS docs FROM documents GROUP BY 1",
+    "rerun_scope": "SELECT last, count(*) AS users FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last FROM events GROUP BY user_id) GROUP BY last",
     "review_pack": f"WITH {_CLASSIFIED} SELECT doc_id, count(*) AS blocks, min(block_idx) AS first_block FROM classified WHERE status = 'review' OR confidence < 0.76 GROUP BY doc_id",
     "render_cleaned": f"WITH {_CLASSIFIED}, r AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY block_idx) AS md FROM classified WHERE status = 'keep' GROUP BY doc_id) SELECT doc_id, length(md) AS chars, sha256(md) AS cleaned_sha256 FROM r",
     "transcript_turns": TR.TURNS_SQL,
@@ -300,7 +367,8 @@ SQL["batch_summary"] = f"SELECT status, count(*) AS items, sum(orders)::BIGINT A
 def queries():
     return {f.__name__: f for f in (
         text_quality, language_hint, language_mix, lines, structure_counts, blockify, heading_path, classify_blocks, block_status_counts, discard_ratio, rule_matches, patch_build, patch_gate, relationships, annotations, chunk_generic, quality_gates,
-        review_pack, render_cleaned, transcript_turns, rolling_dedupe, url_domain, source_pattern, html_to_markdown, latest_run, keep_newest_runs, as_of_page_map, interval_span, first_wins_dedupe, manifest_left_join, batch_summary, id_difference)}
+        review_pack, render_cleaned, transcript_turns, rolling_dedupe, url_domain, source_pattern, html_to_markdown, latest_run, keep_newest_runs, as_of_page_map, interval_span, first_wins_dedupe, manifest_left_join, batch_summary, id_difference,
+        chunk_markdown, chunk_transcript, parts, text_shape, code_to_markdown, json_to_markdown, image_context, run_identity, rerun_scope)}
 
 
 def oracle_sql():
