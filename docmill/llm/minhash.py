@@ -44,8 +44,11 @@ LONG, WINDOW = 256, 4000
 CHUNK = 32
 #: Ids up to this count (16 MB) are broadcast, more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Signature estimates below these rule out a similarity of 2t-1 and of t (t = 0.85).
-RULES_OUT_B, RULES_OUT_LINK = 0.53, 0.70
+
+
+def ruled_out_below(similarity: float) -> float:
+    """Estimates under this (four standard deviations below) rule the similarity out."""
+    return similarity - 4 * (similarity * (1 - similarity) / HASHES) ** 0.5
 
 
 def _powers() -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +249,7 @@ def _linked_in_rest(rest: DataFrame, percent: int) -> DataFrame:
         s = [np.frombuffer(b"".join(x["signature"].to_pylist()), np.uint32).reshape(-1, HASHES) for x in side]
         sets = [[np.frombuffer(h, np.uint64) for h in x["hashes"].to_pylist()] for x in side]
         size = [np.array([len(x) for x in y]) for y in sets]
-        near = (s[0][:, None, :] == s[1][None, :, :]).mean(2) >= RULES_OUT_LINK
+        near = (s[0][:, None, :] == s[1][None, :, :]).mean(2) >= ruled_out_below(percent / 100)
         near &= _similar(np.minimum(size[0][:, None], size[1][None, :]), np.maximum(size[0][:, None], size[1][None, :]), percent)
         found = []
         for i, j in zip(*np.nonzero(near & (ids[0][:, None] != ids[1][None, :]))):
@@ -270,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = materialize(banded.join(lead, ["band", "key"]).where("id <> leader"), "mh-members")
     pairs = member.select(F.col("id").alias("x"), F.col("leader").alias("y")).distinct()
     signatures = nodes.select("id", "signature")
-    estimate = materialize(_estimated(pairs, signatures, RULES_OUT_B), "mh-estimates")
+    estimate = materialize(_estimated(pairs, signatures, ruled_out_below(2 * percent / 100 - 1)), "mh-estimates")
     may = estimate.where("may").select("x", "y")
     sets = materialize(full_sets(docs, may.select(F.explode(F.array("x", "y")).alias("id")).distinct(), id_col, text_col).dropDuplicates(["id"]), "mh-sets")
     stars = materialize(verified(may, sets, percent), "mh-stars")
