@@ -260,6 +260,32 @@ def rerun_scope(spark, sf):
     return last.groupBy("last").agg(F.count("*").alias("users"))
 
 
+def sample_pages(spark, sf):
+    """Pages looked at by a diagnosis, with lines standing in for pages: all up to 80, else the first 5, the last 5 and every tenth."""
+    n = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    picked = F.expr("filter(sequence(0, n - 1), i -> n <= 80 OR i < 5 OR i >= n - 5 OR i % 10 = 0)")
+    return _docs(spark, sf).select("doc_id", n.alias("n")).select("doc_id", F.col("n").cast("long").alias("pages"), F.size(picked).cast("long").alias("sampled"), F.aggregate(picked, F.lit(0).cast("long"), lambda a, i: a + i).alias("checksum"))
+
+
+def bounded_strings(spark, sf):
+    """The first 16 distinct lines of each document, cut to 96 characters, in order."""
+    kept = F.slice(F.array_distinct(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.substring(x, 1, 96)), lambda x: x != "")), 1, 16)
+    return _docs(spark, sf).select("doc_id", F.size(kept).cast("long").alias("strings"), F.sha2(F.array_join(kept, "\n"), 256).alias("strings_sha256"))
+
+
+def promo_split(spark, sf):
+    """Blocks of several lines of which some are promotional: what stays, and the lines that become blocks of their own."""
+    raw = D.decorated_lines(_docs(spark, sf)).where("line <> ''").groupBy("doc_id", F.floor(F.col("line_no") / 12).alias("block")).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    lines_ = raw.select("doc_id", "block", F.inline("l")).withColumn("rule_id", B.promotional_rule(F.col("line")))
+    return lines_.groupBy("doc_id", "block").agg(F.count_if(F.col("rule_id").isNotNull()).alias("derived"), F.count_if(F.col("rule_id").isNull()).alias("left_lines"), F.coalesce(F.sum(F.when(F.col("rule_id").isNull(), F.length("line"))), F.lit(0)).alias("left_chars")).where("derived > 0")
+
+
+def run_status(spark, sf):
+    """failed, completed_with_warnings or completed for each document, from its gates."""
+    g = discard_ratio(spark, sf)
+    return g.groupBy(F.when(F.col("gate") == "fail", "failed").when(F.col("gate") == "warn", "completed_with_warnings").otherwise("completed").alias("status")).agg(F.count("*").alias("docs"))
+
+
 def _re(p: str) -> str:
     return "'" + p.replace("'", "''") + "'"
 
@@ -345,6 +371,10 @@ SQL = {
     "text_shape": "SELECT doc_id, length(t) AS char_count, " + ", ".join(f"len(regexp_extract_all(t, {_re('(?m)' + p)})) AS {n}" for p, n in ((r"^#{1,6}[ \t]+", "heading_count"), (r"^[ \t]*\d+[.)][ \t]+", "numbered_step_count"), (r"^[ \t]*(?:\d{1,2}:)?\d{1,2}:\d{2}", "timestamp_line_count"), (r"^\|.+\|$", "table_row_count"))) + " FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
     "code_to_markdown": "SELECT doc_id, length(md) AS chars, sha256(md) AS markdown_sha256 FROM (SELECT doc_id, f || 'text' || chr(10) || body || chr(10) || f || chr(10) AS md FROM (SELECT doc_id, body, repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(body, '`+'), lambda x: length(x))), 0))) AS f FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\s+$', '') AS body FROM documents)))",
     "image_context": f"WITH {D.LINES_SQL},{_KINDS}, near AS (SELECT doc_id, line_no, kind, string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND 3 FOLLOWING EXCLUDE CURRENT ROW) AS c FROM kinds) SELECT doc_id, line_no, sha256(c) AS context_sha256 FROM near WHERE kind = 'image_evidence'",
+    "sample_pages": "WITH d AS (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents), e AS (SELECT doc_id, n, unnest(range(0, n)) AS i FROM d) SELECT doc_id, n AS pages, count(*) AS sampled, sum(i)::BIGINT AS checksum FROM e WHERE n <= 80 OR i < 5 OR i >= n - 5 OR i % 10 = 0 GROUP BY doc_id, n",
+    "bounded_strings": "WITH l AS (SELECT doc_id, substr(unnest(string_split(coalesce(text, ''), chr(10))), 1, 96) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents), f AS (SELECT doc_id, x, min(i) AS i FROM l WHERE x <> '' GROUP BY doc_id, x), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM f), g AS (SELECT doc_id, count(*) AS n, string_agg(x, chr(10) ORDER BY i) AS s FROM r WHERE rn <= 16 GROUP BY doc_id) SELECT d.doc_id, coalesce(n, 0) AS strings, sha256(coalesce(s, '')) AS strings_sha256 FROM documents d LEFT JOIN g USING (doc_id)",
+    "promo_split": f"WITH {D.LINES_SQL}, p AS (SELECT doc_id, line_no // 12 AS block, line, {_PROMO('line')} AS rule_id FROM lines WHERE line <> '') SELECT doc_id, block::BIGINT AS block, count(rule_id) AS derived, count(*) FILTER (rule_id IS NULL) AS left_lines, coalesce(sum(length(line)) FILTER (rule_id IS NULL), 0)::BIGINT AS left_chars FROM p GROUP BY doc_id, block HAVING count(rule_id) > 0",
+    "run_status": f"WITH {_CLASSIFIED}, {_LOSS} SELECT CASE gate WHEN 'fail' THEN 'failed' WHEN 'warn' THEN 'completed_with_warnings' ELSE 'completed' END AS status, count(*) AS docs FROM gated GROUP BY 1",
     "run_identity": "SELECT sha256(sha256(coalesce(text, '')) || ':' || source || ':standard') AS run_key, min(doc_id) AS first_doc, count(*) AS docs FROM documents GROUP BY 1",
     "rerun_scope": "SELECT last, count(*) AS users FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last FROM events GROUP BY user_id) GROUP BY last",
     "review_pack": f"WITH {_CLASSIFIED} SELECT doc_id, count(*) AS blocks, min(block_idx) AS first_block FROM classified WHERE status = 'review' OR confidence < 0.76 GROUP BY doc_id",
@@ -368,7 +398,7 @@ def queries():
     return {f.__name__: f for f in (
         text_quality, language_hint, language_mix, lines, structure_counts, blockify, heading_path, classify_blocks, block_status_counts, discard_ratio, rule_matches, patch_build, patch_gate, relationships, annotations, chunk_generic, quality_gates,
         review_pack, render_cleaned, transcript_turns, rolling_dedupe, url_domain, source_pattern, html_to_markdown, latest_run, keep_newest_runs, as_of_page_map, interval_span, first_wins_dedupe, manifest_left_join, batch_summary, id_difference,
-        chunk_markdown, chunk_transcript, parts, text_shape, code_to_markdown, json_to_markdown, image_context, run_identity, rerun_scope)}
+        chunk_markdown, chunk_transcript, parts, text_shape, code_to_markdown, json_to_markdown, image_context, run_identity, rerun_scope, sample_pages, bounded_strings, promo_split, run_status)}
 
 
 def oracle_sql():
