@@ -39,12 +39,12 @@ from docmill.llm.common import fold, materialize, table
 
 EXPERTS, COMMON = 6, 300
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TYPES = 3000, 4000, 20_000
-HEAD = 100_000
+HEAD = 200_000
 ORDERS = (1, 2, 3, 4, 6)
 SLOTS = 1 << 18
 PART = 1 << 13
 GATES, BUCKETS = 32, 33
-FLUSH = 300_000
+FLUSH = 800_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -302,10 +302,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", holdout
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of ``docs``."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    head = counts.orderBy(F.desc("c"), "w").limit(HEAD).collect()
-    words = [bytes(r["w"]) for r in head]
-    known = np.array([[r["c"], *[r[f"c{k}"] for k in range(EXPERTS)]] for r in head], float).reshape(len(head), 1 + EXPERTS)
-    logs = np.hstack([np.log10(known[:, :1] + 0.1), model.token_logs(words, known)]) if head else np.zeros((0, 1 + EXPERTS))
+    head = counts.orderBy(F.desc("c"), "w").limit(HEAD).toArrow()
+    words = head["w"].to_pylist()
+    known = np.array([head[c].to_numpy() for c in ("c", *[f"c{k}" for k in range(EXPERTS)])], float).T.reshape(len(words), 1 + EXPERTS)
+    logs = np.hstack([np.log10(known[:, :1] + 0.1), model.token_logs(words, known)]) if words else np.zeros((0, 1 + EXPERTS))
+    del head
     shared = spark.sparkContext.broadcast((words, logs))  # at most HEAD words
     packed = spark.sparkContext.broadcast(cloudpickle.dumps(model))  # fixed size
     sums = [f"s{k}" for k in range(1 + EXPERTS)]  # s0: base, then one for each expert
