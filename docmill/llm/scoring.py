@@ -1,26 +1,27 @@
-"""Language-model scoring by logistic context mixing.
-
-A word is spelled bit by bit. Predictors hash the last 1, 2, 3, 4 and 6 bytes of the
-word with the bits so far to slots of counts, gathered from every word type of
-the corpus. Their stretched chances are combined by weights that a gate (bit and
-place in the word) selects, trained online by gradient steps; an adaptive
-probability map refines the mix. The product over a word's bits and its end is its
-spelling chance.
-
-A token's chance adds the corpus's counts: words as they were counted, backed by
-their spelling in proportion to how often new words came up. Each of ``EXPERTS``
-models counts the words of one kind of document (kinds are found by k-means on the
-commonest words of a bounded sample) and falls back on the whole corpus. A
-document weighs the experts by Bayes' rule as it is read, which is the same as
-mixing the products of the whole text: log10 of the mean over experts.
-
-Words beyond the ``HEAD`` commonest meet their counts by a join, so the vocabulary may
-grow without bound; only the head and the fixed-size tables are broadcast.
-
-Edge cases: a null text counts as empty and has one token, the end; without training
-documents counts are 0 and the spelling model is uniform; rows that agree in id
-and text get equal scores; words of any length are spelled whole; other columns of
-the input are not read.
+"""Language-model scoring by logistic context mixing over running text.
+
+A text is predicted bit by bit as one stream of bytes and an end mark. Predictors hash
+what came before to slots of counts: the last 1, 2, 3, 4 and 6 bytes, across word
+ends, and the word so far with the word before it. Slots count every occurrence in
+the training text. The predictors' stretched chances are mixed by weights that the
+place of the bit selects; an adaptive probability map refines the mix. The product
+over all bits and the end is the text's whole chance: no word counts enter it.
+
+Each of ``EXPERTS`` has weights and a map of its own, fitted to one kind of document
+(kinds are found by k-means on the commonest words). A document weighs the experts
+by Bayes' rule over the whole text: log10 of the mean over experts.
+
+Weights come from Newton steps over all training text: tasks sum gradients and
+curvatures, each bit seen as if it had not been counted. They are frozen for scoring,
+so a text's score does not depend on where it is scored or how rows are dealt.
+
+The base score adds up the logs of word counts; words beyond the ``HEAD`` commonest
+meet their counts by a join, so the vocabulary may grow without bound.
+
+Edge cases: a null text counts as empty: one token, the end; without training
+documents every bit is a half; rows that agree in id and text get equal scores; long
+texts are read in pieces that overlap by ``MARGIN`` bytes, so a word longer than that is
+seen by its last bytes where a piece begins; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -28,22 +29,25 @@ from __future__ import annotations
 import hashlib
 import math
 import pickle
+import zlib
 from collections import Counter
 
 import numpy as np
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.common import fold, materialize, table
 
 EXPERTS, COMMON = 6, 300
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TYPES = 3000, 4000, 20_000
+SAMPLE_DOCS, SAMPLE_CHARS = 3000, 4000
 HEAD = 200_000
 ORDERS = (1, 2, 3, 4, 6)
-SLOTS = 1 << 18
-PART = 1 << 13
-GATES, BUCKETS = 32, 33
+INPUTS = len(ORDERS) + 1  # and the word context
+SLOT_BITS = 18
+PART = 1 << 16
+STEPS, BUCKETS, LIMIT, FINE = 2, 33, 12, 64
+PIECE, MARGIN = 1 << 16, 256
+END = b"\xff"  # in no UTF-8 text
 FLUSH = 800_000
 
 
@@ -90,194 +94,272 @@ class Kinds:
         return int((self.centroids @ self._vector(self.common, counted)).argmax())
 
 
-def _flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes with an end after each word, contexts by order, place in the word, word of each byte)."""
-    raw = np.frombuffer(b" ".join([*words, b""]), np.uint8)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    word = np.repeat(np.arange(len(words)), lengths)
-    place = np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    contexts, h = [], np.zeros(len(raw), np.uint32)
+def _pieces(text: str | None):
+    """(bytes, how many of them only give context): the text and its end."""
+    raw = (text or "").encode("utf-8", "replace") + END
+    for at in range(0, len(raw), PIECE):
+        first = max(at - MARGIN, 0)
+        yield raw[first : at + PIECE], at - first
+
+
+def _buffered(texts):
+    """(owners, pieces) of about ``PIECE`` bytes together, from (owner, text)."""
+    held, size = [], 0
+    for owner, text in texts:
+        for raw, skip in _pieces(text):
+            held.append((owner, raw, skip))
+            size += len(raw)
+            if size >= PIECE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _stream(held) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, contexts by input, owner of each byte) without the bytes that only give context."""
+    raw = np.frombuffer(b"".join(x for _, x, _ in held), np.uint8)
+    lengths = np.array([len(x) for _, x, _ in held])
+    starts = np.cumsum(lengths) - lengths
+    place = np.arange(len(raw)) - np.repeat(starts, lengths)
+    contexts, h = np.empty((INPUTS, len(raw)), np.uint32), np.zeros(len(raw), np.uint32)
     for k in range(1, max(ORDERS) + 1):
-        last = np.zeros(len(raw), np.uint32)
+        last = np.empty(len(raw), np.uint32)
         last[k:] = raw[:-k]
-        last[place < k] = 0
+        last[place < k] = END[0]
         h = (h + last + np.uint32(1)) * np.uint32(0x2F0B4C47) ^ (h >> np.uint32(15))
         if k in ORDERS:
-            contexts.append(h + np.uint32(k))
-    return raw, np.array(contexts), place, word
-
-
-def _slots(contexts: np.ndarray, raw: np.ndarray, bit: int) -> np.ndarray:
+            contexts[ORDERS.index(k)] = h + np.uint32(k)
+    # hashes of the word so far, as differences of one running sum times inverse powers
+    n = len(raw)
+    power, inverse = np.full(n, 0x9E3779B97F4A7C15, np.uint64), np.full(n, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)
+    power[0] = inverse[0] = 1
+    power, inverse = np.cumprod(power), np.cumprod(inverse)
+    term = (raw.astype(np.uint64) + np.uint64(1)) * power
+    sums = np.cumsum(term) - term
+    first = place == 0
+    first[1:] |= raw[:-1] <= 32
+    begin = np.flatnonzero(first)
+    word = np.cumsum(first) - 1
+    sofar = (sums - sums[begin][word]) * inverse[begin][word]
+    before = np.zeros(len(begin), np.uint64)
+    before[1:] = sofar[begin[1:] - 1]
+    before[place[begin] == 0] = 0
+    mixed = (sofar ^ (before[word] * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0xFF51AFD7ED558CCD)
+    contexts[-1] = (mixed >> np.uint64(32)).astype(np.uint32)
+    keep = place >= np.repeat(np.array([skip for _, _, skip in held]), lengths)
+    owner = np.repeat(np.array([o for o, _, _ in held]), lengths)
+    return (raw, contexts, owner) if keep.all() else (raw[keep], contexts[:, keep], owner[keep])
+
+
+def _nodes(context: np.ndarray, raw: np.ndarray, bit: int) -> np.ndarray:
+    """Hash of the context and of the byte's bits before ``bit``."""
     node = ((1 << bit) | (raw.astype(np.uint32) >> np.uint32(8 - bit))).astype(np.uint32)
-    h = (contexts + node * np.uint32(0x9E3779B1)) * np.uint32(0x85EBCA6B)
-    return ((h ^ (h >> np.uint32(13))) & np.uint32(SLOTS - 1)).astype(np.int64)
+    h = (context ^ (node * np.uint32(0x9E3779B1))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(13))
 
 
 def _bits(raw: np.ndarray, bit: int) -> np.ndarray:
     return (raw >> (7 - bit)) & 1
 
 
-def spelled_counts(words: list[bytes]) -> np.ndarray:
-    """(order, slot, bit) counts over word types."""
-    raw, contexts, _, _ = _flat(words)
-    out = np.zeros((len(ORDERS), SLOTS * 2), np.int64)
-    for bit in range(8):
-        slots = _slots(contexts, raw, bit) * 2 + _bits(raw, bit)
-        for k in range(len(ORDERS)):
-            out[k] += np.bincount(slots[k], minlength=SLOTS * 2)
-    return out
-
-
 def _stretch(n0, n1):
-    return (np.log(n1 + 0.4) - np.log(n0 + 0.4)).astype(np.float32)
-
-
-class Speller:
-    """The mixed bit model, frozen after training."""
-
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
-        self.inputs = _stretch(counts[:, 0::2], counts[:, 1::2])
-        self.weights = np.full((GATES, len(ORDERS)), 0.3)
-        self.map = np.tile(np.linspace(-8, 8, BUCKETS), (GATES, 1))
-
-    @staticmethod
-    def _gate(bit, place):
-        return bit * 4 + np.minimum(place, 3)
-
-    def train(self, words: list[bytes], rate: float = 0.02, epochs: int = 3) -> None:
-        """Online steps over sampled types, each seen as if it had not been counted."""
-        if not words:
-            return
-        raw, contexts, place, _ = _flat(words)
-        for _ in range(epochs):
-            for at in range(0, len(raw), 2048):
-                r, c, p = raw[at : at + 2048], contexts[:, at : at + 2048], place[at : at + 2048]
-                for bit in range(8):
-                    slots, y = _slots(c, r, bit), _bits(r, bit)
-                    n1 = np.array([self.counts[k, slots[k] * 2 + 1] for k in range(len(ORDERS))]) - y
-                    n0 = np.array([self.counts[k, slots[k] * 2] for k in range(len(ORDERS))]) - (1 - y)
-                    x = _stretch(np.maximum(n0, 0), np.maximum(n1, 0)).T
-                    g = self._gate(bit, p)
-                    dot = np.clip((x * self.weights[g]).sum(1), -12, 12)
-                    err = y - 1 / (1 + np.exp(-dot))
-                    n = np.maximum(np.bincount(g, minlength=GATES), 1)[:, None]
-                    step = np.zeros_like(self.weights)
-                    np.add.at(step, g, err[:, None] * x)
-                    self.weights += rate * step / np.sqrt(n)
-                    self._refine(g, dot, y)
-
-    def _refine(self, g, dot, y) -> None:
-        t = (np.clip(dot, -8, 8) + 8) * (BUCKETS - 1) / 16
-        lo = np.minimum(t.astype(int), BUCKETS - 2)
-        z = self.map[g, lo] * (1 - (t - lo)) + self.map[g, lo + 1] * (t - lo)
-        err = y - 1 / (1 + np.exp(-z))
-        for k, share in ((lo, 1 - (t - lo)), (lo + 1, t - lo)):
-            step, n = np.zeros_like(self.map), np.zeros_like(self.map)
-            np.add.at(step, (g, k), err * share)
-            np.add.at(n, (g, k), share)
-            self.map += 0.5 * step / np.maximum(n, 4)
-
-    def freeze(self) -> Speller:
+    return np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4)))
+
+
+class Mixer:
+    """The mixed bit model: slots by input and for each expert weights and a map."""
+
+    def __init__(self, counts: list[np.ndarray]):
+        self.counts = counts  # by input: slot * 2 + bit
+        self.masks = [np.uint32(len(c) // 2 - 1) for c in counts]
+        self.weights = np.full((EXPERTS, 8, INPUTS), 0.2)
+        self.centres = np.linspace(-8, 8, BUCKETS)
+        self.map = np.tile(self.centres, (EXPERTS, 8, 1))
+        self.share = np.full(EXPERTS, 1 / EXPERTS)
+
+    def unseen(self, raw, contexts, bit):
+        """(inputs as if each bit had not been counted, bits)."""
+        y = _bits(raw, bit)
+        x = np.empty((INPUTS, len(raw)), np.float32)
+        for k in range(INPUTS):
+            pair = self.counts[k].reshape(-1, 2)[_nodes(contexts[k], raw, bit) & self.masks[k]].astype(np.float32)
+            pair[np.arange(len(raw)), y] -= 1
+            x[k] = _stretch(pair[:, 0], pair[:, 1])
+        return x, y
+
+    def sums(self, kind: int, held, total: dict) -> None:
+        """Add a buffer's gradients, curvatures and map sums of one expert."""
+        raw, contexts, _ = _stream(held)
+        for bit in range(8):
+            x, y = self.unseen(raw, contexts, bit)
+            dot = np.clip(self.weights[kind, bit].astype(np.float32) @ x, -LIMIT, LIMIT)
+            p = 1 / (1 + np.exp(-dot))
+            total["gradient"][kind, bit] += x @ (y - p)
+            total["curve"][kind, bit] += (x * np.maximum(p * (1 - p), 0.005)) @ x.T
+            total["loss"][kind] += np.log1p(np.exp(np.where(y == 1, -dot, dot))).sum(dtype=np.float64)
+            at = np.rint((np.clip(dot, -8, 8) + 8) * ((BUCKETS - 1) / 16)).astype(np.int64)
+            total["ones"][kind, bit] += np.bincount(at, y, BUCKETS)
+            total["seen"][kind, bit] += np.bincount(at, minlength=BUCKETS)
+
+    def step(self, total: dict) -> None:
+        """One Newton step, held to the start where there is little text."""
+        for k in range(EXPERTS):
+            for bit in range(8):
+                pull = total["gradient"][k, bit] - (self.weights[k, bit] - 0.2)
+                self.weights[k, bit] += np.linalg.solve(total["curve"][k, bit] + np.eye(INPUTS), pull)
+
+    def fit_map(self, total: dict) -> None:
+        chance = 1 / (1 + np.exp(-self.centres))
+        p = (total["ones"] + 4 * chance) / (total["seen"] + 4)
+        self.map = np.log(p / (1 - p))
+
+    def freeze(self) -> Mixer:
+        """Slots become their stretched chances in 256ths; mix and map become costs by fine steps of the mix."""
+        self.inputs = []
+        for k in range(INPUTS):
+            c, self.counts[k] = self.counts[k], None
+            self.inputs.append(np.rint(_stretch(c[0::2].astype(np.float32), c[1::2].astype(np.float32)) * 256).astype(np.int16))
         self.counts = None
+        dots = np.arange(-LIMIT * FINE, LIMIT * FINE + 1) / FINE
+        mean = np.array([[(dots + np.interp(dots, self.centres, m)) / 2 for m in row] for row in self.map])
+        self.costs = np.stack([np.logaddexp(0, mean), np.logaddexp(0, -mean)], 2).astype(np.float32) / np.float32(math.log(10))  # of a 0, of a 1
         return self
 
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 of each word's spelling chance, its end included."""
-        out = np.zeros(len(words))
-        at = 0
-        while at < len(words):
-            end, size = at, 0
-            while end < len(words) and (size == 0 or size + len(words[end]) < 100_000):
-                size += len(words[end]) + 1
-                end += 1
-            raw, contexts, place, word = _flat(words[at:end])
-            total = np.zeros(len(raw))
+    def by_expert(self, texts: list[str | None]) -> np.ndarray:
+        """log10 chance of each text, its end included, under each expert."""
+        out = np.zeros((len(texts), EXPERTS))
+        scale = (self.weights * (FINE / 256)).astype(np.float32)
+        for held in _buffered(enumerate(texts)):
+            raw, contexts, owner = _stream(held)
+            spent = np.zeros((EXPERTS, len(raw)), np.float32)
+            x = np.empty((INPUTS, len(raw)), np.float32)
             for bit in range(8):
-                slots, y, g = _slots(contexts, raw, bit), _bits(raw, bit), self._gate(bit, place)
-                dot = np.zeros(len(raw))
-                for k in range(len(ORDERS)):
-                    dot += self.weights[g, k] * self.inputs[k][slots[k]]
-                t = (np.clip(dot, -8, 8) + 8) * (BUCKETS - 1) / 16
-                lo = np.minimum(t.astype(int), BUCKETS - 2)
-                z = self.map[g, lo] * (1 - (t - lo)) + self.map[g, lo + 1] * (t - lo)
-                mean = 0.5 * (np.clip(dot, -12, 12) + z)
-                total -= np.log1p(np.exp(np.where(y == 1, -mean, mean)))
-            out[at:end] = np.bincount(word, total, end - at) / math.log(10)
-            at = end
+                for k in range(INPUTS):
+                    x[k] = self.inputs[k][_nodes(contexts[k], raw, bit) & self.masks[k]]
+                at = np.rint(np.clip(scale[:, bit] @ x, -LIMIT * FINE, LIMIT * FINE)).astype(np.int32) + LIMIT * FINE
+                at += _bits(raw, bit).astype(np.int32) * (2 * LIMIT * FINE + 1)
+                for e in range(EXPERTS):
+                    spent[e] += self.costs[e, bit].ravel()[at[e]]
+            least, last = int(owner[0]), int(owner[-1]) + 1
+            for e in range(EXPERTS):
+                out[least:last, e] -= np.bincount(owner - least, spent[e], last - least)
         return out
 
+    def log10(self, words: list[bytes]) -> np.ndarray:
+        """log10 chance of each as a whole text, under the mean of the experts."""
+        x = self.by_expert([w.decode("latin-1") if isinstance(w, bytes) else w for w in words]) + np.log10(self.share)
+        top = x.max(1, keepdims=True)
+        return (top + np.log10((10.0 ** (x - top)).sum(1, keepdims=True)))[:, 0]
 
-class Model:
-    """Counts, spelling and experts: what scoring tasks need."""
 
-    def __init__(self, kinds, speller, n, types, once, by_kind, share):
-        self.kinds, self.speller, self.n, self.types, self.once, self.by_kind, self.share = kinds, speller, n, types, once, by_kind, share
+class Model:
+    """What scoring tasks need, and the sizes of the training text."""
 
-    def token_logs(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """log10 chance of each word under each expert; ``counts``: whole corpus, then one column for each expert."""
-        spelled = 10.0 ** np.maximum(self.speller.log10(words), -300)
-        whole = (counts[:, 0] + self.once * spelled) / (self.n + self.once)
-        strength = self.once * (self.by_kind / max(self.n, 1)) + 1
-        return np.log10((counts[:, 1:] + strength * whole[:, None]) / (self.by_kind + strength))
+    def __init__(self, kinds, speller, n, types, share):
+        self.kinds, self.speller, self.n, self.types, self.share = kinds, speller, n, types, share
 
 
 def _training(docs, id_col, text_col, holdout):
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.coalesce(fold(F.col("id"), holdout) != 0, F.lit(True)))
 
 
-def count_words(train: DataFrame, kinds: Kinds) -> DataFrame:
-    """(w, c, c0, c1, ...): counts of every token over all training documents, by kind."""
+def count_words(train: DataFrame) -> DataFrame:
+    """(w, c): counts of every token over all training documents."""
 
     def run(batches):
         import pyarrow as pa
 
         def out(tally):
-            w = [w for t in tally for w in t]
-            kind = [k for k, t in enumerate(tally) for _ in t]
-            return pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(kind, pa.int32()), pa.array([n for t in tally for n in t.values()], pa.int64())], names=["w", "kind", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(tally), pa.binary()), pa.array(list(tally.values()), pa.int64())], names=["w", "n"])
 
-        tally = [Counter() for _ in range(EXPERTS)]
+        tally = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                words = Counter(tokens(t))
-                tally[kinds.of(words)].update(words)
-                if sum(map(len, tally)) > FLUSH:
+                tally.update(tokens(t))
+                if len(tally) > FLUSH:
                     yield out(tally)
-                    tally = [Counter() for _ in range(EXPERTS)]
+                    tally = Counter()
         yield out(tally)
 
-    rows = train.select("text").mapInArrow(run, "w binary, kind int, n bigint")
-    return rows.groupBy("w").agg(F.sum("n").alias("c"), *[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(EXPERTS)])
+    return train.select("text").mapInArrow(run, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("c"))
 
 
-def _spelling_counts(counts: DataFrame) -> np.ndarray:
-    """Slots of all word types, summed over tasks in parts of ``PART`` slots: fixed size whatever the corpus."""
+def slot_counts(train: DataFrame, bits: list[int]) -> list[np.ndarray]:
+    """By input, counts of every bit of the training text (slot * 2 + bit), summed over tasks in parts of ``PART``."""
 
     def gather(batches):
         import pyarrow as pa
 
-        held = np.zeros((len(ORDERS), SLOTS * 2), np.int64)
-        for b in batches:
-            words = b.column(0).to_pylist()
-            for at in range(0, len(words), 10_000):
-                held += spelled_counts(words[at : at + 10_000])
-        flat = held.ravel()
-        parts = [(i, flat[i * PART : (i + 1) * PART]) for i in range(len(flat) // PART)]
-        parts = [(i, x) for i, x in parts if x.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x.tobytes() for _, x in parts], pa.binary())], names=["part", "sums"])
+        held = [np.zeros(2 << b, np.uint32) for b in bits]
+        texts = ((0, t) for b in batches for t in b.column(0).to_pylist())
+        for some in _buffered(texts):
+            raw, contexts, _ = _stream(some)
+            for bit in range(8):
+                y = _bits(raw, bit)
+                for k in range(INPUTS):
+                    np.add.at(held[k], (_nodes(contexts[k], raw, bit) & np.uint32((1 << bits[k]) - 1)).astype(np.int64) * 2 + y, np.uint32(1))
+        for k, x in enumerate(held):
+            for at in range(0, len(x), PART):
+                if (part := x[at : at + PART]).any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at], pa.int64()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["input", "at", "sums"])
 
     def add(t):
         import pyarrow as pa
 
-        total = sum(np.frombuffer(x, np.int64) for x in t["sums"].to_pylist())
-        return pa.table({"part": t["part"][:1].cast(pa.int32()), "sums": pa.array([np.asarray(total).tobytes()], pa.binary())})
+        total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64) for x in t["sums"].to_pylist())
+        packed = zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)
+        return pa.table({"input": t["input"][:1], "at": t["at"][:1], "sums": pa.array([packed], pa.binary())})
+
+    form = "input int, at bigint, sums binary"
+    few = train.select("text").coalesce(train.sparkSession.sparkContext.defaultParallelism)  # one table for each core
+    out = [np.zeros(2 << b, np.uint32) for b in bits]
+    for r in few.mapInArrow(gather, form).groupBy("input", "at").applyInArrow(add, form).toLocalIterator():
+        part = np.frombuffer(zlib.decompress(r["sums"]), np.uint32)
+        out[r["input"]][r["at"] : r["at"] + len(part)] = part
+    return out
+
 
-    rows = counts.select("w").coalesce(24).mapInArrow(gather, "part int, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary")
-    out = np.zeros(len(ORDERS) * SLOTS * 2, np.int64)
-    for r in rows.toLocalIterator():
-        out[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["sums"], np.int64)
-    return out.reshape(len(ORDERS), SLOTS * 2)
+def train_mixer(train: DataFrame, kinds: Kinds, mixer: Mixer) -> None:
+    """Newton steps, then the maps, from sums over all training text; the experts' shares from the kinds."""
+    counts = train.sparkSession.sparkContext.broadcast(mixer.counts)
+    shapes = {"gradient": (EXPERTS, 8, INPUTS), "curve": (EXPERTS, 8, INPUTS, INPUTS), "loss": (EXPERTS,), "ones": (EXPERTS, 8, BUCKETS), "seen": (EXPERTS, 8, BUCKETS), "docs": (EXPERTS,)}
+    for number in range(STEPS + 1):
+        weights = mixer.weights
+
+        def run(batches, weights=weights):
+            import pyarrow as pa
+
+            m = Mixer(counts.value)
+            m.weights = weights
+            total = {name: np.zeros(shape) for name, shape in shapes.items()}
+            held = [([], 0) for _ in range(EXPERTS)]
+            for b in batches:
+                for t in b.column(0).to_pylist():
+                    k = kinds.of(Counter(tokens(t)))
+                    total["docs"][k] += 1
+                    for raw, skip in _pieces(t):
+                        some, size = held[k]
+                        some.append((0, raw, skip))
+                        held[k] = (some, size + len(raw))
+                        if held[k][1] >= PIECE:
+                            m.sums(k, some, total)
+                            held[k] = ([], 0)
+            for k, (some, _) in enumerate(held):
+                if some:
+                    m.sums(k, some, total)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], names=["sums"])
+
+        total = {name: np.zeros(shape) for name, shape in shapes.items()}
+        for r in train.select("text").mapInArrow(run, "sums binary").toLocalIterator():
+            for name, x in pickle.loads(r["sums"]).items():
+                total[name] += x
+        if number < STEPS:
+            mixer.step(total)
+    mixer.fit_map(total)
+    mixer.share = (total["docs"] + 1) / (total["docs"] + 1).sum()
+    counts.destroy()
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", holdout: int = 10) -> tuple[Model, DataFrame]:
@@ -288,28 +370,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", holdout
     at = F.pmod(F.xxhash64(F.lit(9), F.col("id").cast("string")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
     sample = train.where(draw < SAMPLE_DOCS / max(n_docs, 1)).select("id", F.substring("text", at, F.lit(SAMPLE_CHARS)).alias("piece")).orderBy("id", "piece").collect()
     kinds = Kinds.learn([tokens(r["piece"]) for r in sample])
-    counts = materialize(count_words(train, kinds), "lm-counts")
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), *[F.coalesce(F.sum(f"c{k}"), F.lit(0)) for k in range(EXPERTS)]).first()
-    ends = counts.where("w = X''").first()
-    speller = Speller(_spelling_counts(counts))
-    types = counts.select("w").orderBy(F.xxhash64("w"), "w").limit(SAMPLE_TYPES).collect()
-    speller.train([bytes(r["w"]) for r in types])
-    by_kind = np.array(totals[3:], float)
-    share = np.array([ends[f"c{k}"] if ends else 0 for k in range(EXPERTS)], float) + 1
-    return Model(kinds, speller.freeze(), totals[0], totals[1], max(1, totals[2]), by_kind, share / share.sum()), counts
+    counts = materialize(count_words(train), "lm-counts")
+    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    mixer = Mixer(slot_counts(train, [SLOT_BITS] * INPUTS))
+    train_mixer(train, kinds, mixer)
+    return Model(kinds, mixer.freeze(), totals[0], totals[1], mixer.share), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of ``docs``."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     head = counts.orderBy(F.desc("c"), "w").limit(HEAD).toArrow()
-    words = head["w"].to_pylist()
-    known = np.array([head[c].to_numpy() for c in ("c", *[f"c{k}" for k in range(EXPERTS)])], float).T.reshape(len(words), 1 + EXPERTS)
-    logs = np.hstack([np.log10(known[:, :1] + 0.1), model.token_logs(words, known)]) if words else np.zeros((0, 1 + EXPERTS))
+    words, logs = head["w"].to_pylist(), np.log10(head["c"].to_numpy().astype(float) + 0.1)
     del head
     shared = spark.sparkContext.broadcast((words, logs))  # at most HEAD words
-    packed = spark.sparkContext.broadcast(cloudpickle.dumps(model))  # fixed size
-    sums = [f"s{k}" for k in range(1 + EXPERTS)]  # s0: base, then one for each expert
+    packed = spark.sparkContext.broadcast(model.speller)
 
     def run(batches):
         import pyarrow as pa
@@ -319,45 +394,37 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                ids, marks, w, n, total, size, found, s = [], [], [], [], [], [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
+                ids, marks, w, n, total, size, base, experts = [], [], [], [], [], [], [], []
+                texts = part.column(1).to_pylist()
+                streamed = packed.value.by_expert(texts).tolist()
+                for i, text in enumerate(texts):
                     mark = hashlib.blake2b(b"" if text is None else text.encode("utf-8", "replace") + b"\1", digest_size=16).digest()
                     counted = Counter(tokens(text))
                     at_head = [(j, c) for x, c in counted.items() if (j := place.get(x)) is not None]
                     rest = [(x, c) for x, c in counted.items() if x not in place]
                     k = np.array(at_head, np.int64).reshape(-1, 2)
                     ids.append(i), marks.append(mark), w.append(None), n.append(int(k[:, 1].sum())), total.append(sum(counted.values())), size.append(len((text or "").encode("utf-8", "replace")))
-                    s.append(k[:, 1] @ logs[k[:, 0]] if len(k) else np.zeros(1 + EXPERTS))
+                    base.append(float(k[:, 1] @ logs[k[:, 0]])), experts.append(streamed[i])
                     for x, c in rest:
                         ids.append(i), marks.append(mark), w.append(x), n.append(c), total.append(None), size.append(None)
-                        s.append(None)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ids, pa.int64())), pa.array(marks, pa.binary()), pa.array(w, pa.binary()), pa.array(n, pa.int64()), pa.array(total, pa.int64()), pa.array(size, pa.int64()), pa.array(s, pa.list_(pa.float64()))], names=["id", "mark", "w", "n", "total", "bytes", "s"])
+                        base.append(None), experts.append(None)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ids, pa.int64())), pa.array(marks, pa.binary()), pa.array(w, pa.binary()), pa.array(n, pa.int64()), pa.array(total, pa.int64()), pa.array(size, pa.int64()), pa.array(base, pa.float64()), pa.array(experts, pa.list_(pa.float64()))], names=["id", "mark", "w", "n", "total", "bytes", "base", "s"])
 
-    rows = materialize(docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, mark binary, w binary, n bigint, total bigint, bytes bigint, s array<double>"), "lm-rows")
+    rows = materialize(docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, mark binary, w binary, n bigint, total bigint, bytes bigint, base double, s array<double>"), "lm-rows")
     tail = rows.where("w IS NOT NULL").select("id", "mark", "w", "n")
-
-    def tokens_of(batches):
-        import pyarrow as pa
-
-        m = pickle.loads(packed.value)
-        for b in batches:
-            c = np.array([x.to_numpy(zero_copy_only=False) for x in b.columns[1:]], float).T.reshape(-1, 1 + EXPERTS)
-            x = m.token_logs(b.column(0).to_pylist(), c)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c[:, 0] > 0), pa.array(np.log10(c[:, 0] + 0.1)), *[pa.array(x[:, k]) for k in range(EXPERTS)]], names=["w", "known", *sums])
-
-    met = tail.select("w").distinct().join(counts, "w", "left").select("w", *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("c", *[f"c{k}" for k in range(EXPERTS)])])
-    priced = materialize(met.mapInArrow(tokens_of, "w binary, known boolean, " + ", ".join(f"{s} double" for s in sums)), "lm-tail")
-    of_tail = tail.join(priced, "w").groupBy("id", "mark").agg(F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("n"), *[F.sum(F.col("n") * F.col(s)).alias(s) for s in sums])
-    of_head = rows.where("w IS NULL").groupBy("id", "mark").agg(F.count("*").alias("copies"), F.max("n").alias("n"), F.max("total").alias("total"), F.max("bytes").alias("bytes"), *[F.max(F.col("s")[k]).alias(f"h{k}") for k in range(1 + EXPERTS)])
-    tails = of_tail.select(F.col("id").alias("tid"), F.col("mark").alias("tmark"), F.col("n").alias("tn"), *sums)
+    met = tail.select("w").distinct().join(counts, "w", "left").select("w", F.col("c").isNotNull().alias("known"), F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1)).alias("log"))
+    priced = materialize(met, "lm-tail")
+    of_tail = tail.join(priced, "w").groupBy("id", "mark").agg(F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("tn"), F.sum(F.col("n") * F.col("log")).alias("tbase"))
+    of_head = rows.where("w IS NULL").groupBy("id", "mark").agg(F.count("*").alias("copies"), F.max("n").alias("n"), F.max("total").alias("total"), F.max("bytes").alias("bytes"), F.max("base").alias("base"), *[F.max(F.col("s")[k]).alias(f"h{k}") for k in range(EXPERTS)])
+    tails = of_tail.select(F.col("id").alias("tid"), F.col("mark").alias("tmark"), "tn", "tbase")
     met = of_head.join(tails, F.col("id").eqNullSafe(F.col("tid")) & (F.col("mark") == F.col("tmark")), "left")
-    part = lambda k: F.col(f"h{k}") + F.coalesce(F.col(f"s{k}") / F.col("copies"), F.lit(0.0))
-    total = [part(k + 1) + math.log10(model.share[k]) for k in range(EXPERTS)]
+    base = F.col("base") + F.coalesce(F.col("tbase") / F.col("copies"), F.lit(0.0))
+    total = [F.col(f"h{k}") + math.log10(model.share[k]) for k in range(EXPERTS)]
     top = F.greatest(*total)
     mixed = top + F.log10(sum((F.pow(F.lit(10.0), F.greatest(t - top, F.lit(-300.0))) for t in total), F.lit(0.0)))
     return met.select(
         F.col("id").alias(id_col), F.col("total").alias("n_tokens"), (F.col("n") + F.coalesce((F.col("tn") / F.col("copies")).cast("long"), F.lit(0))).alias("n_known"), F.lit(int(model.n)).cast("long").alias("train_tokens"),
-        (part(0) - F.col("total") * F.lit(math.log10(model.n + 0.1 * (model.types + 1)))).alias("base_score"), mixed.alias("score"),
+        (base - F.col("total") * F.lit(math.log10(model.n + 0.1 * (model.types + 1)))).alias("base_score"), mixed.alias("score"),
         (-mixed * F.lit(math.log2(10)) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"),
     ).drop("_copy")
 

@@ -267,3 +267,22 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 180)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()}
     assert got == {**{i: 0 for i in range(51)}, **{i: 100 for i in range(100, 180)}}
+
+
+def test_scoring_reads_word_order(spark):
+    rnd = random.Random(8)
+    follows = {w: rnd.sample(WORDS, 2) for w in WORDS}
+
+    def chain(n):
+        out = [rnd.choice(WORDS)]
+        while len(out) < n:
+            out.append(rnd.choice(follows[out[-1]]))
+        return out
+
+    df = spark.createDataFrame([(i, " ".join(chain(120))) for i in range(150)], "doc_id long, text string")
+    model, counts = scoring.fit(df, holdout=1000)
+    fresh = chain(200)
+    mixed = rnd.sample(fresh, len(fresh))
+    long = " ".join(chain(12_000))  # more than one piece
+    got = {r["doc_id"]: r["score"] for r in scoring.score(spark.createDataFrame([(1, " ".join(fresh)), (2, " ".join(mixed)), (3, long)], "doc_id long, text string"), model, counts).collect()}
+    assert got[1] > 0.8 * got[2] and len(long) > scoring.PIECE and math.isfinite(got[3])
