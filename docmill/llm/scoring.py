@@ -7,8 +7,10 @@ the training text. The predictors' stretched chances are mixed by weights that t
 place of the bit selects; an adaptive probability map refines the mix. The product
 over all bits and the end is the text's whole chance: no word counts enter it.
 
+Slots are as many as distinct contexts ask for, so the model grows with the corpus.
+
 Each of ``EXPERTS`` has weights and a map of its own, fitted to one kind of document
-(kinds are found by k-means on the commonest words). A document weighs the experts
+(kinds are found by k-means on the commonest words of all training documents). A document weighs the experts
 by Bayes' rule over the whole text: log10 of the mean over experts.
 
 Weights come from Newton steps over all training text: tasks sum gradients and
@@ -26,9 +28,11 @@ seen by its last bytes where a piece begins; other columns of the input are not
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import math
 import pickle
+import uuid
 import zlib
 from collections import Counter
 
@@ -36,14 +40,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import fold, materialize, table
+from docmill.llm.common import discard, fold, materialize, table, worker_store
 
 EXPERTS, COMMON = 6, 300
-SAMPLE_DOCS, SAMPLE_CHARS = 3000, 4000
 HEAD = 200_000
 ORDERS = (1, 2, 3, 4, 6)
 INPUTS = len(ORDERS) + 1  # and the word context
-SLOT_BITS = 18
+LEAST_BITS, SPARSE = 16, 6  # slots at least; one in 2^SPARSE contexts is kept to count them
 PART = 1 << 16
 STEPS, BUCKETS, LIMIT, FINE = 2, 33, 12, 64
 PIECE, MARGIN = 1 << 16, 256
@@ -63,23 +66,61 @@ class Kinds:
         self.common, self.centroids = common, centroids
 
     @classmethod
-    def learn(cls, texts: list[list[bytes]]) -> Kinds:
-        seen = Counter()
-        for t in texts:
-            seen.update(set(t))
-        common = {w: i for i, (w, _) in enumerate(sorted(((w, n) for w, n in seen.items() if w), key=lambda x: (-x[1], x[0]))[:COMMON])}
-        x = np.array([cls._vector(common, Counter(t)) for t in texts]).reshape(len(texts), COMMON)
-        x = x[x.any(1)]
-        if len(x) < EXPERTS:
+    def learn(cls, train: DataFrame, counts: DataFrame) -> Kinds:
+        """k-means over all training documents: tasks sum the vectors nearest to each centroid."""
+        rows = counts.where("w <> X''").orderBy(F.desc("c"), "w").limit(COMMON).collect()
+        common = {bytes(r["w"]): i for i, r in enumerate(rows)}
+        if not common:
             return cls(common, np.zeros((EXPERTS, COMMON)))
-        chosen = [0]  # farthest-first start, so that reruns agree
-        for _ in range(EXPERTS - 1):
-            chosen.append(int((x @ x[chosen].T).max(1).argmin()))
-        c = x[chosen]
+
+        def vectors(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                x = [cls._vector(common, Counter(tokens(t))).astype(np.float32) for t in b.column(0).to_pylist()]
+                at = [np.flatnonzero(v) for v in x]
+                yield pa.RecordBatch.from_arrays([pa.array([k.astype(np.uint16).tobytes() for k in at], pa.binary()), pa.array([v[k].tobytes() for v, k in zip(x, at)], pa.binary())], names=["at", "x"])
+
+        held = materialize(train.select("text").mapInArrow(vectors, "at binary, x binary"), "lm-vectors")
+
+        def sums(c: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+            """Sum of the vectors nearest to each centroid, and the vector that is farthest from all."""
+
+            def run(batches):
+                import pyarrow as pa
+
+                total, worst = np.zeros((len(c), COMMON)), (2.0, b"")
+                for b in batches:
+                    for at in range(0, b.num_rows, 1024):
+                        part = b.slice(at, 1024)
+                        x = np.zeros((part.num_rows, COMMON), np.float32)
+                        for i, (k, v) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
+                            x[i, np.frombuffer(k, np.uint16)] = np.frombuffer(v, np.float32)
+                        x = x[x.any(1)]
+                        if len(x):
+                            near = x @ c.T.astype(np.float32)
+                            np.add.at(total, near.argmax(1), x)
+                            far = near.max(1)
+                            worst = min([worst, *((float(far[i]), x[i].tobytes()) for i in np.flatnonzero(far == far.min()))])
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([worst[0]], pa.float64()), pa.array([worst[1]], pa.binary())], names=["total", "far", "worst"])
+
+            total, worst = np.zeros((len(c), COMMON)), (2.0, b"")
+            for r in held.mapInArrow(run, "total binary, far double, worst binary").toLocalIterator():
+                total += np.frombuffer(r["total"]).reshape(total.shape)
+                worst = min(worst, (r["far"], bytes(r["worst"])))
+            return total, np.frombuffer(worst[1], np.float32).astype(float) if worst[1] else None
+
+        unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        c = unit(sums(np.zeros((1, COMMON)))[0])
+        while len(c) < EXPERTS:  # farthest-first start, so that reruns agree
+            worst = sums(c)[1]
+            c = np.vstack([c, worst if worst is not None else np.zeros(COMMON)])
         for _ in range(15):
-            nearest = (x @ c.T).argmax(1)
-            c = np.array([x[nearest == k].sum(0) if (nearest == k).any() else c[k] for k in range(EXPERTS)])
-            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+            total, before = sums(c)[0], c
+            c = np.where(total.any(1, keepdims=True), unit(total), c)
+            if np.abs(c - before).max() < 1e-6:
+                break
+        discard(held)
         return cls(common, c)
 
     @staticmethod
@@ -227,6 +268,17 @@ class Mixer:
         self.costs = np.stack([np.logaddexp(0, mean), np.logaddexp(0, -mean)], 2).astype(np.float32) / np.float32(math.log(10))  # of a 0, of a 1
         return self
 
+    def bare(self) -> Mixer:
+        """Without the slots, which travel packed."""
+        out = copy.copy(self)
+        out.inputs = None
+        return out
+
+    def filled(self, inputs: list[np.ndarray]) -> Mixer:
+        out = copy.copy(self)
+        out.inputs = inputs
+        return out
+
     def by_expert(self, texts: list[str | None]) -> np.ndarray:
         """log10 chance of each text, its end included, under each expert."""
         out = np.zeros((len(texts), EXPERTS))
@@ -286,6 +338,45 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("c"))
 
 
+def _packed(tables: list[np.ndarray]) -> tuple[str, list[tuple[str, bytes]]]:
+    return uuid.uuid4().hex, [(x.dtype.str, zlib.compress(x.tobytes(), 1)) for x in tables]
+
+
+def _unpacked(packed) -> list[np.ndarray]:
+    """The tables, unpacked once for each worker."""
+    name, tables = packed
+    held = worker_store()
+    if held.get("lm-tables", ("",))[0] != name:
+        held["lm-tables"] = (name, [np.frombuffer(zlib.decompress(x), kind) for kind, x in tables])
+    return held["lm-tables"][1]
+
+
+def slot_bits(train: DataFrame) -> list[int]:
+    """By input, the bits of a slot number that give every distinct node of the training text a slot of its own or more.
+
+    Nodes before the bits 4 and 7 of a byte are counted by the share of hashes that begin with
+    ``SPARSE`` zeros; those before the bits 0 to 3 are at most as many as before 4, those before 5 and 6 as before 7.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        seen = [np.zeros(0, np.uint32) for _ in range(2 * INPUTS)]
+        for some in _buffered((0, t) for b in batches for t in b.column(0).to_pylist()):
+            raw, contexts, _ = _stream(some)
+            for k in range(INPUTS):
+                for j, bit in enumerate((4, 7)):
+                    h = _nodes(contexts[k], raw, bit)
+                    seen[2 * k + j] = np.union1d(seen[2 * k + j], h[h >> np.uint32(32 - SPARSE) == 0])
+        for k, x in enumerate(seen):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array(x.astype(np.int64))], names=["input", "h"])
+
+    found = train.select("text").mapInArrow(run, "input int, h bigint").distinct().groupBy("input").count().collect()
+    n = {r["input"]: r["count"] << SPARSE for r in found}
+    nodes = [5 * n.get(2 * k, 0) + 3 * n.get(2 * k + 1, 0) for k in range(INPUTS)]
+    return [max(LEAST_BITS, math.ceil(math.log2(max(x, 1)))) for x in nodes]
+
+
 def slot_counts(train: DataFrame, bits: list[int]) -> list[np.ndarray]:
     """By input, counts of every bit of the training text (slot * 2 + bit), summed over tasks in parts of ``PART``."""
 
@@ -323,7 +414,7 @@ def slot_counts(train: DataFrame, bits: list[int]) -> list[np.ndarray]:
 
 def train_mixer(train: DataFrame, kinds: Kinds, mixer: Mixer) -> None:
     """Newton steps, then the maps, from sums over all training text; the experts' shares from the kinds."""
-    counts = train.sparkSession.sparkContext.broadcast(mixer.counts)
+    counts = train.sparkSession.sparkContext.broadcast(_packed(mixer.counts))
     shapes = {"gradient": (EXPERTS, 8, INPUTS), "curve": (EXPERTS, 8, INPUTS, INPUTS), "loss": (EXPERTS,), "ones": (EXPERTS, 8, BUCKETS), "seen": (EXPERTS, 8, BUCKETS), "docs": (EXPERTS,)}
     for number in range(STEPS + 1):
         weights = mixer.weights
@@ -331,7 +422,7 @@ def train_mixer(train: DataFrame, kinds: Kinds, mixer: Mixer) -> None:
         def run(batches, weights=weights):
             import pyarrow as pa
 
-            m = Mixer(counts.value)
+            m = Mixer(_unpacked(counts.value))
             m.weights = weights
             total = {name: np.zeros(shape) for name, shape in shapes.items()}
             held = [([], 0) for _ in range(EXPERTS)]
@@ -365,14 +456,10 @@ def train_mixer(train: DataFrame, kinds: Kinds, mixer: Mixer) -> None:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", holdout: int = 10) -> tuple[Model, DataFrame]:
     """The model and the table of counts."""
     train = _training(docs, id_col, text_col, holdout)
-    n_docs = train.count()
-    draw = F.pmod(F.xxhash64(F.lit(6), F.col("id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    at = F.pmod(F.xxhash64(F.lit(9), F.col("id").cast("string")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
-    sample = train.where(draw < SAMPLE_DOCS / max(n_docs, 1)).select("id", F.substring("text", at, F.lit(SAMPLE_CHARS)).alias("piece")).orderBy("id", "piece").collect()
-    kinds = Kinds.learn([tokens(r["piece"]) for r in sample])
     counts = materialize(count_words(train), "lm-counts")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    mixer = Mixer(slot_counts(train, [SLOT_BITS] * INPUTS))
+    kinds = Kinds.learn(train, counts)
+    mixer = Mixer(slot_counts(train, slot_bits(train)))
     train_mixer(train, kinds, mixer)
     return Model(kinds, mixer.freeze(), totals[0], totals[1], mixer.share), counts
 
@@ -384,19 +471,21 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     words, logs = head["w"].to_pylist(), np.log10(head["c"].to_numpy().astype(float) + 0.1)
     del head
     shared = spark.sparkContext.broadcast((words, logs))  # at most HEAD words
-    packed = spark.sparkContext.broadcast(model.speller)
+    packed = spark.sparkContext.broadcast(_packed(model.speller.inputs))
+    bare = model.speller.bare()
 
     def run(batches):
         import pyarrow as pa
 
         words, logs = shared.value
+        speller = bare.filled(_unpacked(packed.value))
         place = {w: i for i, w in enumerate(words)}
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 ids, marks, w, n, total, size, base, experts = [], [], [], [], [], [], [], []
                 texts = part.column(1).to_pylist()
-                streamed = packed.value.by_expert(texts).tolist()
+                streamed = speller.by_expert(texts).tolist()
                 for i, text in enumerate(texts):
                     mark = hashlib.blake2b(b"" if text is None else text.encode("utf-8", "replace") + b"\1", digest_size=16).digest()
                     counted = Counter(tokens(text))

@@ -286,3 +286,19 @@ def test_scoring_reads_word_order(spark):
     long = " ".join(chain(12_000))  # more than one piece
     got = {r["doc_id"]: r["score"] for r in scoring.score(spark.createDataFrame([(1, " ".join(fresh)), (2, " ".join(mixed)), (3, long)], "doc_id long, text string"), model, counts).collect()}
     assert got[1] > 0.8 * got[2] and len(long) > scoring.PIECE and math.isfinite(got[3])
+
+
+def test_scoring_grows_with_the_corpus(spark):
+    rnd = random.Random(9)
+    rows = [(i, " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(60))) for i in range(600)]
+    small, large = (spark.createDataFrame(r, "doc_id long, text string").repartition(3) for r in (rows[:60], rows))
+    few, many = scoring.slot_bits(small), scoring.slot_bits(large)
+    nodes = {(t[max(i - 6, 0):i], i == 0, t[i]) for _, t in rows for i in range(len(t))}
+    assert many[4] > few[4] and 1 << many[4] >= len(nodes)
+    counts = scoring.slot_counts(small, few)
+    n_bytes = sum(len(t) + 1 for _, t in rows[:60])
+    assert all(int(c.sum(dtype="int64")) == 8 * n_bytes for c in counts)
+    # kinds come from every document: two kinds of words dealt half and half are told apart
+    kinds = spark.createDataFrame([(i, ("red green blue " if i % 2 else "one two three ") * 9) for i in range(4000)], "doc_id long, text string")
+    k = scoring.Kinds.learn(kinds, scoring.count_words(kinds))
+    assert k.of(Counter([b"red", b"green"])) != k.of(Counter([b"one", b"two"]))
