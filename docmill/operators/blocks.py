@@ -47,23 +47,40 @@ def blockify(lines: DataFrame) -> DataFrame:
     return b.select("doc_id", F.col("block_idx").cast("long"), kind.alias("type"), "text", F.col("line_start").cast("long"), F.col("line_end").cast("long"), F.col("kind").isin("code", "table").alias("protected"), "heading_path")
 
 
+def _any_match(c: F.Column, patterns: list[str]) -> F.Column:
+    return T.matches(c, "|".join(f"(?:{p})" for p in patterns))
+
+
+def wrapper_type(t: F.Column, squeezed: F.Column, searched: F.Column) -> F.Column:
+    """marketing_cta, back_matter, marketing_wrapper or null: packaging that sells instead of teaching.
+
+    A tutorial term near a business term needs no test of its own: a business term anywhere is a method signal.
+    """
+    cta = (F.length(squeezed) <= 80) & T.contains_any(squeezed, [x.replace(" ", "") for x in T.CTA]) & ~T.holds_any(squeezed, T.TUTORIAL) & ~T.knowledge_signal(squeezed)
+    step = ~t.startswith("```") & ~t.startswith("|") & ~F.contains(F.lower(t), F.lit("<table")) & T.matches(t, T.METHOD_STEP, "iuUm")
+    method = step | T.holds_any(searched, T.BUSINESS) | T.knowledge_signal(searched)
+    return F.when(T.matches(t, T.REFUND), F.lit(None).cast("string")).when(cta, "marketing_cta").when(
+        T.holds_any(searched, T.WRAPPER_HEADING) & ~method, F.when(T.holds_any(searched, T.BACK_MATTER), "back_matter").otherwise("marketing_wrapper")).when(_any_match(t, T.WRAPPER_LINE) & ~method, "marketing_wrapper")
+
+
 def classify(blocks: DataFrame) -> DataFrame:
     """Blocks with type, status, protected, confidence and reason by the first rule that fits."""
     t, kind = F.col("text"), F.col("type")
-    compact = F.length(F.regexp_replace(t, r"(?U)\s+", ""))
-    cta, knows = T.contains_any(t, T.CTA), T.contains_any(t, T.KNOWLEDGE)
+    heading = F.replace(F.coalesce(F.col("heading_path"), F.lit("")), F.lit(" > "), F.lit(" "))
+    cta, wrapper = T.contains_any(t, T.CTA), F.col("wrapper")
+    lesson = T.holds_any(t, T.TUTORIAL) | T.knowledge_signal(t) | T.holds_any(heading, T.BUSINESS) | T.knowledge_signal(heading)
     case = lambda status, new, safe, confidence, reason: F.struct(F.lit(status).alias("status"), (new if isinstance(new, F.Column) else F.lit(new)).alias("type"), (safe if isinstance(safe, F.Column) else F.lit(safe)).alias("protected"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"))
     unread = T.count(t, T.GARBLED)
     rules = [
         (t == "", case("discard", "empty", False, 0.95, "empty")),
-        ((compact <= 80) & cta & ~knows & ~kind.isin("code", "table"), case("discard", "marketing_cta", False, 0.96, "marketing_wrapper")),
+        (wrapper.isNotNull(), case("discard", wrapper, False, 0.96, "marketing_wrapper")),
         (kind.isin("code", "table"), case("keep", kind, True, 0.90, "structural")),
         (kind.isin("section_heading", "quote"), case("keep", kind, F.col("protected"), 0.90, "structural")),
         (kind == "image_evidence", case("unclassified", kind, False, 0.0, "image")),
         (kind == "operation_step", case("keep", kind, True, 0.90, "protected_type")),
         *[(T.matches(t, p), case("keep", label, True, 0.90, "protected_pattern")) for label, p in T.PROTECTED],
-        (cta & knows, case("keep", "case_step", True, 0.88, "contextual_cta")),
-        *[(T.matches(t, p), case("discard", "transcript_filler", False, 0.95, "filler")) for p in T.FILLER],
+        (cta & lesson, case("keep", "case_step", True, 0.88, "contextual_cta")),
+        (_any_match(t, [*T.FILLER, *T.FILLER_MORE]), case("discard", "transcript_filler", False, 0.95, "filler")),
         (cta, case("discard", "marketing_cta", False, 0.95, "cta")),
         (T.matches(t, T.REFUND), case("discard", "refund_policy", False, 0.95, "refund")),
         (T.matches(t, T.FOOTER), case("discard", "footer", False, 0.95, "footer")),
@@ -73,7 +90,8 @@ def classify(blocks: DataFrame) -> DataFrame:
     chain = F
     for condition, value in rules:
         chain = chain.when(condition, value)
-    done = blocks.withColumn("c", chain.otherwise(case("keep", kind, F.col("protected"), 0.70, "default")))
+    read = blocks.withColumns({"squeezed": F.regexp_replace(t, r"(?U)\s+", ""), "searched": F.concat(heading, F.lit("\n"), t)})
+    done = read.withColumn("wrapper", wrapper_type(t, F.col("squeezed"), F.col("searched"))).withColumn("c", chain.otherwise(case("keep", kind, F.col("protected"), 0.70, "default")))
     return done.select("doc_id", "block_idx", F.col("c.type").alias("type"), F.col("c.status").alias("status"), F.col("c.protected").alias("protected"), F.col("c.confidence").alias("confidence"), F.col("c.reason").alias("reason"), "text", F.col("type").alias("source_type"), "heading_path")
 
 

@@ -52,3 +52,18 @@ def test_html():
     html = "<html><nav>menu</nav><h1>T &amp; U</h1><p>a<br>b</p><ul><li>x</li><li>x</li></ul><script>no()</script><footer>f</footer></html>"
     assert markdown_of(html) == "# T & U\n\na\n\nb\n\n- x"
     assert markdown_of(None) == ""
+
+
+def test_filler_and_wrapper_rules_of_the_reference(spark):
+    rows = [
+        ("Welcome back to my channel", "paragraph", "", "transcript_filler"), ("don't forget to subscribe!", "paragraph", "", "transcript_filler"), ("Smash the like button", "paragraph", "", "transcript_filler"),
+        ("that's all for today", "paragraph", "", "transcript_filler"), ("下期见", "paragraph", "", "transcript_filler"), ("大家好", "paragraph", "", "transcript_filler"), ("点赞关注", "paragraph", "", "transcript_filler"),
+        ("今天就到这里", "paragraph", "", "transcript_filler"), ("记得收藏", "paragraph", "", "transcript_filler"),
+        ("作者的话", "paragraph", "书 > 写在最后", "back_matter"), ("任何内容", "quote", "核心权益", "marketing_wrapper"), ("# 致谢", "section_heading", "致谢", "back_matter"), ("7天内无理由退款", "paragraph", "", "marketing_wrapper"),
+        ("添加小助手即可领取", "paragraph", "", "marketing_wrapper"), ("本书内容仅供学习与参考", "paragraph", "", "marketing_wrapper"),
+        ("免责声明里的策略", "paragraph", "", None), ("3天无理由退款", "paragraph", "核心权益", "refund_policy"), ("1. 打开", "operation_step", "核心权益", None), ("扫码步骤", "paragraph", "", None), ("账号", "paragraph", "核心权益", None),
+        ("plain words", "paragraph", "核心权益 > 案例", "marketing_wrapper"), ("plain words", "paragraph", "核心权益 > 底层逻辑", None),
+    ]
+    blocks = spark.createDataFrame([(1, i, k, t, i, i, False, h) for i, (t, k, h, _) in enumerate(rows)], "doc_id long, block_idx long, type string, text string, line_start long, line_end long, protected boolean, heading_path string")
+    got = [r["type"] if r["status"] == "discard" else None for r in B.classify(blocks).orderBy("block_idx").collect()]
+    assert got == [want for *_, want in rows]
