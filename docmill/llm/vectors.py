@@ -9,6 +9,11 @@ a cluster and count and keep pairs of the threshold or more. So a window only ha
 to show that a neighbourhood exists, not to hold every pair of it; components
 then come from links alone.
 
+Hashes see each vector less the mean of its label (and length), so that a direction that all
+vectors of a label share does not crowd them on one side of the planes. Passes and
+window (``PASSES`` and ``WINDOW`` at least) follow from the rows of a label and from how
+far its vectors share a direction.
+
 Vectors that agree in every component are one node from the start.
 
 Edge cases: null labels, null or zero vectors and vectors with null or non-finite
@@ -20,6 +25,7 @@ their own; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,6 +36,7 @@ from docmill.llm.components import connected_components, forest
 
 PASSES, BITS, WINDOW, CHUNK, SEED = 20, 64, 8, 32, 8
 COARSE = 0.94
+MISS, WIDE = 1e-3, 64  # chance to miss a lone pair; windows widen so far before passes are added
 
 
 def _planes(size: int, number: int) -> np.ndarray:
@@ -59,7 +66,53 @@ def units(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> D
     return vectors.select(F.col(id_col).cast("long"), F.col(label_col).cast("string"), F.col(vector_col)).mapInArrow(run, "id bigint, space string, unit binary, mark binary")
 
 
-def _keyed(nodes: DataFrame) -> DataFrame:
+def _breadth(rows: int, shared: float, threshold: float) -> tuple[int, int]:
+    """(passes, window) by which a lone pair of a label is met but for a chance of ``MISS``.
+
+    Unrelated vectors of the label have a cosine of about ``shared``, the square of the mean's
+    length; less the mean, a pair at ``threshold`` has cosine (threshold - shared) / (1 - shared).
+    """
+    cosine = min(max((threshold - shared) / max(1 - shared, 1e-9), 0.5), 1.0)
+    agree, window = 1 - math.acos(cosine) / math.pi, WINDOW
+    while True:
+        met = agree ** max(math.log2(max(rows, 1) / window), 0)
+        passes = max(PASSES, math.ceil(math.log(MISS) / math.log1p(-min(met, 1 - 1e-12))))
+        if passes == PASSES or window >= WIDE:
+            return passes, window
+        window *= 2
+
+
+def _means(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(space, mean, passes, window): the mean vector of every label, summed by task, and the breadth it asks for."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        sums: dict = {}
+        for b in batches:
+            for s, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = np.frombuffer(u, np.float64)
+                if s in sums:
+                    sums[s][0] += x
+                    sums[s][1] += 1
+                else:
+                    sums[s] = [x.copy(), 1]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tobytes() for x, _ in sums.values()], pa.binary()), pa.array([n for _, n in sums.values()], pa.int64())], names=["space", "sum", "n"])
+
+    def add(t):
+        import pyarrow as pa
+
+        total = sum(np.frombuffer(x, np.float64) for x in t["sum"].to_pylist())
+        n = sum(t["n"].to_pylist())
+        # rounded, so that the order of the sum does not move a plane's side
+        mean = np.round(np.asarray(total) / n, 9)
+        passes, window = _breadth(n, float(mean @ mean), threshold)
+        return pa.table({"space": t["space"][:1], "mean": pa.array([mean.tobytes()], pa.binary()), "passes": pa.array([passes], pa.int32()), "window": pa.array([window], pa.int32())})
+
+    return materialize(nodes.select("space", "unit").mapInArrow(run, "space string, sum binary, n bigint").groupBy("space").applyInArrow(add, "space string, mean binary, passes int, window int"), "vec-means")
+
+
+def _keyed(nodes: DataFrame, means: DataFrame, passes: int) -> DataFrame:
     """(pass, space, key, id, unit): every node once for each pass."""
 
     def run(batches):
@@ -67,20 +120,22 @@ def _keyed(nodes: DataFrame) -> DataFrame:
 
         for b in batches:
             sides = []
-            for s, u in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for u, mean in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 x = np.frombuffer(u, np.float64)
                 planes = held.setdefault(len(x), None)
                 if planes is None:
-                    planes = held[len(x)] = np.vstack([_planes(len(x), p) for p in range(PASSES)])
-                sides.append([k.tobytes() for k in np.packbits((planes @ x > 0).reshape(PASSES, BITS), axis=1)])
+                    planes = held[len(x)] = np.vstack([_planes(len(x), p) for p in range(passes)])
+                sides.append([k.tobytes() for k in np.packbits((planes @ (x - np.frombuffer(mean, np.float64)) > 0).reshape(passes, BITS), axis=1)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sides, pa.list_(pa.binary()))], names=["id", "space", "unit", "keys"])
 
     held: dict = {}
-    return nodes.select("id", "space", "unit").mapInArrow(run, "id bigint, space string, unit binary, keys array<binary>").select(F.posexplode("keys").alias("pass", "key"), "space", "id", "unit")
+    return nodes.select("id", "space", "unit").join(F.broadcast(means.select("space", "mean")), "space").select("id", "space", "unit", "mean").mapInArrow(run, "id bigint, space string, unit binary, keys array<binary>").select(F.posexplode("keys").alias("pass", "key"), "space", "id", "unit")
 
 
-def _coarse_edges(nodes: DataFrame, parts: int) -> DataFrame:
+def _coarse_edges(nodes: DataFrame, parts: int, threshold: float) -> DataFrame:
     """Verified pairs of ``COARSE`` or more among neighbours in the order of each pass."""
+    means = _means(nodes, threshold)
+    passes, window = (most or least for most, least in zip(means.agg(F.max("passes"), F.max("window")).first(), (PASSES, WINDOW)))
 
     def run(batches):
         import pyarrow as pa
@@ -97,14 +152,14 @@ def _coarse_edges(nodes: DataFrame, parts: int) -> DataFrame:
                 while end < len(group) and group[end] == group[at]:
                     end += 1
                 x = np.frombuffer(b"".join(raw[at:end]), np.float64).reshape(end - at, -1)
-                for d in range(1, min(WINDOW, end - at - 1) + 1):
+                for d in range(1, min(window, end - at - 1) + 1):
                     for k in np.flatnonzero(np.einsum("ij,ij->i", x[:-d], x[d:]) >= COARSE):
                         u.append(ids[at + k + d]), v.append(ids[at + k])
                 at = end
-            carry = (group[-WINDOW:], ids[-WINDOW:], raw[-WINDOW:])
+            carry = (group[-window:], ids[-window:], raw[-window:])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    ordered = _keyed(nodes).repartitionByRange(parts, "pass", "space", "key", "id").sortWithinPartitions("pass", "space", "key", "id")
+    ordered = _keyed(nodes, means, passes).repartitionByRange(parts, "pass", "space", "key", "id").sortWithinPartitions("pass", "space", "key", "id")
     return forest(ordered.select("pass", "space", "id", "unit").mapInArrow(run, "u bigint, v bigint"))
 
 
@@ -146,7 +201,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = materialize(units(vectors, id_col, vector_col, label_col), "vec-units")
     able = rows.where("mark IS NOT NULL AND id IS NOT NULL")
     nodes = materialize(able.groupBy("mark").agg(F.min("id").alias("id"), F.count("*").alias("copies")).join(able.select("mark", "id", "space", "unit"), ["mark", "id"]).dropDuplicates(["mark"]), "vec-nodes")
-    clusters = connected_components(_coarse_edges(nodes, shuffle_parts(vectors.sparkSession)))
+    clusters = connected_components(_coarse_edges(nodes, shuffle_parts(vectors.sparkSession), threshold))
     met = materialize(_compared(nodes.join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id").select("cluster", "id", "unit", "copies"), threshold), "vec-links")
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
     parts = connected_components(met.select(F.col("id").alias("u"), F.col("to").alias("v")))

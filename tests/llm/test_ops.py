@@ -302,3 +302,20 @@ def test_scoring_grows_with_the_corpus(spark):
     kinds = spark.createDataFrame([(i, ("red green blue " if i % 2 else "one two three ") * 9) for i in range(4000)], "doc_id long, text string")
     k = scoring.Kinds.learn(kinds, scoring.count_words(kinds))
     assert k.of(Counter([b"red", b"green"])) != k.of(Counter([b"one", b"two"]))
+
+
+def test_vectors_of_a_hot_label_that_share_a_direction(spark):
+    rng = np.random.default_rng(4)
+    shared = rng.standard_normal(64)
+    shared *= 19 / np.linalg.norm(shared)  # unrelated vectors at a cosine of about 0.85
+    base = shared + rng.standard_normal((25_000, 64))
+    near = base[:400] + rng.standard_normal((400, 64)) * 0.5
+    x = np.vstack([base, near])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(df, threshold=0.975).where("n_links > 0").collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = {i: n for at in range(0, len(u), 2000) for i, n in enumerate(((u[at : at + 2000] @ u.T) >= 0.975).sum(1) - 1, at) if n}
+    found = sum(min(got.get(i, 0), n) for i, n in links.items())
+    assert len(links) > 700 and found >= 0.995 * sum(links.values()), (len(links), found, sum(links.values()))
+    few, many, apart = (vectors._breadth(n, c, 0.98) for n, c in ((1000, 0.0), (1_000_000, 0.8), (1_000_000, 0.0)))
+    assert few == (vectors.PASSES, vectors.WINDOW) and many > apart >= few
