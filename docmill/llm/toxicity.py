@@ -2,7 +2,7 @@
 
 Lexicon. From labelled documents outside the held-out fold come words, and word
 beginnings of 4 to 8 letters, that stand in toxic documents far more often than in
-clean ones. Of words covered by a kept beginning the ``COVERED`` commonest stay.
+clean ones. Words covered by a kept beginning stay, for their misspellings.
 
 Matching. The Levenshtein automata of all entries are intersected with their trie
 and determinised as words come (see ``Automaton``). One edit is allowed for entries of
@@ -34,7 +34,6 @@ from docmill.llm.common import discard, fold, materialize, table, worker_store
 
 SPAN = 6
 STEMS = range(4, 9)
-TERMS, COVERED = 4000, 200
 MISSPELLED = 0.7
 WORDS_HELD = 500_000
 #: fixed values: characters written for letters, marks of quotation, words of reporting
@@ -232,15 +231,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     tallied = texts.mapInArrow(count, "term string, y int, n bigint").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good"))
     telling = tallied.where((F.col("bad") >= max(3, 0.004 * n1)) & (F.col("bad") / n1 > 25 * (F.col("good") + 0.5) / n0))
-    top = telling.orderBy(F.desc("bad"), "term").limit(TERMS).collect()
-    stems: list[str] = []
+    top = telling.orderBy(F.desc("bad"), "term").collect()  # bounded by the label sample and the least share of documents
+    stems: dict[str, None] = {}
     for s in sorted((r["term"][:-1] for r in top if r["term"].endswith("-")), key=lambda s: (len(s), s)):
-        if not any(s.startswith(x) for x in stems):
-            stems.append(s)
-    plain = [r["term"] for r in top if not r["term"].endswith("-")]
-    covered = [w for w in plain if any(w.startswith(s) for s in stems)]
-    # words that a stem covers matter only for misspellings: the commonest of them stay
-    words = sorted({*plain} - {*covered[COVERED:]})
+        if not any(s[:n] in stems for n in STEMS):
+            stems[s] = None
+    stems = list(stems)
+    # words that a stem covers matter for misspellings
+    words = sorted({r["term"] for r in top if not r["term"].endswith("-")})
 
     def featured(batches):
         import pyarrow as pa

@@ -319,3 +319,11 @@ def test_vectors_of_a_hot_label_that_share_a_direction(spark):
     assert len(links) > 700 and found >= 0.995 * sum(links.values()), (len(links), found, sum(links.values()))
     few, many, apart = (vectors._breadth(n, c, 0.98) for n, c in ((1000, 0.0), (1_000_000, 0.8), (1_000_000, 0.0)))
     assert few == (vectors.PASSES, vectors.WINDOW) and many > apart >= few
+
+
+def test_toxicity_keeps_every_telling_word(spark):
+    rnd = random.Random(6)
+    bad = sorted({"".join(rnd.choice("bcdfghjklmnpqrstvwxz") for _ in range(10)) for _ in range(320)})
+    rows = [(i, prose(20, rnd) + (" " + " ".join(rnd.sample(bad, 120)) if i % 2 else "")) for i in range(300)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int"))
+    assert set(bad) <= set(model["words"])
