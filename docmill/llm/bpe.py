@@ -8,9 +8,9 @@ by a scan: compose within blocks of ``BLOCK`` positions for all start states at
 once, combine the blocks' functions by doubling, then walk all blocks together.
 A token begins where the (state, class) table says so.
 
-Each slice is encoded by merging its bytes pairwise, lowest rank first (the
-library's merge, given one slice at a time), with a bounded cache. Offsets of the slices and of the ids in the text's bytes are
-kept, so any range of ids decodes to an exact range of bytes.
+Each slice is encoded by merging its bytes pairwise, lowest rank first and leftmost
+of equal ones (see ``merged``), with a bounded cache of slices. Offsets of the ids in
+the text's bytes are kept, so any range of ids decodes to an exact range of bytes.
 
 Edge cases: a null text counts as empty, an empty text has no ids; lone
 surrogates cannot occur in Spark strings; texts of any length are cut at token
@@ -21,20 +21,21 @@ columns of the input are not read.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
+import heapq
 from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import table, worker_store
+from docmill.llm.common import no_cycles, sliced, table, worker_store
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BLOCK = 32
 WINDOW = 1 << 19
-CACHE = 400_000
+CACHE, CACHED = 200_000, 48  # slices held, and bytes of the longest
+SHORT = 128  # pieces up to so many bytes are merged in plain lists, longer ones with a heap
 
 # classes of positions; BREAK stands between two texts
 L, N, O, W, W_END, BLANK_END, CUT1, CUT2, BREAK = range(9)
@@ -177,27 +178,72 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one slice: the adjacent pair of the lowest rank merges, the leftmost of equal ones, until no pair has a rank."""
+    if (whole := ranks.get(piece)) is not None:
+        return [whole]
+    return _merged_short(piece, ranks.get) if len(piece) <= SHORT else _merged_long(piece, ranks.get)
+
+
+_NONE = 1 << 60
+
+
+def _merged_short(piece: bytes, rank) -> list[int]:
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    pairs = [rank(piece[i : i + 2], _NONE) for i in range(len(piece) - 1)]
+    while pairs and (least := min(pairs)) < _NONE:
+        i = pairs.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = rank(parts[i] + parts[i + 1], _NONE)
+        if i:
+            pairs[i - 1] = rank(parts[i - 1] + parts[i], _NONE)
+    return [rank(p) for p in parts]
+
+
+def _merged_long(piece: bytes, rank) -> list[int]:
+    """The same in n log n: candidates wait in a heap by (rank, place); those whose ends have moved on are skipped."""
+    n = len(piece)
+    end = list(range(1, n + 1))  # end of the part that begins here
+    before = list(range(-1, n))  # beginning of the part before
+    alive = [True] * n + [False]
+    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2], _NONE)) < _NONE]
+    heapq.heapify(heap)
+    while heap:
+        _, a, b, c = heapq.heappop(heap)
+        if not (alive[a] and end[a] == b and alive[b] and end[b] == c):
+            continue
+        end[a], alive[b] = c, False
+        if c < n:
+            before[c] = a
+            if (r := rank(piece[a : end[c]], _NONE)) < _NONE:
+                heapq.heappush(heap, (r, a, c, end[c]))
+        if a:
+            p = before[a]
+            if (r := rank(piece[p:c], _NONE)) < _NONE:
+                heapq.heappush(heap, (r, p, a, c))
+    return [rank(piece[i : end[i]]) for i in range(n) if alive[i]]
+
+
 class Codec:
     """Encoder and decoder of one vocabulary, with a bounded cache of slices."""
 
     def __init__(self, path: str):
-        import tiktoken
-
         self.ranks = read_ranks(path)
         self.bytes = [b""] * (max(self.ranks.values()) + 1)
         for b, i in self.ranks.items():
             self.bytes[i] = b
         self.decimal = [str(i) for i in range(len(self.bytes))]
-        #: merges the whole of what it is given: the slices are cut here, by the scan
-        self.merge = tiktoken.Encoding("slices", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
         self.by_cp = class_table()
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def _new(self, piece: str) -> tuple[int, ...]:
         if len(self.cache) >= CACHE:
             self.cache.clear()
-        ids = tuple(self.merge(piece))
-        if len(piece) <= 64:
+        raw = piece.encode("utf-8", "replace")
+        ids = tuple(merged(raw, self.ranks))
+        if len(raw) <= CACHED:
             self.cache[piece] = ids
         return ids
 
@@ -234,11 +280,11 @@ class Codec:
 
 def codec(path: str) -> Codec:
     """The vocabulary's codec, made once for each Python process."""
-    store = worker_store()
-    gc.disable()  # millions of small acyclic objects: collecting cycles would only cost time
-    if ("codec", path) not in store:
-        store["codec", path] = Codec(path)
-    return store["codec", path]
+    store = worker_store("bpe")
+    if path not in store:
+        with no_cycles():
+            store[path] = Codec(path)
+    return store[path]
 
 
 def default_path() -> str:
@@ -285,15 +331,16 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         import pyarrow as pa
 
         c = codec(path or default_path())
-        for b in batches:
+        for b in (part for whole in batches for part in sliced(whole)):
             counts, encoded, decoded = [], [], []
-            for ids in c.encode_all(b.column(1).to_pylist()):
-                counts.append(len(ids))
-                encoded.append(hashlib.sha256(",".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(c.decode(ids)).hexdigest())
+            with no_cycles():
+                for ids in c.encode_all(b.column(1).to_pylist()):
+                    counts.append(len(ids))
+                    encoded.append(hashlib.sha256(",".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_bpe(spark, sf_dir):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +20,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a local folder is made and kept for the session.
+    Only where that is unset and all runs in one process (tests) a local folder is made and kept for the session.
     """
     if not (at := spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("docmill.scratch", None)):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("docmill.scratch", at := f"file://{tempfile.mkdtemp(prefix='docmill-')}")
     return at.rstrip("/")
 
@@ -63,6 +67,38 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def worker_store() -> dict:
-    """A dictionary that lives as long as the Python process: what one task has read or built, later tasks reuse."""
-    return vars(sys.modules.setdefault("_docmill_worker", types.ModuleType("_docmill_worker")))
+def in_fold(c: Column, modulus: int) -> Column:
+    """Whether the id is in the held-out fold; a null id is not."""
+    return F.coalesce(fold(c, modulus) == 0, F.lit(False))
+
+
+def sliced(batch, rows: int = 512):
+    """A batch in slices of bounded rows, so that what is made of them stays small."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def worker_store(owner: str) -> dict:
+    """A dictionary that lives as long as the Python process: what one task of ``owner`` has read or built, its later tasks reuse.
+
+    What another operator has left is dropped first: a reused worker holds the tables of one operator at a time.
+    """
+    module = sys.modules.setdefault("_docmill_worker", types.ModuleType("_docmill_worker"))
+    held = vars(module).setdefault("held", {})
+    if held.get("owner") != owner:
+        held.clear()
+        gc.collect()
+        held["owner"] = owner
+    return held
+
+
+@contextmanager
+def no_cycles():
+    """Without the collector of cycles, for loops that make millions of small acyclic objects."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()

@@ -2,35 +2,35 @@
 
 For each language a zstandard raw-content dictionary is cut from labelled text.
 A text is encoded with every dictionary; the language whose dictionary gives
-the smallest encoding wins, and the answer is rejected when the runner-up is
-within ``min_margin`` of it (relative to the runner-up's size).
+the smallest encoding wins. The answer is rejected when the runner-up needs less
+than ``MIN_BYTES`` more or is within ``min_margin`` of its own size.
 
-Texts are lower-cased and ASCII characters other than letters count as spaces.
-Long texts are encoded in pieces of ``PIECE`` bytes whose sizes add up, so the
-memory needed does not grow with the text. Short texts, where whole bytes tie,
-are encoded by two searches whose sizes are averaged, and what still ties goes to
-the language that holds more of the text's 4-byte substrings.
+Texts are lower-cased, ASCII characters other than letters count as spaces and
+spaces as one. They are encoded in pieces of ``PIECE`` bytes whose sizes add up, so
+the memory needed does not grow with the text. Every piece is followed by ``PAD``:
+without it the encoder stores a piece that gains too little (any short text) as it
+is, whatever the dictionary, and all languages tie.
 
 Fitting is bounded: at most about ``rows`` slices of at most ``chars``
-characters of labelled documents for each of at most ``MAX_LANGS`` languages.
+characters of labelled documents for each language.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0 and
 rejected; without any labelled text all texts are ``und``; equal rows get equal
-answers; other columns of the input are not read.
+answers; a null id is in no held-out fold; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import fold, table
+from docmill.llm.common import in_fold, sliced, table
 
-PIECE = 1 << 12
-SHORT = 400
-MAX_LANGS = 200
+PIECE, PAD = 1 << 12, bytes(512)
+MIN_BYTES, MIN_MARGIN = 2, 0.01
 OUT = "{id} {type}, lang_pred string, score double, margin double, rejected boolean"
 #: ASCII characters other than letters become spaces.
 _SPACED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -38,8 +38,8 @@ _SPACED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 def fit_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 400, chars: int = 500, holdout: int = 5) -> dict[str, bytes]:
     """Language → dictionary, from documents outside the held-out fold (crc32(id) mod ``holdout`` = 0)."""
-    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL").where(fold(F.col("id"), holdout) != 0)
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    labelled = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL").where(~in_fold(F.col("id"), holdout))
+    counts = labelled.groupBy("lang").count().orderBy("lang").collect()  # one row for each language
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], rows / r["count"])])
@@ -52,81 +52,71 @@ def fit_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return {k: b" ".join(v) for k, v in sorted(pieces.items())}
 
 
-def classifier(dictionaries: dict[str, bytes], min_margin: float) -> Callable[[str | None], tuple[str, float, float, bool]]:
+def spaced(text: str) -> bytes:
+    return b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(_SPACED).split()) + b" "
+
+
+def classifier(dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, min_bytes: int = MIN_BYTES) -> Callable[[str | None], tuple[str, float, float, bool]]:
     """text → (language, score, margin, rejected)."""
     import zstandard
 
     langs = list(dictionaries)
+    how = zstandard.ZstdCompressionParameters(write_checksum=False, write_content_size=False, write_dict_id=False, strategy=4, search_log=5, window_log=18, hash_log=16, chain_log=16, min_match=4)
 
-    def compressor(data: bytes, **search) -> zstandard.ZstdCompressor:
-        how = zstandard.ZstdCompressionParameters(write_checksum=False, write_content_size=False, write_dict_id=False, **search)
+    def encoder(data: bytes) -> Callable[[bytes], bytes]:
         d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(compression_params=how)
-        return zstandard.ZstdCompressor(dict_data=d, compression_params=how)
-
-    wide = {"window_log": 18, "hash_log": 16, "chain_log": 16, "min_match": 4}
-    tools = {name: [compressor(dictionaries[x], strategy=strategy, search_log=depth, **wide) for x in langs] for name, strategy, depth in (("greedy", 3, 2), ("lazy", 4, 5), ("fast", 2, 1))}
-
-    fours = [{d[i : i + 4] for i in range(len(d) - 3)} for d in dictionaries.values()]
+        return zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress
 
-    def held(text: bytes, known: set[bytes]) -> int:
-        return sum(text[i : i + 4] in known for i in range(len(text) - 3))
+    encoders = [encoder(dictionaries[x]) for x in langs]
 
     def classify(text: str | None) -> tuple[str, float, float, bool]:
         if not text or not langs or not any(map(str.isalpha, text)):
             return "und", 0.0, 0.0, True
-        data = text.lower().encode("utf-8", "replace").translate(_SPACED)
-        used = [tools["lazy"], tools["fast"]] if len(data) <= SHORT else [tools["greedy"]]
-        sizes = [0.0] * len(langs)
+        data = spaced(text)
+        sizes = [0] * len(langs)
         for at in range(0, len(data), PIECE):
-            piece = data[at : at + PIECE]
-            for kind in used:
-                for i, tool in enumerate(kind):
-                    sizes[i] += len(tool.compress(piece)) / len(used)
-        if len(data) <= SHORT:
-            found = [held(data, known) for known in fours]
-            sizes = [s - f / (1 + max(found)) for s, f in zip(sizes, found)]
+            piece = data[at : at + PIECE] + PAD
+            for i, encode in enumerate(encoders):
+                sizes[i] += len(encode(piece))
         best = min(range(len(langs)), key=lambda i: (sizes[i], i))
         others = [s for i, s in enumerate(sizes) if i != best]
-        margin = (min(others) - sizes[best]) / min(others) if others else 1.0
-        score = 1 / sum(2.0 ** max(-60.0, (sizes[best] - s)) for s in sizes)
-        return langs[best], score, margin, margin < min_margin
+        gap = min(others) - sizes[best] if others else sizes[best]
+        margin = gap / min(others) if others else 1.0
+        score = 1 / sum(2.0 ** max(-60, sizes[best] - s) for s in sizes)
+        return langs[best], score, margin, gap < min_bytes or margin < min_margin
 
     return classify
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.001) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """(id, lang_pred, score, margin, rejected) for every row of ``docs``."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        import pyarrow as pa
-
         classify = classifier(dictionaries, min_margin)
-        for b in batches:
-            rows = [classify(t.as_py()) for t in b.column(1)]
-            cols = list(zip(*rows)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.float64(), pa.bool_()))]], names=[id_col, "lang_pred", "score", "margin", "rejected"])
+        for whole in batches:
+            for b in sliced(whole):
+                rows = [classify(t.as_py()) for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.float64(), pa.float64(), pa.bool_()))]], names=[id_col, "lang_pred", "score", "margin", "rejected"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, OUT.format(id=f"`{id_col}`", type=kind))
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, OUT.format(id=f"`{id_col}`", type=kind))
 
 
-def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_margin: float = 0.001) -> DataFrame:
-    """The rows of ``docs`` whose text has a language: rejected ones go."""
+def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of ``docs`` whose text has a language: rejected ones go. Only texts travel to Python, and flags back."""
     model = fit_dictionaries(docs, id_col, text_col, lang_col)
 
-    def run(batches):
-        import pyarrow as pa
-
+    @F.arrow_udf("boolean")
+    def kept(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         classify = classifier(model, min_margin)
-        for b in batches:
-            at = b.schema.get_field_index(text_col)
-            yield b.filter(pa.array([not classify(t.as_py())[3] for t in b.column(at)], pa.bool_()))
+        for some in texts:
+            yield pa.array([not classify(t.as_py())[3] for t in some], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(kept(F.col(f"`{text_col}`")))
 
 
 def op2_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit_dictionaries(docs))
-    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+    return found.select("doc_id", in_fold(F.col("doc_id"), 5).alias("held_out"), "lang_pred", "score", "margin", "rejected")

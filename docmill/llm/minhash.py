@@ -53,7 +53,7 @@ def ruled_out_below(similarity: float) -> float:
 
 def _powers() -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2^64 and of its inverse, long enough for a window."""
-    store = worker_store()
+    store = worker_store("minhash")
     if "minhash-powers" not in store:
         n, base = WINDOW * (LONG + 1) + 1, 0x9E3779B97F4A7C15
         out = []

@@ -345,7 +345,7 @@ def _packed(tables: list[np.ndarray]) -> tuple[str, list[tuple[str, bytes]]]:
 def _unpacked(packed) -> list[np.ndarray]:
     """The tables, unpacked once for each worker."""
     name, tables = packed
-    held = worker_store()
+    held = worker_store("scoring")
     if held.get("lm-tables", ("",))[0] != name:
         held["lm-tables"] = (name, [np.frombuffer(zlib.decompress(x), kind) for kind, x in tables])
     return held["lm-tables"][1]

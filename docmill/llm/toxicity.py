@@ -181,7 +181,7 @@ class Scorer:
 
 def scorer(words: list[str], stems: list[str]) -> Scorer:
     """The scorer of a lexicon, kept with its automaton while the Python process lives."""
-    store, key = worker_store(), ("toxicity", *words, 0, *stems)
+    store, key = worker_store("toxicity"), ("toxicity", *words, 0, *stems)
     if store.get("toxicity", (None,))[0] != key:
         store["toxicity"] = (key, Scorer(words, stems))
     return store["toxicity"][1]
