@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import no_cycles, sliced, table, worker_store
+from docmill.llm.common import no_cycles, sliced, small_batches, table, worker_store
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BLOCK = 32
@@ -295,6 +295,7 @@ def default_path() -> str:
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id, ids, offsets) for every row: token ids and where each id's bytes begin in the text's UTF-8."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -311,6 +312,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", path: str | None = None) -> DataFrame:
     """(id, bytes) for rows with ``ids``."""
+    small_batches(encoded.sparkSession)
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -325,6 +327,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", path: str | None = None)
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass, keeping digests only."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):

@@ -72,6 +72,14 @@ def in_fold(c: Column, modulus: int) -> Column:
     return F.coalesce(fold(c, modulus) == 0, F.lit(False))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows and bytes unless the session sets its own: a worker holds whole texts of one batch at a time."""
+    chosen = spark.conf.getAll
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")):
+        if key not in chosen:
+            spark.conf.set(key, value)
+
+
 def sliced(batch, rows: int = 512):
     """A batch in slices of bounded rows, so that what is made of them stays small."""
     for at in range(0, batch.num_rows, rows):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import in_fold, sliced, table
+from docmill.llm.common import in_fold, sliced, small_batches, table
 
 PIECE, PAD = 1 << 12, bytes(512)
 MIN_BYTES, MIN_MARGIN = 2, 0.01
@@ -91,6 +91,7 @@ def classifier(dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, m
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """(id, lang_pred, score, margin, rejected) for every row of ``docs``."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -105,6 +106,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
 
 def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_margin: float = MIN_MARGIN) -> DataFrame:
     """The rows of ``docs`` whose text has a language: rejected ones go. Only texts travel to Python, and flags back."""
+    small_batches(docs.sparkSession)
     model = fit_dictionaries(docs, id_col, text_col, lang_col)
 
     @F.arrow_udf("boolean")

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import discard, materialize, table, worker_store
+from docmill.llm.common import discard, materialize, small_batches, table, worker_store
 from docmill.llm.components import connected_components, forest
 
 SHINGLE = 5
@@ -263,6 +263,7 @@ def _linked_in_rest(rest: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``docs``; ``percent`` (0 to 100) is the least similarity that links."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     found = materialize(features(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col), "mh-features")
     texts = found.where("digest IS NOT NULL AND id IS NOT NULL")

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import discard, fold, materialize, table, worker_store
+from docmill.llm.common import discard, fold, materialize, small_batches, table, worker_store
 
 SPAN = 6
 STEMS = range(4, 9)
@@ -271,6 +271,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for every row of ``docs``."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import discard, materialize, shuffle_parts, table
+from docmill.llm.common import discard, materialize, shuffle_parts, small_batches, table
 from docmill.llm.components import connected_components, forest
 
 PASSES, BITS, WINDOW, CHUNK, SEED = 20, 64, 8, 32, 8
@@ -197,6 +197,7 @@ def _compared(members: DataFrame, threshold: float) -> DataFrame:
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of ``vectors``."""
+    small_batches(vectors.sparkSession)
     kind = vectors.schema[id_col].dataType
     rows = materialize(units(vectors, id_col, vector_col, label_col), "vec-units")
     able = rows.where("mark IS NOT NULL AND id IS NOT NULL")

@@ -1,16 +1,16 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Every ``K`` consecutive code points of a text are hashed. Of each window of ``W``
-consecutive hashes the smallest is selected, the rightmost of equal ones, with
-its position. Any two texts that share ``W + K - 1`` code points in a row share a
-selected hash, whatever surrounds them.
-
-How it is computed. A text is UTF-32, so that every k-gram is a slice at a known
-place, and is processed in segments of ``SEGMENT`` hashes that overlap by ``W - 1``
-(memory does not grow with the text beyond that). The least hash of a stretch is
-selected by every window that holds it; the stretches on both sides that still
-have room for a window are treated alike, ``ROUNDS`` times at most. What is left
-then (long runs of one character, whose hashes tie) is taken window by window.
+Every ``K`` consecutive code points of a text have a Karp-Rabin hash: a polynomial in
+``BASE`` modulo the prime ``PRIME``. Of each window of ``W`` consecutive hashes the
+smallest is selected, the rightmost of equal ones, with its position. Any two texts
+that share ``W + K - 1`` code points in a row share a selected hash, whatever
+surrounds them.
+
+How it is computed. Spark has no running fold that gives out its steps, so the
+polynomials roll by doubling: the value of 2m code points follows from the two values
+of m within it, for all positions at once. Windows are walked from right to left, so that
+the first of equal hashes is the rightmost in the text, and texts are taken in
+segments of ``SEGMENT`` hashes that overlap by ``W - 1``, so arrays stay short.
 A text joined from two others takes over the marks that no window over the seam
 can change; only the stretches around the seam and the end are winnowed anew.
 
@@ -25,11 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.common import table
+from docmill.llm.common import shuffle_parts, table
 
 K, W = 16, 64
-SEGMENT, ROUNDS = 256, 24
-MARKS = "array<struct<p:int,h:bigint>>"
+BASE, PRIME = 1_000_003, (1 << 30) - 35
+SEGMENT = 1024
+MARKS = "array<struct<p:int,h:int>>"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -37,40 +38,66 @@ def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def rolled(points: str) -> str:
+    """SQL of the hashes of every K consecutive ones of the code point array ``points`` (of all, if there are fewer)."""
+    out, m = points, 1
+    while m < K:  # values that would need code points past the end are cut off below
+        out = _let(out, f"v{m}", f"zip_with(v{m}, slice(v{m}, {m + 1}, size(v{m})), (x, y) -> (x * {pow(BASE, m, PRIME)}L + y) % {PRIME}L)")
+        m *= 2
+    few = f"array(aggregate({points}, 0L, (a, x) -> (a * {BASE}L + x) % {PRIME}L))"
+    return f"if(size({points}) < {K}, {few}, slice({out}, 1, size({points}) - {K - 1}))"
+
+
+def selected(v: str) -> str:
+    """SQL of the places in ``v`` that some window selects, the first of equal ones, in order.
+
+    A walk from mark to mark: the next one is the first smaller hash that enters while the mark is still in the
+    window, or else the smallest of the window that no longer holds it.
+    """
+    first = f"cast(array_position({v}, array_min(slice({v}, 1, {W}))) - 1 AS int)"
+    entered = f"CASE WHEN m < y THEN array_position(t, filter(t, x -> x < y)[0]) WHEN a.p + {W} < size({v}) THEN array_position(t, m) END"
+    following = _let(f"slice({v}, a.p + 2, {W})", "t", _let("array_min(t)", "m", _let(f"{v}[a.p]", "y", f"coalesce(cast(a.p + {entered} AS int), -1)")))
+    step = f"if(a.p < 0, a, {_let(following, 'q', 'struct(q AS p, if(q < 0, a.found, array_append(a.found, q)) AS found)')})"
+    walk = lambda steps, start: f"aggregate(sequence(1, {steps}), {start}, (a, i) -> {step})"
+    begun = _let(first, "f", "struct(f AS p, array(f) AS found)")
+    # about 2 in W places are marks: few texts have more than 1 in 8
+    return _let(walk(f"size({v}) div 8 + 2", begun), "w", f"if(w.p < 0, w, {walk(f'size({v})', 'w')}).found")
+
+
+def segments(text: str) -> str:
+    """SQL of array<array<struct<p, h>>>: for each segment of the string column ``text`` the marks, with places within the segment."""
+    n = f"greatest(length({text}) - {K - 1}, 1)"
+    ranges = f"sequence(0, greatest({n} - {W}, 0), {SEGMENT})"
+    points = f"transform(split(substring({text}, g + 1, {SEGMENT + W - 1 + K - 1}), ''), c -> cast(ascii(c) AS bigint))"
+    marks = _let(points, "c", _let(f"reverse({rolled('c')})", "v", f"transform(reverse({selected('v')}), i -> struct(size(v) - 1 - i AS p, cast(v[i] AS int) AS h))"))
+    return f"if(length({text}) = 0, cast(array() AS array<{MARKS}>), transform({ranges}, g -> {marks}))"
+
+
 def winnow(text: str) -> str:
     """SQL of array<struct<p, h>>: positions and hashes selected from the string column ``text``, in order."""
-    grams = f"greatest(length({text}) - {K - 1}, 1)"
-    # hashes from right to left, so that the first of equal ones is the rightmost in the text
-    hashes = f"transform(sequence(g.b, g.a, -1), i -> xxhash64(substring(u, i * 4 + 1, {4 * K})))"
-    least = "struct(r.lo AS lo, r.hi AS hi, y AS h, r.lo + int(array_position(s, y)) - 1 AS at)"
-    hits = f"transform(a.ranges, r -> {_let('slice(v, r.lo + 1, r.hi - r.lo + 1)', 's', _let('array_min(s)', 'y', least))})"
-    split = f"filter(flatten(transform(hits, t -> array(struct(t.lo AS lo, t.at - 1 AS hi), struct(t.at + 1 AS lo, t.hi AS hi)))), r -> r.hi - r.lo >= {W - 1})"
-    step = _let(hits, "hits", f"struct({split} AS ranges, concat(a.found, transform(hits, t -> struct(g.b - t.at AS p, t.h AS h))) AS found)")
-    one = "at + int(array_position(s, array_min(s))) - 1"
-    every = f"array_distinct(transform(sequence(r.lo, r.hi - {W - 1}), at -> {_let(f'slice(v, at + 1, {W})', 's', one)}))"
-    rest = f"flatten(transform(a.ranges, r -> transform({every}, at -> struct(g.b - at AS p, v[at] AS h))))"
-    of_segment = _let(hashes, "v", f"""aggregate(sequence(1, {ROUNDS}), struct(array(struct(0 AS lo, size(v) - 1 AS hi)) AS ranges, cast(array() AS {MARKS}) AS found),
-        (a, i) -> if(size(a.ranges) = 0, a, {step}), a -> if(size(a.ranges) = 0, a.found, concat(a.found, {rest})))""")
-    ranges = f"transform(sequence(0, greatest({grams} - {W}, 0), {SEGMENT}), s -> struct(s AS a, least(s + {SEGMENT + W - 2}, {grams} - 1) AS b))"
-    marks = _let(f"encode({text}, 'UTF-32')", "u", in_order_once(f"flatten(transform({ranges}, g -> {of_segment}))"))
-    return f"if(length({text}) = 0, cast(array() AS {MARKS}), {marks})"
-
-
-def in_order_once(marks: str) -> str:
-    """SQL of marks by position, each once: neighbouring stretches overlap and may select the same."""
-    return _let(f"array_sort({marks})", "e", "filter(e, (x, i) -> i = 0 OR x.p <> get(e, i - 1).p)")
+    return _let(segments(text), "gs", placed("gs"))
+
+
+def placed(gs: str) -> str:
+    """SQL of the marks of all segments by position in the text."""
+    return once(f"flatten(transform({gs}, (g, k) -> transform(g, x -> struct(cast(x.p + k * {SEGMENT} AS int) AS p, x.h AS h))))")
+
+
+def once(marks: str) -> str:
+    """SQL of ordered marks, each once: the last window of a segment and the first of the next may select the same."""
+    return _let(marks, "e", "filter(e, (x, i) -> i = 0 OR x.p <> get(e, i - 1).p)")
 
 
 def winnow_joined(joined: str, keep: str, taken: str, first: str, second: str) -> str:
     """SQL of the marks of ``joined``: ``keep`` characters of a text with marks ``first``, then ``taken`` of one with marks ``second``."""
-    shifted = lambda marks, by: f"transform({marks}, x -> struct(x.p + ({by}) AS p, x.h AS h))"
+    shifted = lambda marks, by: f"transform({marks}, x -> struct(cast(x.p + ({by}) AS int) AS p, x.h AS h))"
     reach = 2 * W + K
     seam = f"greatest({keep} - {reach - 1}, 0)"
     end = f"greatest({keep} + {taken} - {reach - 1}, 0)"
     piece = lambda start, n: _let(f"substring({joined}, {start} + 1, {n})", "piece", winnow("piece"))
     parts = f"""concat(filter({first}, x -> x.p <= {keep} - {K + W}), {shifted(piece(seam, 2 * reach), seam)},
         {shifted(f"filter({second}, x -> x.p >= {W} AND x.p <= {taken} - {K + W})", keep)}, {shifted(piece(end, reach), end)})"""
-    return f"if({keep} < {reach} OR {taken} < {reach} OR {keep} + {taken} < {4 * reach}, {winnow(joined)}, {in_order_once(parts)})"
+    return f"if({keep} < {reach} OR {taken} < {reach} OR {keep} + {taken} < {4 * reach}, {winnow(joined)}, {once(f'array_sort({parts})')})"
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -82,59 +109,56 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, marks): the selected hashes and positions of every row."""
-    return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).select(F.col(id_col), F.expr(winnow("_text")).alias("marks"))
+    return docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")).select(F.col(f"`{id_col}`"), F.expr(winnow("_text")).alias("marks"))
 
 
 def _bucket(cuts: list, kind: str) -> Column:
     """The number of the last of the sorted ``cuts`` that is at most the id, found in two steps."""
     step = max(1, int(len(cuts) ** 0.5))
-    coarse = F.size(F.filter(F.array(*[F.lit(c) for c in cuts[::step]]).cast(f"array<{kind}>"), lambda c: c <= F.col("id"))) - 1
     every = F.array(*[F.lit(c) for c in cuts]).cast(f"array<{kind}>")
-    fine = F.size(F.filter(F.slice(every, F.greatest(coarse, F.lit(0)) * step + 1, F.lit(step)), lambda c: c <= F.col("id")))
-    return F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.greatest(F.greatest(coarse, F.lit(0)) * step + fine - 1, F.lit(0)))
+    coarse = F.size(F.filter(F.array(*[F.lit(c) for c in cuts[::step]]).cast(f"array<{kind}>"), lambda c: c <= F.col("id"))) - 1
+    at = F.greatest(coarse, F.lit(0)) * step
+    return F.when(F.col("id").isNull(), F.lit(0)).otherwise(at + F.size(F.filter(F.slice(every, at + 1, F.lit(step)), lambda c: c <= F.col("id"))) - 1)
 
 
-def in_order(rows: DataFrame, bucket_rows: int = 64, most: int = 1 << 14) -> DataFrame:
+def in_order(rows: DataFrame, buckets: int | None = None) -> DataFrame:
     """``rows`` (id, text, ...) with bucket and mirrored: buckets hold runs of ascending ids, nulls first.
 
     The first row of each bucket stands once more, mirrored, at the end of the one before (of the first bucket: at the
-    end of the last), so that every row finds its next one within its bucket.
+    end of the last), so that every row finds its next one within its bucket. There are twice as many buckets as
+    shuffle partitions: they grow only where partitions do.
     """
     ids = rows.select("id")
-    buckets = max(1, min(most, ids.count() // bucket_rows))
     kind = rows.schema["id"].dataType.simpleString()
     # Spark's range partitioner cuts the ids into even runs; only ids move for that, and one row of each run comes back
-    runs = ids.where("id IS NOT NULL").repartitionByRange(buckets, "id").groupBy(F.spark_partition_id()).agg(F.min("id").alias("first")).select("first")
+    runs = ids.where("id IS NOT NULL").repartitionByRange(buckets or 2 * shuffle_parts(rows.sparkSession), "id").groupBy(F.spark_partition_id()).agg(F.min("id").alias("first")).select("first")
     cuts = sorted({r["first"] for r in runs.collect()})
     if not cuts:
         return rows.withColumns({"bucket": F.lit(0), "mirrored": F.explode(F.array(F.lit(False), F.lit(True)))})
+    nulls = not ids.where("id IS NULL").isEmpty()
     dealt = rows.withColumn("bucket", _bucket(cuts, kind))
-    firsts = ids.withColumn("bucket", _bucket(cuts, kind)).groupBy("bucket").agg(F.min(F.struct(F.col("id").isNotNull(), F.col("id"))).alias("f")).select("f.id", F.col("bucket").alias("own"))
-    first = {r["own"]: r["id"] for r in firsts.collect()}
-    before = {b: a for a, b in zip([sorted(first)[-1], *sorted(first)], sorted(first))}
-    # at most ``most`` buckets: the maps are bounded
-    lead_id = F.create_map(*[F.lit(x) for b, f in first.items() if f is not None for x in (b, f)]) if any(f is not None for f in first.values()) else None
-    is_first = F.col("id").isNull() if lead_id is None else F.col("id").eqNullSafe(F.try_element_at(lead_id, F.col("bucket")))
-    back = F.try_element_at(F.create_map(*[F.lit(x) for b, a in before.items() for x in (b, a)]), F.col("bucket"))
-    places = F.when(is_first, F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("m")), F.struct(back.alias("b"), F.lit(True).alias("m")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("m"))))
-    return dealt.withColumn("place", F.explode(places)).withColumn("bucket", F.col("place.b")).withColumn("mirrored", F.col("place.m")).drop("place")
-
-
-def _paired(p: str, h: str) -> str:
-    return f"zip_with({p}, {h}, (p, h) -> struct(p AS p, h AS h))"
+    # every cut is the least id of its bucket; before those of the first one stand the nulls
+    firsts = F.array(*[F.lit(None if nulls and not i else c) for i, c in enumerate(cuts)]).cast(f"array<{kind}>")
+    own = F.struct(F.col("bucket").alias("b"), F.lit(False).alias("m"))
+    back = F.struct(F.when(F.col("bucket") == 0, F.lit(len(cuts) - 1)).otherwise(F.col("bucket") - 1).alias("b"), F.lit(True).alias("m"))
+    places = F.when(F.col("id").eqNullSafe(F.get(firsts, F.col("bucket"))), F.array(own, back)).otherwise(F.array(own))
+    return dealt.withColumn("place", F.explode(places)).withColumns({"bucket": F.col("place.b"), "mirrored": F.col("place.m")}).drop("place")
 
 
 def op1_winnowing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     hashes = lambda c: F.array_distinct(F.transform(c, lambda x: x["h"]))
-    digest = lambda c: F.sha2(F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["p"], F.hex(x["h"]))), ","), 256)
-    own = docs.select("id", "text", F.expr(winnow("text")).alias("marks")).select("id", "text", digest(F.col("marks")).alias("fingerprint"), F.expr("marks.p").alias("p"), F.expr("marks.h").alias("h"))
+    digest = lambda c: F.sha2(F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["p"], x["h"])), ","), 256)
+    # places within segments and hashes travel as narrow as they are: 2 and 4 bytes a mark
+    own = docs.select("id", "text", F.expr(segments("text")).alias("gs")).select(
+        "id", "text", F.unhex(digest(F.expr(placed("gs")))).alias("fingerprint"), F.expr("transform(gs, g -> transform(g, x -> cast(x.p AS smallint)))").alias("p"), F.expr("flatten(transform(gs, g -> transform(g, x -> x.h)))").alias("h"))
     order = Window.partitionBy("bucket").orderBy("mirrored", F.col("id").asc_nulls_first(), "text")
-    lead = in_order(own).select("*", F.lead(F.struct("text", "p", "h")).over(order).alias("next")).where("NOT mirrored")
+    lead = in_order(own).select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in ("text", "p", "h")]).where("NOT mirrored")
+    marks = lambda p, h: once(f"zip_with(flatten(transform({p}, (g, k) -> transform(g, x -> cast(x + k * {SEGMENT} AS int)))), {h}, (p, h) -> struct(p AS p, h AS h))")
     half = F.floor(F.length("text") / 2).cast("int")
     edited = lead.select(
-        "id", "fingerprint", F.length("text").alias("n"), (F.length("text") - half).alias("keep"), F.least(half, F.length("next.text")).alias("taken"),
-        F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next.text", F.lit(1), half)).alias("edited"), F.expr(_paired("p", "h")).alias("first"), F.expr(_paired("next.p", "next.h")).alias("second"))
+        "id", F.lower(F.hex("fingerprint")).alias("fingerprint"), F.length("text").alias("n"), (F.length("text") - half).alias("keep"), F.least(half, F.length("next_text")).alias("taken"),
+        F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half)).alias("edited"), F.expr(marks("p", "h")).alias("first"), F.expr(marks("next_p", "next_h")).alias("second"))
     marked = edited.select("id", "n", "fingerprint", F.sha2(F.col("edited"), 256).alias("edited_sha256"), hashes(F.col("first")).alias("own"), hashes(F.col("second")).alias("others"), F.expr(winnow_joined("edited", "keep", "taken", "first", "second")).alias("marks"))
     return marked.select(
         F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", digest(F.col("marks")).alias("edited_fingerprint"),

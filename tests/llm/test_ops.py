@@ -40,13 +40,14 @@ def none(docs):
 
 
 def brute_marks(text):
-    import xxhash
-
     if not text:
         return []
-    u = text.encode("utf-32-be")
-    h = [xxhash.xxh64_intdigest(u[4 * i : 4 * i + 4 * winnowing.K], 42) for i in range(max(len(text) - winnowing.K + 1, 1))]
-    h = [x - (1 << 64) if x >> 63 else x for x in h]
+    h = []
+    for i in range(max(len(text) - winnowing.K + 1, 1)):
+        value = 0
+        for c in text[i : i + winnowing.K]:
+            value = (value * winnowing.BASE + ord(c)) % winnowing.PRIME
+        h.append(value)
     out = set()
     for s in range(max(len(h) - winnowing.W, 0) + 1):
         window = h[s : s + winnowing.W]
