@@ -1,57 +1,55 @@
-"""Language-model scoring by logistic context mixing over running text.
-
-A text is predicted bit by bit as one stream of bytes and an end mark. Predictors hash
-what came before to slots of counts: the last 1, 2, 3, 4 and 6 bytes, across word
-ends, and the word so far with the word before it. Slots count every occurrence in
-the training text. The predictors' stretched chances are mixed by weights that the
-place of the bit selects; an adaptive probability map refines the mix. The product
-over all bits and the end is the text's whole chance: no word counts enter it.
-
-Slots are as many as distinct contexts ask for, so the model grows with the corpus.
-
-Each of ``EXPERTS`` has weights and a map of its own, fitted to one kind of document
-(kinds are found by k-means on the commonest words of all training documents). A document weighs the experts
-by Bayes' rule over the whole text: log10 of the mean over experts.
-
-Weights come from Newton steps over all training text: tasks sum gradients and
-curvatures, each bit seen as if it had not been counted. They are frozen for scoring,
-so a text's score does not depend on where it is scored or how rows are dealt.
-
-The base score adds up the logs of word counts; words beyond the ``HEAD`` commonest
-meet their counts by a join, so the vocabulary may grow without bound.
-
-Edge cases: a null text counts as empty: one token, the end; without training
-documents every bit is a half; rows that agree in id and text get equal scores; long
-texts are read in pieces that overlap by ``MARGIN`` bytes, so a word longer than that is
-seen by its last bytes where a piece begins; other columns of the input are not read.
+"""Language-model scoring by logistic context mixing, bit by bit, with the model dealt to shards by context.
+
+Bits. Tokens are lower-cased words and one end for each text. The ``HEAD`` commonest have
+Huffman codes; any other word, and one met only once, is an escape and then spelled byte by byte. Every
+bit of a code is predicted, so a text's score is the log10 of its whole chance.
+
+Predictors. A bit of a word is predicted by its place in the code alone, after the
+word before, and after the two words before; a bit of a spelled byte after the last one, two and three bytes
+and after all of the word so far. Hashed contexts and the place in the code select slots of counts. The predictors' stretched
+chances are added with weights that a gate selects: how often the two longest
+contexts have been seen. An adaptive probability map refines the sum for each gate.
+
+Shards. The long contexts of a token include the word before it, so tokens are dealt by
+that word (common ones are shared out by the word before that): a shard holds all that is
+known about its contexts and counts, learns weights and maps, and prices its
+tokens on its own. Spelled words are dealt by their beginning, each distinct word once. Shards are as many as
+the corpus asks for (about ``SHARD`` tokens), so the model grows with it; no table of it
+is collected or broadcast but codes and counts of the ``HEAD`` words.
+
+Weights are Newton steps over all of a shard's training bits, each seen as if it had not
+been counted. Everything is frozen before scoring: equal texts get equal scores.
+
+The base score adds up the logs of word counts; words beyond the head meet their
+counts by a join, so the vocabulary may grow without bound.
+
+Edge cases: a null text counts as empty: one token, the end; a null id is in no held-out
+fold; without training documents nothing is known and every bit is a half; rows that
+repeat stay rows of their own; texts of any length are tokenised whole; an empty table
+gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-import copy
-import hashlib
+import heapq
 import math
-import pickle
 import uuid
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import discard, fold, materialize, table, worker_store
-
-EXPERTS, COMMON = 6, 300
-HEAD = 200_000
-ORDERS = (1, 2, 3, 4, 6)
-INPUTS = len(ORDERS) + 1  # and the word context
-LEAST_BITS, SPARSE = 16, 6  # slots at least; one in 2^SPARSE contexts is kept to count them
-PART = 1 << 16
-STEPS, BUCKETS, LIMIT, FINE = 2, 33, 12, 64
-PIECE, MARGIN = 1 << 16, 256
-END = b"\xff"  # in no UTF-8 text
+from docmill.llm.common import discard, in_fold, materialize, shuffle_parts, small_batches, table, worker_store
+
+HEAD = 1 << 17
+SHARD, CHUNK = 250_000, 1 << 20  # tokens of a shard, and of a stretch of documents that is dealt at once
+START = 0xFFFFFFFF  # stands for the word before the first
+GATES, BUCKETS, LIMIT, STEPS, RIDGE = 16, 33, 8.0, 2, 4.0
 FLUSH = 800_000
+BLOCK = 1 << 18
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -59,262 +57,164 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "replace").lower().split(), b""]
 
 
-class Kinds:
-    """Kinds of documents: unit centroids over the commonest words."""
-
-    def __init__(self, common: dict[bytes, int], centroids: np.ndarray):
-        self.common, self.centroids = common, centroids
-
-    @classmethod
-    def learn(cls, train: DataFrame, counts: DataFrame) -> Kinds:
-        """k-means over all training documents: tasks sum the vectors nearest to each centroid."""
-        rows = counts.where("w <> X''").orderBy(F.desc("c"), "w").limit(COMMON).collect()
-        common = {bytes(r["w"]): i for i, r in enumerate(rows)}
-        if not common:
-            return cls(common, np.zeros((EXPERTS, COMMON)))
-
-        def vectors(batches):
-            import pyarrow as pa
-
-            for b in batches:
-                x = [cls._vector(common, Counter(tokens(t))).astype(np.float32) for t in b.column(0).to_pylist()]
-                at = [np.flatnonzero(v) for v in x]
-                yield pa.RecordBatch.from_arrays([pa.array([k.astype(np.uint16).tobytes() for k in at], pa.binary()), pa.array([v[k].tobytes() for v, k in zip(x, at)], pa.binary())], names=["at", "x"])
-
-        held = materialize(train.select("text").mapInArrow(vectors, "at binary, x binary"), "lm-vectors")
-
-        def sums(c: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
-            """Sum of the vectors nearest to each centroid, and the vector that is farthest from all."""
-
-            def run(batches):
-                import pyarrow as pa
-
-                total, worst = np.zeros((len(c), COMMON)), (2.0, b"")
-                for b in batches:
-                    for at in range(0, b.num_rows, 1024):
-                        part = b.slice(at, 1024)
-                        x = np.zeros((part.num_rows, COMMON), np.float32)
-                        for i, (k, v) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
-                            x[i, np.frombuffer(k, np.uint16)] = np.frombuffer(v, np.float32)
-                        x = x[x.any(1)]
-                        if len(x):
-                            near = x @ c.T.astype(np.float32)
-                            np.add.at(total, near.argmax(1), x)
-                            far = near.max(1)
-                            worst = min([worst, *((float(far[i]), x[i].tobytes()) for i in np.flatnonzero(far == far.min()))])
-                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([worst[0]], pa.float64()), pa.array([worst[1]], pa.binary())], names=["total", "far", "worst"])
-
-            total, worst = np.zeros((len(c), COMMON)), (2.0, b"")
-            for r in held.mapInArrow(run, "total binary, far double, worst binary").toLocalIterator():
-                total += np.frombuffer(r["total"]).reshape(total.shape)
-                worst = min(worst, (r["far"], bytes(r["worst"])))
-            return total, np.frombuffer(worst[1], np.float32).astype(float) if worst[1] else None
-
-        unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        c = unit(sums(np.zeros((1, COMMON)))[0])
-        while len(c) < EXPERTS:  # farthest-first start, so that reruns agree
-            worst = sums(c)[1]
-            c = np.vstack([c, worst if worst is not None else np.zeros(COMMON)])
-        for _ in range(15):
-            total, before = sums(c)[0], c
-            c = np.where(total.any(1, keepdims=True), unit(total), c)
-            if np.abs(c - before).max() < 1e-6:
-                break
-        discard(held)
-        return cls(common, c)
-
-    @staticmethod
-    def _vector(common, counted) -> np.ndarray:
-        v = np.zeros(COMMON)
-        for w, n in counted.items():
-            if (i := common.get(w)) is not None:
-                v[i] = math.sqrt(n)
-        return v / max(np.linalg.norm(v), 1e-12)
-
-    def of(self, counted) -> int:
-        return int((self.centroids @ self._vector(self.common, counted)).argmax())
-
-
-def _pieces(text: str | None):
-    """(bytes, how many of them only give context): the text and its end."""
-    raw = (text or "").encode("utf-8", "replace") + END
-    for at in range(0, len(raw), PIECE):
-        first = max(at - MARGIN, 0)
-        yield raw[first : at + PIECE], at - first
-
-
-def _buffered(texts):
-    """(owners, pieces) of about ``PIECE`` bytes together, from (owner, text)."""
-    held, size = [], 0
-    for owner, text in texts:
-        for raw, skip in _pieces(text):
-            held.append((owner, raw, skip))
-            size += len(raw)
-            if size >= PIECE:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
-def _stream(held) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, contexts by input, owner of each byte) without the bytes that only give context."""
-    raw = np.frombuffer(b"".join(x for _, x, _ in held), np.uint8)
-    lengths = np.array([len(x) for _, x, _ in held])
-    starts = np.cumsum(lengths) - lengths
-    place = np.arange(len(raw)) - np.repeat(starts, lengths)
-    contexts, h = np.empty((INPUTS, len(raw)), np.uint32), np.zeros(len(raw), np.uint32)
-    for k in range(1, max(ORDERS) + 1):
-        last = np.empty(len(raw), np.uint32)
-        last[k:] = raw[:-k]
-        last[place < k] = END[0]
-        h = (h + last + np.uint32(1)) * np.uint32(0x2F0B4C47) ^ (h >> np.uint32(15))
-        if k in ORDERS:
-            contexts[ORDERS.index(k)] = h + np.uint32(k)
-    # hashes of the word so far, as differences of one running sum times inverse powers
-    n = len(raw)
-    power, inverse = np.full(n, 0x9E3779B97F4A7C15, np.uint64), np.full(n, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)
-    power[0] = inverse[0] = 1
-    power, inverse = np.cumprod(power), np.cumprod(inverse)
-    term = (raw.astype(np.uint64) + np.uint64(1)) * power
-    sums = np.cumsum(term) - term
-    first = place == 0
-    first[1:] |= raw[:-1] <= 32
-    begin = np.flatnonzero(first)
-    word = np.cumsum(first) - 1
-    sofar = (sums - sums[begin][word]) * inverse[begin][word]
-    before = np.zeros(len(begin), np.uint64)
-    before[1:] = sofar[begin[1:] - 1]
-    before[place[begin] == 0] = 0
-    mixed = (sofar ^ (before[word] * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0xFF51AFD7ED558CCD)
-    contexts[-1] = (mixed >> np.uint64(32)).astype(np.uint32)
-    keep = place >= np.repeat(np.array([skip for _, _, skip in held]), lengths)
-    owner = np.repeat(np.array([o for o, _, _ in held]), lengths)
-    return (raw, contexts, owner) if keep.all() else (raw[keep], contexts[:, keep], owner[keep])
-
-
-def _nodes(context: np.ndarray, raw: np.ndarray, bit: int) -> np.ndarray:
-    """Hash of the context and of the byte's bits before ``bit``."""
-    node = ((1 << bit) | (raw.astype(np.uint32) >> np.uint32(8 - bit))).astype(np.uint32)
-    h = (context ^ (node * np.uint32(0x9E3779B1))) * np.uint32(0x85EBCA6B)
-    h = (h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE35)
-    return h ^ (h >> np.uint32(13))
-
-
-def _bits(raw: np.ndarray, bit: int) -> np.ndarray:
-    return (raw >> (7 - bit)) & 1
-
-
-def _stretch(n0, n1):
+# --- codes
+
+
+def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, nodes, bits): for each symbol the inner nodes of its code and the side taken at each."""
+    n = len(weights)
+    parent, side = np.zeros(max(2 * n - 1, 1), np.int64), np.zeros(max(2 * n - 1, 1), np.uint8)
+    heap = [(int(w), i) for i, w in enumerate(weights)]
+    heapq.heapify(heap)
+    for new in range(n, 2 * n - 1):
+        (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+        parent[i] = parent[j] = new
+        side[j] = 1
+        heapq.heappush(heap, (a + b, new))
+    at, symbol, found = np.arange(n), np.arange(n), []
+    while True:
+        inner = at < 2 * n - 2
+        at, symbol = at[inner], symbol[inner]
+        if not len(at):
+            break
+        found.append((symbol, parent[at] - n, side[at]))
+        at = parent[at]
+    if not found:
+        return np.zeros(n + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint8)
+    symbol, node, bit = map(np.concatenate, zip(*found))
+    order = np.argsort(symbol, kind="stable")
+    return np.concatenate([[0], np.cumsum(np.bincount(symbol, minlength=n))]), node[order].astype(np.int32), bit[order]
+
+
+def alone_by_node(code: tuple, counts: np.ndarray) -> np.ndarray:
+    """Stretched chance of a one at each place of the code, from the symbols' counts."""
+    offsets, nodes, bits = code
+    each, size = np.repeat(counts, np.diff(offsets)), max(len(counts) - 1, 1)
+    return stretch(np.bincount(nodes, each * (1 - bits.astype(np.int64)), size), np.bincount(nodes, each * bits, size)).astype(np.float32)
+
+
+#: Bytes have codes of eight bits; node 0 is unused.
+_BYTES = np.arange(256)
+BYTE_CODE = (np.arange(257) * 8, np.concatenate([(1 << k) | (_BYTES >> (8 - k)) for k in range(8)]).reshape(8, 256).T.ravel().astype(np.int32), np.concatenate([(_BYTES >> (7 - k)) & 1 for k in range(8)]).reshape(8, 256).T.ravel().astype(np.uint8))
+
+
+def stretch(n0, n1):
     return np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4)))
 
 
-class Mixer:
-    """The mixed bit model: slots by input and for each expert weights and a map."""
-
-    def __init__(self, counts: list[np.ndarray]):
-        self.counts = counts  # by input: slot * 2 + bit
-        self.masks = [np.uint32(len(c) // 2 - 1) for c in counts]
-        self.weights = np.full((EXPERTS, 8, INPUTS), 0.2)
-        self.centres = np.linspace(-8, 8, BUCKETS)
-        self.map = np.tile(self.centres, (EXPERTS, 8, 1))
-        self.share = np.full(EXPERTS, 1 / EXPERTS)
-
-    def unseen(self, raw, contexts, bit):
-        """(inputs as if each bit had not been counted, bits)."""
-        y = _bits(raw, bit)
-        x = np.empty((INPUTS, len(raw)), np.float32)
-        for k in range(INPUTS):
-            pair = self.counts[k].reshape(-1, 2)[_nodes(contexts[k], raw, bit) & self.masks[k]].astype(np.float32)
-            pair[np.arange(len(raw)), y] -= 1
-            x[k] = _stretch(pair[:, 0], pair[:, 1])
-        return x, y
-
-    def sums(self, kind: int, held, total: dict) -> None:
-        """Add a buffer's gradients, curvatures and map sums of one expert."""
-        raw, contexts, _ = _stream(held)
-        for bit in range(8):
-            x, y = self.unseen(raw, contexts, bit)
-            dot = np.clip(self.weights[kind, bit].astype(np.float32) @ x, -LIMIT, LIMIT)
-            p = 1 / (1 + np.exp(-dot))
-            total["gradient"][kind, bit] += x @ (y - p)
-            total["curve"][kind, bit] += (x * np.maximum(p * (1 - p), 0.005)) @ x.T
-            total["loss"][kind] += np.log1p(np.exp(np.where(y == 1, -dot, dot))).sum(dtype=np.float64)
-            at = np.rint((np.clip(dot, -8, 8) + 8) * ((BUCKETS - 1) / 16)).astype(np.int64)
-            total["ones"][kind, bit] += np.bincount(at, y, BUCKETS)
-            total["seen"][kind, bit] += np.bincount(at, minlength=BUCKETS)
-
-    def step(self, total: dict) -> None:
-        """One Newton step, held to the start where there is little text."""
-        for k in range(EXPERTS):
-            for bit in range(8):
-                pull = total["gradient"][k, bit] - (self.weights[k, bit] - 0.2)
-                self.weights[k, bit] += np.linalg.solve(total["curve"][k, bit] + np.eye(INPUTS), pull)
-
-    def fit_map(self, total: dict) -> None:
-        chance = 1 / (1 + np.exp(-self.centres))
-        p = (total["ones"] + 4 * chance) / (total["seen"] + 4)
-        self.map = np.log(p / (1 - p))
-
-    def freeze(self) -> Mixer:
-        """Slots become their stretched chances in 256ths; mix and map become costs by fine steps of the mix."""
-        self.inputs = []
-        for k in range(INPUTS):
-            c, self.counts[k] = self.counts[k], None
-            self.inputs.append(np.rint(_stretch(c[0::2].astype(np.float32), c[1::2].astype(np.float32)) * 256).astype(np.int16))
-        self.counts = None
-        dots = np.arange(-LIMIT * FINE, LIMIT * FINE + 1) / FINE
-        mean = np.array([[(dots + np.interp(dots, self.centres, m)) / 2 for m in row] for row in self.map])
-        self.costs = np.stack([np.logaddexp(0, mean), np.logaddexp(0, -mean)], 2).astype(np.float32) / np.float32(math.log(10))  # of a 0, of a 1
-        return self
-
-    def bare(self) -> Mixer:
-        """Without the slots, which travel packed."""
-        out = copy.copy(self)
-        out.inputs = None
-        return out
-
-    def filled(self, inputs: list[np.ndarray]) -> Mixer:
-        out = copy.copy(self)
-        out.inputs = inputs
-        return out
-
-    def by_expert(self, texts: list[str | None]) -> np.ndarray:
-        """log10 chance of each text, its end included, under each expert."""
-        out = np.zeros((len(texts), EXPERTS))
-        scale = (self.weights * (FINE / 256)).astype(np.float32)
-        for held in _buffered(enumerate(texts)):
-            raw, contexts, owner = _stream(held)
-            spent = np.zeros((EXPERTS, len(raw)), np.float32)
-            x = np.empty((INPUTS, len(raw)), np.float32)
-            for bit in range(8):
-                for k in range(INPUTS):
-                    x[k] = self.inputs[k][_nodes(contexts[k], raw, bit) & self.masks[k]]
-                at = np.rint(np.clip(scale[:, bit] @ x, -LIMIT * FINE, LIMIT * FINE)).astype(np.int32) + LIMIT * FINE
-                at += _bits(raw, bit).astype(np.int32) * (2 * LIMIT * FINE + 1)
-                for e in range(EXPERTS):
-                    spent[e] += self.costs[e, bit].ravel()[at[e]]
-            least, last = int(owner[0]), int(owner[-1]) + 1
-            for e in range(EXPERTS):
-                out[least:last, e] -= np.bincount(owner - least, spent[e], last - least)
-        return out
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 chance of each as a whole text, under the mean of the experts."""
-        x = self.by_expert([w.decode("latin-1") if isinstance(w, bytes) else w for w in words]) + np.log10(self.share)
-        top = x.max(1, keepdims=True)
-        return (top + np.log10((10.0 ** (x - top)).sum(1, keepdims=True)))[:, 0]
-
-
-class Model:
-    """What scoring tasks need, and the sizes of the training text."""
-
-    def __init__(self, kinds, speller, n, types, share):
-        self.kinds, self.speller, self.n, self.types, self.share = kinds, speller, n, types, share
-
-
-def _training(docs, id_col, text_col, holdout):
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.coalesce(fold(F.col("id"), holdout) != 0, F.lit(True)))
+def hashed(*parts: np.ndarray) -> np.ndarray:
+    """32-bit hash of several 32-bit numbers."""
+    h = np.full(len(parts[0]), 0x2F0B4C47, np.uint32)
+    for p in parts:
+        h = (h ^ p.astype(np.uint32)) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE35)
+        h ^= h >> np.uint32(13)
+    return h
+
+
+# --- one shard
+
+
+def price(symbols: np.ndarray, contexts: list[np.ndarray], train: np.ndarray, code: tuple, alone: np.ndarray | None = None) -> np.ndarray:
+    """Cost (-ln of the chance) of each symbol after its contexts, by a model that learns from those marked ``train``."""
+    offsets, nodes, bits = code
+    length = np.diff(offsets)[symbols]
+    owner = np.repeat(np.arange(len(symbols)), length)
+    if not len(owner):
+        return np.zeros(len(symbols))
+    at = np.arange(len(owner)) + np.repeat(offsets[symbols] - (np.cumsum(length) - length), length)
+    node, y = nodes[at], bits[at].astype(np.float32)
+    del at
+    learn = np.flatnonzero(train[owner])
+    size = max(18, math.ceil(math.log2(len(owner))))
+    marked = node.astype(np.uint32) * np.uint32(0x9E3779B1)
+    slots, counts = [], []
+    for c in contexts:
+        slot = (hashed(c[owner] ^ marked) >> np.uint32(32 - size)).astype(np.int64) * 2
+        slots.append(slot)
+        counts.append(np.bincount(slot[learn] + (y[learn] > 0), minlength=2 << size).astype(np.float32))
+    n = len(contexts) + (alone is not None)
+
+    def inputs(which, unseen: bool):
+        """(stretched chances, gates, bits); ``unseen``: as if each bit had not been counted."""
+        yy = y[which]
+        x, gate = np.empty((n, len(yy)), np.float32), np.zeros(len(yy), np.uint8)
+        if alone is not None:
+            x[0] = alone[node[which]]
+        for k in range(len(contexts)):
+            s = slots[k][which]
+            n0, n1 = counts[k][s], counts[k][s + 1]
+            if unseen:
+                n1 = n1 - yy
+                n0 = n0 - (1 - yy)
+            x[n - len(contexts) + k] = stretch(n0, n1)
+            if k >= len(contexts) - 2:
+                gate = gate * np.uint8(4) + np.minimum(n0 + n1, 3).astype(np.uint8)
+        return x, gate, yy
+
+    start = np.full(n, 0.9 / n)
+    weights, centres = np.tile(start, (GATES, 1)), np.linspace(-LIMIT, LIMIT, BUCKETS)
+    maps = np.tile(centres, (GATES, 1))
+    x, gate, yy = inputs(learn, True)
+    order = np.argsort(gate, kind="stable")
+    ends = np.searchsorted(gate[order], np.arange(GATES + 1))
+    for g in range(GATES):
+        mine = order[ends[g] : ends[g + 1]]
+        if not len(mine):
+            continue
+        xs, ys = x[:, mine], yy[mine]
+        for _ in range(STEPS):
+            p = 1 / (1 + np.exp(-np.clip(weights[g].astype(np.float32) @ xs, -LIMIT, LIMIT)))
+            pull = xs @ (ys - p) - RIDGE * (weights[g] - start)
+            weights[g] += np.linalg.solve((xs * np.maximum(p * (1 - p), np.float32(0.005))) @ xs.T + RIDGE * np.eye(n), pull)
+        bucket = np.rint((np.clip(weights[g].astype(np.float32) @ xs, -LIMIT, LIMIT) + LIMIT) * ((BUCKETS - 1) / (2 * LIMIT))).astype(np.int64)
+        chance = 1 / (1 + np.exp(-centres))
+        p = (np.bincount(bucket, ys, BUCKETS) + 4 * chance) / (np.bincount(bucket, minlength=BUCKETS) + 4)
+        maps[g] = np.log(p / (1 - p))
+    del x, gate, yy, order
+    weights, maps = weights.astype(np.float32), maps.astype(np.float32).ravel()
+    cost = np.zeros(len(symbols))
+    for a in range(0, len(owner), BLOCK):
+        some = slice(a, a + BLOCK)
+        x, gate, yy = inputs(some, False)
+        dot = np.zeros(len(yy), np.float32)
+        for k in range(n):
+            dot += weights[:, k][gate] * x[k]
+        place = (np.clip(dot, -LIMIT, LIMIT) + np.float32(LIMIT)) * np.float32((BUCKETS - 1) / (2 * LIMIT))
+        low = np.minimum(place.astype(np.int32), BUCKETS - 2)
+        part = place - low
+        low += gate.astype(np.int32) * BUCKETS
+        mean = (dot + maps[low] * (1 - part) + maps[low + 1] * part) / 2
+        spent = np.logaddexp(np.float32(0), np.where(yy > 0, -mean, mean))
+        first, last = int(owner[a]), int(owner[min(a + BLOCK, len(owner)) - 1]) + 1
+        cost[first:last] += np.bincount(owner[some] - first, spent, last - first)
+    return cost
+
+
+# --- packed numbers
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of 32-bit numbers of one length, byte by byte, compressed."""
+    import zstandard
+
+    raw = b"".join(np.ascontiguousarray(a.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unpacked(data: bytes, number: int) -> list[np.ndarray]:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(number, 4, -1)
+    return [np.ascontiguousarray(x.T).view("<u4").ravel() for x in raw]
+
+
+def steps(x: np.ndarray) -> np.ndarray:
+    """Differences of ascending numbers."""
+    return np.diff(x, prepend=0)
+
+
+# --- the corpus
 
 
 def count_words(train: DataFrame) -> DataFrame:
@@ -338,187 +238,232 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("c"))
 
 
-def _packed(tables: list[np.ndarray]) -> tuple[str, list[tuple[str, bytes]]]:
-    return uuid.uuid4().hex, [(x.dtype.str, zlib.compress(x.tobytes(), 1)) for x in tables]
+def shared_with_tasks(head, n: int, docs: int, shards: int) -> SimpleNamespace:
+    """What tasks need to know: codes, word counts, shards and how widely common words are shared out (plain arrays and lists)."""
+    words, counts = head["w"].to_pylist(), head["c"].to_numpy().astype(np.int64)
+    with_others = np.append(counts, n - int(counts.sum()))
+    code = huffman(np.maximum(with_others, 1))
+    share = max(n // max(shards, 1), 1)
+    spread = np.append(np.maximum(-(-counts // share), 1), [1, max(-(-docs // share), 1)]).astype(np.uint32)  # of words, others, starts
+    return SimpleNamespace(name=uuid.uuid4().hex, words=words, escape=len(words), code=code, alone=alone_by_node(code, with_others), logs=np.append(np.log10(counts + 0.1), 0.0), shards=shards, spread=spread)
 
 
-def _unpacked(packed) -> list[np.ndarray]:
-    """The tables, unpacked once for each worker."""
-    name, tables = packed
+def places_of(know: SimpleNamespace) -> dict[bytes, int]:
+    """Word → place in the head, made once for each Python process."""
     held = worker_store("scoring")
-    if held.get("lm-tables", ("",))[0] != name:
-        held["lm-tables"] = (name, [np.frombuffer(zlib.decompress(x), kind) for kind, x in tables])
-    return held["lm-tables"][1]
+    if held.get("name") != know.name:
+        held["name"], held["places"] = know.name, {w: i for i, w in enumerate(know.words)}
+    return held["places"]
 
 
-def slot_bits(train: DataFrame) -> list[int]:
-    """By input, the bits of a slot number that give every distinct node of the training text a slot of its own or more.
+def token_stream(docs: DataFrame, shared) -> DataFrame:
+    """Documents in stretches of about ``CHUNK`` tokens: (chunk, ids, docs, tokens, words).
 
-    Nodes before the bits 4 and 7 of a byte are counted by the share of hashes that begin with
-    ``SPARSE`` zeros; those before the bits 0 to 3 are at most as many as before 4, those before 5 and 6 as before 7.
+    ``docs`` packs (tokens, bytes, training) of each document, ``tokens`` the place of each token in the head, or the
+    head's size plus the place of its word in ``words``.
     """
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        know = shared.value
+        places, escape = places_of(know), know.escape
+        number = TaskContext.get().partitionId() << 32
+        ids, meta, stream, words = [], [], [], {}
 
-        seen = [np.zeros(0, np.uint32) for _ in range(2 * INPUTS)]
-        for some in _buffered((0, t) for b in batches for t in b.column(0).to_pylist()):
-            raw, contexts, _ = _stream(some)
-            for k in range(INPUTS):
-                for j, bit in enumerate((4, 7)):
-                    h = _nodes(contexts[k], raw, bit)
-                    seen[2 * k + j] = np.union1d(seen[2 * k + j], h[h >> np.uint32(32 - SPARSE) == 0])
-        for k, x in enumerate(seen):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array(x.astype(np.int64))], names=["input", "h"])
+        def row(ids, meta, stream, words, number):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), pa.array([ids], pa.list_(of)), pa.array([packed(*np.array(meta, np.int64).T)], pa.binary()), pa.array([packed(np.concatenate(stream))], pa.binary()), pa.array([list(words)], pa.list_(pa.binary()))],
+                names=["chunk", "ids", "docs", "tokens", "words"])
 
-    found = train.select("text").mapInArrow(run, "input int, h bigint").distinct().groupBy("input").count().collect()
-    n = {r["input"]: r["count"] << SPARSE for r in found}
-    nodes = [5 * n.get(2 * k, 0) + 3 * n.get(2 * k + 1, 0) for k in range(INPUTS)]
-    return [max(LEAST_BITS, math.ceil(math.log2(max(x, 1)))) for x in nodes]
+        held = 0
+        for b in batches:
+            of = b.column(0).type
+            for i, text, train in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                found = tokens(text)
+                at = [places.get(w, escape) for w in found]
+                if escape in at:
+                    at = [p if p < escape else escape + words.setdefault(w, len(words)) for p, w in zip(at, found)]
+                ids.append(i), meta.append((len(found), len((text or "").encode("utf-8", "replace")), train)), stream.append(np.array(at, np.uint32))
+                held += len(found)
+                if held >= CHUNK:
+                    yield row(ids, meta, stream, words, number)
+                    ids, meta, stream, words, held, number = [], [], [], {}, 0, number + 1
+        if ids:
+            yield row(ids, meta, stream, words, number)
+
+    return docs.select("id", "text", "train").mapInArrow(run, f"chunk bigint, ids array<{kind}>, docs binary, tokens binary, words array<binary>")
+
+
+def _read(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens of each document, bytes, training, token places) of a stretch."""
+    n, size, train = unpacked(row["docs"], 3)
+    return n.astype(np.int64), size, train, unpacked(row["tokens"], 1)[0]
 
 
-def slot_counts(train: DataFrame, bits: list[int]) -> list[np.ndarray]:
-    """By input, counts of every bit of the training text (slot * 2 + bit), summed over tasks in parts of ``PART``."""
+def deal(stream: DataFrame, shared) -> DataFrame:
+    """(shard, chunk, events): every token with the two words before it, sent to the shard of its contexts."""
 
-    def gather(batches):
+    def run(batches):
         import pyarrow as pa
 
-        held = [np.zeros(2 << b, np.uint32) for b in bits]
-        texts = ((0, t) for b in batches for t in b.column(0).to_pylist())
-        for some in _buffered(texts):
-            raw, contexts, _ = _stream(some)
-            for bit in range(8):
-                y = _bits(raw, bit)
-                for k in range(INPUTS):
-                    np.add.at(held[k], (_nodes(contexts[k], raw, bit) & np.uint32((1 << bits[k]) - 1)).astype(np.int64) * 2 + y, np.uint32(1))
-        for k, x in enumerate(held):
-            for at in range(0, len(x), PART):
-                if (part := x[at : at + PART]).any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at], pa.int64()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["input", "at", "sums"])
-
-    def add(t):
+        know = shared.value
+        escape = know.escape
+        for b in batches:
+            for row in b.to_pylist():
+                n, _, train, at = _read(row)
+                marks = np.array([zlib.crc32(w) for w in row["words"]], np.uint32) % np.uint32(START - escape) + np.uint32(escape)
+                word = at.copy()
+                other = at >= escape
+                word[other] = marks[at[other] - escape]
+                symbol = np.minimum(at, escape)
+                doc = np.repeat(np.arange(len(n)), n)
+                place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                one, two, spread = np.full(len(at), START, np.uint32), np.full(len(at), START, np.uint32), np.full(len(at), escape + 1)
+                one[1:], two[2:], spread[1:] = word[:-1], word[:-2], symbol[:-1]
+                one[place < 1], two[place < 2], spread[place < 1] = START, START, escape + 1
+                part = hashed(np.where(place < 2, doc, two).astype(np.uint32)) % know.spread[spread]
+                shard = hashed(one, part) % np.uint32(know.shards)
+                order = np.argsort(shard.astype(np.int32), kind="stable")
+                ends = np.searchsorted(shard[order], np.arange(know.shards + 1))
+                full = np.flatnonzero(np.diff(ends))
+                data = []
+                for s in full:
+                    mine = order[ends[s] : ends[s + 1]]
+                    data.append(packed(symbol[mine], one[mine], two[mine], steps(doc[mine] * 2 + train[doc[mine]])))
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["chunk"]] * len(full), pa.int64()), pa.array(data, pa.binary())], names=["shard", "chunk", "events"])
+
+    return stream.select("chunk", "docs", "tokens", "words").mapInArrow(run, "shard int, chunk bigint, events binary")
+
+
+def learn_words(dealt: DataFrame, shared) -> DataFrame:
+    """(chunk, costs): each shard learns its contexts and prices its tokens, added up by document."""
+
+    def run(t):
         import pyarrow as pa
 
-        total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64) for x in t["sums"].to_pylist())
-        packed = zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)
-        return pa.table({"input": t["input"][:1], "at": t["at"][:1], "sums": pa.array([packed], pa.binary())})
-
-    form = "input int, at bigint, sums binary"
-    few = train.select("text").coalesce(train.sparkSession.sparkContext.defaultParallelism)  # one table for each core
-    out = [np.zeros(2 << b, np.uint32) for b in bits]
-    for r in few.mapInArrow(gather, form).groupBy("input", "at").applyInArrow(add, form).toLocalIterator():
-        part = np.frombuffer(zlib.decompress(r["sums"]), np.uint32)
-        out[r["input"]][r["at"] : r["at"] + len(part)] = part
-    return out
-
-
-def train_mixer(train: DataFrame, kinds: Kinds, mixer: Mixer) -> None:
-    """Newton steps, then the maps, from sums over all training text; the experts' shares from the kinds."""
-    counts = train.sparkSession.sparkContext.broadcast(_packed(mixer.counts))
-    shapes = {"gradient": (EXPERTS, 8, INPUTS), "curve": (EXPERTS, 8, INPUTS, INPUTS), "loss": (EXPERTS,), "ones": (EXPERTS, 8, BUCKETS), "seen": (EXPERTS, 8, BUCKETS), "docs": (EXPERTS,)}
-    for number in range(STEPS + 1):
-        weights = mixer.weights
-
-        def run(batches, weights=weights):
-            import pyarrow as pa
-
-            m = Mixer(_unpacked(counts.value))
-            m.weights = weights
-            total = {name: np.zeros(shape) for name, shape in shapes.items()}
-            held = [([], 0) for _ in range(EXPERTS)]
-            for b in batches:
-                for t in b.column(0).to_pylist():
-                    k = kinds.of(Counter(tokens(t)))
-                    total["docs"][k] += 1
-                    for raw, skip in _pieces(t):
-                        some, size = held[k]
-                        some.append((0, raw, skip))
-                        held[k] = (some, size + len(raw))
-                        if held[k][1] >= PIECE:
-                            m.sums(k, some, total)
-                            held[k] = ([], 0)
-            for k, (some, _) in enumerate(held):
-                if some:
-                    m.sums(k, some, total)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], names=["sums"])
-
-        total = {name: np.zeros(shape) for name, shape in shapes.items()}
-        for r in train.select("text").mapInArrow(run, "sums binary").toLocalIterator():
-            for name, x in pickle.loads(r["sums"]).items():
-                total[name] += x
-        if number < STEPS:
-            mixer.step(total)
-    mixer.fit_map(total)
-    mixer.share = (total["docs"] + 1) / (total["docs"] + 1).sum()
-    counts.destroy()
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", holdout: int = 10) -> tuple[Model, DataFrame]:
-    """The model and the table of counts."""
-    train = _training(docs, id_col, text_col, holdout)
-    counts = materialize(count_words(train), "lm-counts")
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    kinds = Kinds.learn(train, counts)
-    mixer = Mixer(slot_counts(train, slot_bits(train)))
-    train_mixer(train, kinds, mixer)
-    return Model(kinds, mixer.freeze(), totals[0], totals[1], mixer.share), counts
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of ``docs``."""
+        know = shared.value
+        rows = sorted(zip(t["chunk"].to_pylist(), t["events"].to_pylist()))
+        parts = [unpacked(e, 4) for _, e in rows]
+        symbol, one, two = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        marks = [np.cumsum(p[3].astype(np.int64)) for p in parts]
+        train = np.concatenate(marks) % 2 == 1
+        cost = price(symbol.astype(np.int64), [hashed(one), hashed(one, two)], train, know.code, know.alone)
+        out, at = [], 0
+        for m in marks:
+            doc, firsts = np.unique(m >> 1, return_index=True)
+            sums = np.add.reduceat(cost[at : at + len(m)], firsts)
+            out.append(packed(steps(doc), sums.astype(np.float32).view(np.uint32)))
+            at += len(m)
+        return pa.table({"chunk": pa.array([c for c, _ in rows], pa.int64()), "costs": pa.array(out, pa.binary())})
+
+    return dealt.groupBy("shard").applyInArrow(run, "chunk bigint, costs binary")
+
+
+def gathered(costs: DataFrame) -> DataFrame:
+    """(chunk, place, cost) for each document of each stretch."""
+
+    def run(t):
+        import pyarrow as pa
+
+        parts = [unpacked(c, 2) for c in t["costs"].to_pylist()]
+        doc = np.concatenate([np.cumsum(p[0].astype(np.int64)) for p in parts])
+        order = np.argsort(np.concatenate([p[1] for p in parts]), kind="stable")  # a sum that does not depend on the order of arrival
+        total = np.bincount(doc[order], np.concatenate([p[1].view(np.float32) for p in parts])[order].astype(float))
+        return pa.table({"chunk": pa.array([t["chunk"][0].as_py()] * len(total), pa.int64()), "place": pa.array(np.arange(len(total)), pa.int32()), "cost": pa.array(total, pa.float64())})
+
+    return costs.groupBy("chunk").applyInArrow(run, "chunk bigint, place int, cost double")
+
+
+def spelled(words: DataFrame, shards: int) -> DataFrame:
+    """(w, known, log, spell) for distinct words (w, c): log10 of the smoothed count, and the cost of the word's bytes."""
+
+    def run(t):
+        import pyarrow as pa
+
+        t = t.sort_by("w")
+        found, c = t["w"].to_pylist(), t["c"].to_numpy(zero_copy_only=False)
+        raw = np.frombuffer(b"".join(w + b"\xff" for w in found), np.uint8)  # in no UTF-8 text
+        length = np.array([len(w) + 1 for w in found])
+        owner = np.repeat(np.arange(len(found)), length)
+        place = np.arange(len(raw)) - np.repeat(np.cumsum(length) - length, length)
+        last = []
+        for k in (1, 2, 3):
+            x = np.full(len(raw), 256, np.uint32)
+            x[k:] = raw[:-k]
+            x[place < k] = 256
+            last.append(x)
+        # all of the word so far: a running sum of powers, less what stood before the word
+        far = np.zeros(len(raw), np.uint32)
+        for k in range(1, int(length.max())):
+            here = np.flatnonzero(place == k)
+            far[here] = (far[here - 1] + raw[here - 1] + np.uint32(1)) * np.uint32(0x9E3779B1)
+        contexts = [hashed(last[0]), hashed(*last[:2]), hashed(*last), hashed(far, place)]
+        cost = price(raw.astype(np.int64), contexts, (c > 0)[owner], BYTE_CODE)
+        return pa.table({"w": t["w"], "known": pa.array(c > 0), "log": pa.array(np.log10(c + 0.1)), "spell": pa.array(np.bincount(owner, cost, len(found)))})
+
+    return words.groupBy(F.pmod(F.xxhash64(F.substring("w", 1, 2)), F.lit(shards)).alias("shard")).applyInArrow(run, "w binary, known boolean, log double, spell double")
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of ``docs``.
+
+    The model learns from the rows where ``train`` holds (default: those outside the fold of crc32(id) modulo 10).
+    """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    head = counts.orderBy(F.desc("c"), "w").limit(HEAD).toArrow()
-    words, logs = head["w"].to_pylist(), np.log10(head["c"].to_numpy().astype(float) + 0.1)
-    del head
-    shared = spark.sparkContext.broadcast((words, logs))  # at most HEAD words
-    packed = spark.sparkContext.broadcast(_packed(model.speller.inputs))
-    bare = model.speller.bare()
+    small_batches(spark)
+    learns = F.coalesce(train if train is not None else ~in_fold(F.col(f"`{id_col}`"), 10), F.lit(False))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), learns.alias("train"))
+    counts = materialize(count_words(rows.where("train")), "lm-counts")
+    n, types, starts = (x or 0 for x in counts.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("w") == b"", F.col("c")))).first())
+    # words met once have no code of their own: from them the escape and the spelling learn what a new word is like
+    head = counts.where("c > 1").orderBy(F.desc("c"), "w").limit(HEAD).toArrow()
+    shards = max(2 * shuffle_parts(spark), n // SHARD)
+    shared = spark.sparkContext.broadcast(shared_with_tasks(head, n, starts, shards))  # at most HEAD words and their codes
+    stream = materialize(token_stream(rows, shared), "lm-stream")
+    costs = gathered(learn_words(deal(stream, shared), shared))
+
+    def documents(batches):
+        import pyarrow as pa
 
-    def run(batches):
+        know = shared.value
+        escape = know.escape
+        for b in batches:
+            for row, ids in zip(b.to_pylist(), b.column(b.schema.get_field_index("ids"))):
+                total, size, train, at = _read(row)
+                firsts = np.cumsum(total) - total
+                logs = np.add.reduceat(know.logs[np.minimum(at, escape)], firsts)
+                common = np.add.reduceat((at < escape).astype(np.int64), firsts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["chunk"]] * len(total), pa.int64()), pa.array(np.arange(len(total)), pa.int32()), ids.values, pa.array(train == 0), pa.array(total, pa.int64()), pa.array(size.astype(np.int64)), pa.array(common), pa.array(logs)],
+                    names=["chunk", "place", "id", "held_out", "total", "bytes", "n", "base"])
+
+    def others(batches):
         import pyarrow as pa
 
-        words, logs = shared.value
-        speller = bare.filled(_unpacked(packed.value))
-        place = {w: i for i, w in enumerate(words)}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                ids, marks, w, n, total, size, base, experts = [], [], [], [], [], [], [], []
-                texts = part.column(1).to_pylist()
-                streamed = speller.by_expert(texts).tolist()
-                for i, text in enumerate(texts):
-                    mark = hashlib.blake2b(b"" if text is None else text.encode("utf-8", "replace") + b"\1", digest_size=16).digest()
-                    counted = Counter(tokens(text))
-                    at_head = [(j, c) for x, c in counted.items() if (j := place.get(x)) is not None]
-                    rest = [(x, c) for x, c in counted.items() if x not in place]
-                    k = np.array(at_head, np.int64).reshape(-1, 2)
-                    ids.append(i), marks.append(mark), w.append(None), n.append(int(k[:, 1].sum())), total.append(sum(counted.values())), size.append(len((text or "").encode("utf-8", "replace")))
-                    base.append(float(k[:, 1] @ logs[k[:, 0]])), experts.append(streamed[i])
-                    for x, c in rest:
-                        ids.append(i), marks.append(mark), w.append(x), n.append(c), total.append(None), size.append(None)
-                        base.append(None), experts.append(None)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ids, pa.int64())), pa.array(marks, pa.binary()), pa.array(w, pa.binary()), pa.array(n, pa.int64()), pa.array(total, pa.int64()), pa.array(size, pa.int64()), pa.array(base, pa.float64()), pa.array(experts, pa.list_(pa.float64()))], names=["id", "mark", "w", "n", "total", "bytes", "base", "s"])
-
-    rows = materialize(docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, mark binary, w binary, n bigint, total bigint, bytes bigint, base double, s array<double>"), "lm-rows")
-    tail = rows.where("w IS NOT NULL").select("id", "mark", "w", "n")
-    met = tail.select("w").distinct().join(counts, "w", "left").select("w", F.col("c").isNotNull().alias("known"), F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1)).alias("log"))
-    priced = materialize(met, "lm-tail")
-    of_tail = tail.join(priced, "w").groupBy("id", "mark").agg(F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("tn"), F.sum(F.col("n") * F.col("log")).alias("tbase"))
-    of_head = rows.where("w IS NULL").groupBy("id", "mark").agg(F.count("*").alias("copies"), F.max("n").alias("n"), F.max("total").alias("total"), F.max("bytes").alias("bytes"), F.max("base").alias("base"), *[F.max(F.col("s")[k]).alias(f"h{k}") for k in range(EXPERTS)])
-    tails = of_tail.select(F.col("id").alias("tid"), F.col("mark").alias("tmark"), "tn", "tbase")
-    met = of_head.join(tails, F.col("id").eqNullSafe(F.col("tid")) & (F.col("mark") == F.col("tmark")), "left")
-    base = F.col("base") + F.coalesce(F.col("tbase") / F.col("copies"), F.lit(0.0))
-    total = [F.col(f"h{k}") + math.log10(model.share[k]) for k in range(EXPERTS)]
-    top = F.greatest(*total)
-    mixed = top + F.log10(sum((F.pow(F.lit(10.0), F.greatest(t - top, F.lit(-300.0))) for t in total), F.lit(0.0)))
+        escape = shared.value.escape
+        for b in batches:
+            for row in b.to_pylist():
+                total, _, _, at = _read(row)
+                here = np.flatnonzero(at >= escape)
+                pair, times = np.unique(np.repeat(np.arange(len(total)), total)[here] << 32 | (at[here] - escape).astype(np.int64), return_counts=True)
+                words = pa.array(row["words"], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * len(pair), pa.int64()), pa.array((pair >> 32).astype(np.int32)), words.take(pa.array(pair & 0xFFFFFFFF)), pa.array(times.astype(np.int32))], names=["chunk", "place", "w", "n"])
+
+    each = stream.mapInArrow(documents, f"chunk bigint, place int, id {kind}, held_out boolean, total bigint, bytes bigint, n bigint, base double")
+    tail = stream.select("chunk", "docs", "tokens", "words").mapInArrow(others, "chunk bigint, place int, w binary, n int")
+    distinct = stream.select(F.explode("words").alias("w")).distinct().join(counts, "w", "left").select("w", F.coalesce("c", F.lit(0)).alias("c"))
+    priced = materialize(spelled(distinct, 2 * shuffle_parts(spark)), "lm-words")
+    of_tail = tail.join(priced, "w").groupBy("chunk", "place").agg(F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("tn"), F.sum(F.col("n") * F.col("log")).alias("tbase"), F.sum(F.col("n") * F.col("spell")).alias("tcost"))
+    met = each.join(costs, ["chunk", "place"], "left").join(of_tail, ["chunk", "place"], "left")
+    whole = -(F.coalesce("cost", F.lit(0.0)) + F.coalesce("tcost", F.lit(0.0)))
     return met.select(
-        F.col("id").alias(id_col), F.col("total").alias("n_tokens"), (F.col("n") + F.coalesce((F.col("tn") / F.col("copies")).cast("long"), F.lit(0))).alias("n_known"), F.lit(int(model.n)).cast("long").alias("train_tokens"),
-        (base - F.col("total") * F.lit(math.log10(model.n + 0.1 * (model.types + 1)))).alias("base_score"), mixed.alias("score"),
-        (-mixed * F.lit(math.log2(10)) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"),
-    ).drop("_copy")
+        F.col("id").alias(id_col), "held_out", F.col("total").alias("n_tokens"), (F.col("n") + F.coalesce("tn", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("tbase", F.lit(0.0)) - F.col("total") * F.lit(math.log10(n + 0.1 * (types + 1)))).alias("base_score"),
+        (whole / F.lit(math.log(10))).alias("score"), (-whole / F.lit(math.log(2)) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"))
 
 
 def op6_scoring(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    model, counts = fit(docs)
-    return score(docs, model, counts).select("doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    return score(table(spark, sf_dir, "documents"))

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docmill.llm import bpe, components, language, minhash, mixing, scoring, secrets, toxicity, url_rules, vectors, winnowing
 
@@ -146,21 +147,116 @@ def test_mixing(docs, none, spark):
 
 
 def test_scoring(docs, none):
-    model, counts = scoring.fit(docs)
-    got = scoring.score(docs, model, counts).collect()
+    got = scoring.score(docs).collect()
     assert len(got) == len(ROWS)
     train = Counter()
     for i, t, _ in ROWS:
         if i is None or zlib.crc32(str(i).encode()) % 10:
             train.update(scoring.tokens(t))
     n, v = sum(train.values()), len(train)
-    want = Counter((i, len(scoring.tokens(t)), sum(train[w] > 0 for w in scoring.tokens(t)), n, round(sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in scoring.tokens(t)), 4)) for i, t, _ in ROWS)
-    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == want
-    assert all(r["score"] < 0 for r in got)
-    # the chances of all one-byte words and of going on add up to at most 1
-    assert (10 ** model.speller.log10([bytes([c]) for c in range(256) if c != 32])).sum() <= 1 + 1e-6
-    empty_model, empty_counts = scoring.fit(none)
-    assert scoring.score(none, empty_model, empty_counts).count() == 0 and empty_model.n == 0
+    want = Counter((i, i is not None and zlib.crc32(str(i).encode()) % 10 == 0, len(scoring.tokens(t)), sum(train[w] > 0 for w in scoring.tokens(t)), n, round(sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in scoring.tokens(t)), 4)) for i, t, _ in ROWS)
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == want
+    assert all(r["score"] < 0 and r["bits_per_byte"] > 0 for r in got)
+    same = [r["score"] for r in got if r["n_tokens"] == 1]
+    assert len(same) == 2 and same[0] == same[1]
+    assert scoring.score(none).count() == 0
+    unlearned = scoring.score(docs, train=F.lit(False)).collect()
+    assert len(unlearned) == len(ROWS) and all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in unlearned)
+
+
+def slow_price(symbols, contexts, train, code, alone):
+    """What ``scoring.price`` does, bit by bit with dictionaries."""
+    offsets, nodes, bits = code
+    n = len(contexts) + (alone is not None)
+    seen, events = {}, []
+    for i, s in enumerate(symbols):
+        for j in range(offsets[s], offsets[s + 1]):
+            keys = [(k, int(c[i]), int(nodes[j])) for k, c in enumerate(contexts)]
+            events.append((i, keys, int(nodes[j]), int(bits[j])))
+            if train[i]:
+                for key in keys:
+                    seen.setdefault(key, [0, 0])[int(bits[j])] += 1
+
+    def inputs(keys, node, less):
+        pairs = [[max(0, x) for x in np.subtract(seen.get(key, [0, 0]), less)] for key in keys]
+        x = ([alone[node]] if alone is not None else []) + [math.log((b + 0.4) / (a + 0.4)) for a, b in pairs]
+        gate = 0
+        for a, b in pairs[-2:]:
+            gate = gate * 4 + min(a + b, 3)
+        return np.array(x), gate
+
+    by_gate = {}
+    for i, keys, node, y in events:
+        if train[i]:
+            x, g = inputs(keys, node, [1 - y, y])
+            by_gate.setdefault(g, []).append((x, y))
+    weights, maps, centres = {}, {}, np.linspace(-8, 8, 33)
+    start = np.full(n, 0.9 / n)
+    for g, rows in by_gate.items():
+        w = start.copy()
+        for _ in range(2):
+            pull, curve = -4.0 * (w - start), 4.0 * np.eye(n)
+            for x, y in rows:
+                p = 1 / (1 + math.exp(-min(8, max(-8, w @ x))))
+                pull = pull + x * (y - p)
+                curve = curve + np.outer(x, x) * max(p * (1 - p), 0.005)
+            w = w + np.linalg.solve(curve, pull)
+        tally = np.zeros((33, 2))
+        for x, y in rows:
+            tally[round((min(8, max(-8, w @ x)) + 8) * 2), y] += 1
+        p = (tally[:, 1] + 4 / (1 + np.exp(-centres))) / (tally.sum(1) + 4)
+        weights[g], maps[g] = w, np.log(p / (1 - p))
+    cost = [0.0] * len(symbols)
+    for i, keys, node, y in events:
+        x, g = inputs(keys, node, [0, 0])
+        dot = weights.get(g, start) @ x
+        mean = (dot + np.interp(dot, centres, maps.get(g, centres))) / 2
+        cost[i] += math.log1p(math.exp(-mean if y else mean))
+    return cost
+
+
+def test_price_agrees_with_a_slow_model():
+    rng = np.random.default_rng(2)
+    code = scoring.huffman(np.array([9, 5, 3, 3, 2, 1, 1]))
+    symbols = rng.choice(7, 400, p=np.array([9, 5, 3, 3, 2, 1, 1]) / 24)
+    symbols[1::2] = (symbols[::2] + 1) % 7  # every other one follows from the one before
+    one, two = np.roll(symbols, 1).astype(np.uint32), np.roll(symbols, 2).astype(np.uint32)
+    train = rng.random(400) < 0.8
+    alone = scoring.alone_by_node(code, np.bincount(symbols[train], minlength=7))
+    contexts = [one, scoring.hashed(one, two)]
+    got = scoring.price(symbols, contexts, train, code, alone)
+    assert np.allclose(got, slow_price(symbols, contexts, train, code, alone), rtol=2e-3, atol=2e-3)
+    assert scoring.price(symbols[:0], [one[:0]], train[:0], code, alone).tolist() == []
+
+
+def test_chances_add_up_to_one():
+    rng = np.random.default_rng(3)
+    code = scoring.huffman(rng.integers(1, 50, 23))
+    symbols, context = rng.integers(0, 23, 600), rng.integers(0, 4, 600).astype(np.uint32)
+    train = np.ones(600 + 4 * 23, bool)
+    train[600:] = False  # every symbol once after each context, priced but not learned
+    every = np.concatenate([symbols, np.tile(np.arange(23), 4)])
+    contexts = [np.concatenate([context, np.repeat(np.arange(4, dtype=np.uint32), 23)])] * 2
+    cost = scoring.price(every, contexts, train, code, scoring.alone_by_node(code, np.bincount(symbols, minlength=23)))
+    assert np.allclose(np.exp(-cost[600:]).reshape(4, 23).sum(1), 1, atol=1e-3)
+    free = scoring.price(np.arange(256), [np.zeros(256, np.uint32)] * 4, np.zeros(256, bool), scoring.BYTE_CODE)
+    assert np.allclose(free, 8 * math.log(2), atol=1e-5)
+
+
+def test_codes_are_shortest():
+    weights = np.array([40, 1, 7, 7, 30, 2, 13])
+    offsets, nodes, bits = scoring.huffman(weights)
+    lengths = np.diff(offsets)
+    assert sum(2.0 ** -lengths) == 1
+    heap = sorted(weights.tolist())
+    best = 0
+    while len(heap) > 1:
+        a, b, *rest = heap
+        best += a + b
+        heap = sorted([*rest, a + b])
+    assert (lengths * weights).sum() == best
+    paths = {tuple(sorted(zip(nodes[a:b].tolist(), bits[a:b].tolist()))) for a, b in zip(offsets, offsets[1:])}
+    assert len(paths) == len(weights)
 
 
 def test_toxicity(spark, none):
@@ -280,29 +376,29 @@ def test_scoring_reads_word_order(spark):
             out.append(rnd.choice(follows[out[-1]]))
         return out
 
-    df = spark.createDataFrame([(i, " ".join(chain(120))) for i in range(150)], "doc_id long, text string")
-    model, counts = scoring.fit(df, holdout=1000)
+    rows = [(i, " ".join(chain(120)), True) for i in range(150)]
     fresh = chain(200)
     mixed = rnd.sample(fresh, len(fresh))
-    long = " ".join(chain(12_000))  # more than one piece
-    got = {r["doc_id"]: r["score"] for r in scoring.score(spark.createDataFrame([(1, " ".join(fresh)), (2, " ".join(mixed)), (3, long)], "doc_id long, text string"), model, counts).collect()}
-    assert got[1] > 0.8 * got[2] and len(long) > scoring.PIECE and math.isfinite(got[3])
+    long = " ".join(chain(12_000))
+    twice = rows[0][1]
+    df = spark.createDataFrame([*rows, (1001, " ".join(fresh), False), (1002, " ".join(mixed), False), (1003, long, False), (1004, twice, False), (1005, "zzz qqq " + twice, False)], "doc_id long, text string, learn boolean")
+    got = {r["doc_id"]: r["score"] for r in scoring.score(df, train=F.col("learn")).collect()}
+    assert got[1001] > 0.8 * got[1002] and math.isfinite(got[1003])
+    assert got[1004] == got[0] and got[1005] < got[1004] - 4  # a copy of a learned text scores as it does; unknown words cost
 
 
-def test_scoring_grows_with_the_corpus(spark):
+def test_scoring_does_not_depend_on_partitions_and_grows_with_the_corpus(spark, monkeypatch):
     rnd = random.Random(9)
-    rows = [(i, " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(60))) for i in range(600)]
-    small, large = (spark.createDataFrame(r, "doc_id long, text string").repartition(3) for r in (rows[:60], rows))
-    few, many = scoring.slot_bits(small), scoring.slot_bits(large)
-    nodes = {(t[max(i - 6, 0):i], i == 0, t[i]) for _, t in rows for i in range(len(t))}
-    assert many[4] > few[4] and 1 << many[4] >= len(nodes)
-    counts = scoring.slot_counts(small, few)
-    n_bytes = sum(len(t) + 1 for _, t in rows[:60])
-    assert all(int(c.sum(dtype="int64")) == 8 * n_bytes for c in counts)
-    # kinds come from every document: two kinds of words dealt half and half are told apart
-    kinds = spark.createDataFrame([(i, ("red green blue " if i % 2 else "one two three ") * 9) for i in range(4000)], "doc_id long, text string")
-    k = scoring.Kinds.learn(kinds, scoring.count_words(kinds))
-    assert k.of(Counter([b"red", b"green"])) != k.of(Counter([b"one", b"two"]))
+    rows = [(i, " ".join(rnd.choice(WORDS) + rnd.choice(("", "", "s", "x%d" % rnd.randrange(400))) for _ in range(60))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(scoring, "SHARD", 1500)  # more shards than partitions ask for
+    a, b = ({r["doc_id"]: r["score"] for r in scoring.score(df.repartition(k)).collect()} for k in (1, 5))
+    assert a.keys() == b.keys() and all(math.isclose(a[i], b[i], rel_tol=1e-4) for i in a)
+    hot = spark.createDataFrame([(i, "the " * 50 + t) for i, t in rows], "doc_id long, text string")
+    counts = hot.sparkSession.createDataFrame([(b"the", 15_000), (b"", 300), (b"ka", 20)], "w binary, c long").orderBy(F.desc("c")).toArrow()
+    know = scoring.shared_with_tasks(counts, 15_320, 300, 12)
+    assert know.spread.tolist() == [12, 1, 1, 1, 1]  # a word that takes more than a shard is shared out
+    assert scoring.score(hot).count() == 300
 
 
 def test_vectors_of_a_hot_label_that_share_a_direction(spark):
