@@ -45,7 +45,8 @@ from pyspark.sql import functions as F
 from docmill.llm.common import discard, in_fold, materialize, shuffle_parts, small_batches, table, worker_store
 
 HEAD = 1 << 17
-SHARD, CHUNK = 250_000, 1 << 20  # tokens of a shard, and of a stretch of documents that is dealt at once
+SHARD, CHUNK = 150_000, 1 << 20  # tokens of a shard, and of a stretch of documents that is dealt at once
+SPELLED = 8_000  # spelled words of a shard
 START = 0xFFFFFFFF  # stands for the word before the first
 GATES, BUCKETS, LIMIT, STEPS, RIDGE = 16, 33, 8.0, 2, 4.0
 FLUSH = 800_000
@@ -119,25 +120,26 @@ def price(symbols: np.ndarray, contexts: list[np.ndarray], train: np.ndarray, co
     """Cost (-ln of the chance) of each symbol after its contexts, by a model that learns from those marked ``train``."""
     offsets, nodes, bits = code
     length = np.diff(offsets)[symbols]
-    owner = np.repeat(np.arange(len(symbols)), length)
+    owner = np.repeat(np.arange(len(symbols), dtype=np.int32), length)
     if not len(owner):
         return np.zeros(len(symbols))
     at = np.arange(len(owner)) + np.repeat(offsets[symbols] - (np.cumsum(length) - length), length)
-    node, y = nodes[at], bits[at].astype(np.float32)
+    node, y = nodes[at], bits[at]
     del at
-    learn = np.flatnonzero(train[owner])
+    learn = np.flatnonzero(train[owner]).astype(np.int32)
     size = max(18, math.ceil(math.log2(len(owner))))
-    marked = node.astype(np.uint32) * np.uint32(0x9E3779B1)
     slots, counts = [], []
     for c in contexts:
-        slot = (hashed(c[owner] ^ marked) >> np.uint32(32 - size)).astype(np.int64) * 2
-        slots.append(slot)
-        counts.append(np.bincount(slot[learn] + (y[learn] > 0), minlength=2 << size).astype(np.float32))
+        slot = hashed(c[owner] ^ (node.astype(np.uint32) * np.uint32(0x9E3779B1))) >> np.uint32(32 - size)
+        slots.append((slot * np.uint32(2)).astype(np.int32))
+        counts.append(np.zeros(2 << size, np.float32))
+        np.add.at(counts[-1], slots[-1][learn] + y[learn], np.float32(1))
+        del slot
     n = len(contexts) + (alone is not None)
 
     def inputs(which, unseen: bool):
         """(stretched chances, gates, bits); ``unseen``: as if each bit had not been counted."""
-        yy = y[which]
+        yy = y[which].astype(np.float32)
         x, gate = np.empty((n, len(yy)), np.float32), np.zeros(len(yy), np.uint8)
         if alone is not None:
             x[0] = alone[node[which]]
@@ -324,8 +326,12 @@ def deal(stream: DataFrame, shared) -> DataFrame:
                 one, two, spread = np.full(len(at), START, np.uint32), np.full(len(at), START, np.uint32), np.full(len(at), escape + 1)
                 one[1:], two[2:], spread[1:] = word[:-1], word[:-2], symbol[:-1]
                 one[place < 1], two[place < 2], spread[place < 1] = START, START, escape + 1
+                # a pair of words that takes more than a shard is shared out by document and place
+                pair = hashed(one, two) >> np.uint32(16)
+                copies = -(-np.bincount(pair, minlength=1 << 16) * know.shards // len(at))[pair]
+                salt = np.where(copies > 1, hashed(doc, place >> 15) % np.maximum(copies, 1).astype(np.uint32), 0)
                 part = hashed(np.where(place < 2, doc, two).astype(np.uint32)) % know.spread[spread]
-                shard = hashed(one, part) % np.uint32(know.shards)
+                shard = hashed(one, part, salt) % np.uint32(know.shards)
                 order = np.argsort(shard.astype(np.int32), kind="stable")
                 ends = np.searchsorted(shard[order], np.arange(know.shards + 1))
                 full = np.flatnonzero(np.diff(ends))
@@ -404,7 +410,12 @@ def spelled(words: DataFrame, shards: int) -> DataFrame:
         cost = price(raw.astype(np.int64), contexts, (c > 0)[owner], BYTE_CODE)
         return pa.table({"w": t["w"], "known": pa.array(c > 0), "log": pa.array(np.log10(c + 0.1)), "spell": pa.array(np.bincount(owner, cost, len(found)))})
 
-    return words.groupBy(F.pmod(F.xxhash64(F.substring("w", 1, 2)), F.lit(shards)).alias("shard")).applyInArrow(run, "w binary, known boolean, log double, spell double")
+    begun = words.withColumn("pre", F.substring("w", 1, 3))
+    # beginnings that take more than a shard are shared out by word; there are at most as many of them as shards
+    hot = begun.groupBy("pre").count().where(F.col("count") > SPELLED).select("pre", F.ceil(F.col("count") / SPELLED).alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("w"), F.col("parts")), F.lit(0))
+    dealt = begun.join(hot, "pre", "left").select("w", "c", F.pmod(F.xxhash64("pre", part), F.lit(shards)).alias("shard"))
+    return dealt.groupBy("shard").applyInArrow(run, "w binary, known boolean, log double, spell double")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None) -> DataFrame:
@@ -455,7 +466,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     each = stream.mapInArrow(documents, f"chunk bigint, place int, id {kind}, held_out boolean, total bigint, bytes bigint, n bigint, base double")
     tail = stream.select("chunk", "docs", "tokens", "words").mapInArrow(others, "chunk bigint, place int, w binary, n int")
     distinct = stream.select(F.explode("words").alias("w")).distinct().join(counts, "w", "left").select("w", F.coalesce("c", F.lit(0)).alias("c"))
-    priced = materialize(spelled(distinct, 2 * shuffle_parts(spark)), "lm-words")
+    distinct = materialize(distinct, "lm-distinct")
+    priced = materialize(spelled(distinct, max(2 * shuffle_parts(spark), distinct.count() // SPELLED)), "lm-words")
     of_tail = tail.join(priced, "w").groupBy("chunk", "place").agg(F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("tn"), F.sum(F.col("n") * F.col("log")).alias("tbase"), F.sum(F.col("n") * F.col("spell")).alias("tcost"))
     met = each.join(costs, ["chunk", "place"], "left").join(of_tail, ["chunk", "place"], "left")
     whole = -(F.coalesce("cost", F.lit(0.0)) + F.coalesce("tcost", F.lit(0.0)))
