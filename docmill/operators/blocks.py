@@ -12,17 +12,26 @@ PROTECTED_TYPES = ("code", "table", "image", "formula")
 
 
 def line_kinds(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, kind): fences by parity, tables of two rows or more, short lines with an image."""
+    """(doc_id, line_no, line, kind): fences by parity, tables of two rows or more, short lines with an image.
+
+    A table begins at the first line of a run of ``|`` lines that holds a second ``|``; one blank line does not end a quote.
+    """
     order = Window.partitionBy("doc_id").orderBy("line_no")
     s = T.stripped(F.col("line"))
     base = lines.withColumn("s", s).withColumn("fence", F.col("s").startswith("```"))
     counted = base.withColumn("fences", F.sum(F.col("fence").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    piped = counted.withColumns({"before": F.lag("s").over(order), "after": F.lead("s").over(order)})
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    pipe = F.col("s").startswith("|") & ~((F.col("fences") % 2 == 1) | F.col("fence"))
+    runs = counted.withColumn("pipe", pipe).withColumn("run", F.sum(F.when(pipe & F.lag("pipe", 1, False).over(order), 0).otherwise(1)).over(upto))
+    run = Window.partitionBy("doc_id", "run")
+    piped = runs.withColumns({"rows_from": F.min(F.when(F.col("pipe") & F.contains(F.substring("s", 2, 1 << 30), F.lit("|")), F.col("line_no"))).over(run), "rows_to": F.max("line_no").over(run)})
     in_code = (F.col("fences") % 2 == 1) | F.col("fence")
-    table = F.col("s").startswith("|") & (F.coalesce(F.col("before").startswith("|"), F.lit(False)) | F.coalesce(F.col("after").startswith("|"), F.lit(False)))
+    table = F.col("pipe") & (F.col("line_no") >= F.col("rows_from")) & (F.col("rows_to") > F.col("rows_from"))
     kind = F.when(in_code, "code").when(F.col("s") == "", "blank").when(F.rlike("line", F.lit(r"^#{1,6}\s+\S")), "section_heading").when(table, "table").when(
         F.rlike("s", F.lit(T.IMAGE)) & (F.length("s") < 200), "image_evidence").when(F.col("s").startswith(">"), "quote").otherwise("text")
-    return piped.select("doc_id", "line_no", "line", "s", kind.alias("kind"), (F.col("fence") & (F.col("fences") % 2 == 1)).alias("opens"))
+    kinds = piped.withColumn("kind", kind).withColumns({"k_before": F.lag("kind").over(order), "k_after": F.lead("kind").over(order)})
+    joined = (F.col("kind") == "blank") & (F.col("k_before") == "quote") & (F.col("k_after").isNull() | (F.col("k_after") == "quote"))
+    return kinds.select("doc_id", "line_no", "line", "s", F.when(joined, "quote").otherwise(F.col("kind")).alias("kind"), (F.col("fence") & (F.col("fences") % 2 == 1)).alias("opens"))
 
 
 def blockify(lines: DataFrame) -> DataFrame:
@@ -43,7 +52,7 @@ def blockify(lines: DataFrame) -> DataFrame:
         F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"), F.min("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"), F.max_by(F.array_join(path, " > "), "line_no").alias("heading_path"))
     text = T.stripped(F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
     b = body.withColumn("text", text)
-    kind = F.when(F.col("kind") != "text", F.col("kind")).when(F.col("text").startswith("|"), "table").when(F.rlike("text", F.lit(T.STEP)), "operation_step").otherwise("paragraph")
+    kind = F.when(F.col("kind") != "text", F.col("kind")).when(F.col("text").startswith("|"), "table").when(T.step_line(F.col("text")), "operation_step").otherwise("paragraph")
     return b.select("doc_id", F.col("block_idx").cast("long"), kind.alias("type"), "text", F.col("line_start").cast("long"), F.col("line_end").cast("long"), F.col("kind").isin("code", "table").alias("protected"), "heading_path")
 
 
@@ -57,7 +66,7 @@ def wrapper_type(t: F.Column, squeezed: F.Column, searched: F.Column) -> F.Colum
     A tutorial term near a business term needs no test of its own: a business term anywhere is a method signal.
     """
     cta = (F.length(squeezed) <= 80) & T.contains_any(squeezed, [x.replace(" ", "") for x in T.CTA]) & ~T.holds_any(squeezed, T.TUTORIAL) & ~T.knowledge_signal(squeezed)
-    step = ~t.startswith("```") & ~t.startswith("|") & ~F.contains(F.lower(t), F.lit("<table")) & T.matches(t, T.METHOD_STEP, "iuUm")
+    step = ~t.startswith("```") & ~t.startswith("|") & ~F.contains(F.lower(t), F.lit("<table")) & T.matches(t, T.PROTECTED[0][1], "iuUm")
     method = step | T.holds_any(searched, T.BUSINESS) | T.knowledge_signal(searched)
     return F.when(T.matches(t, T.REFUND), F.lit(None).cast("string")).when(cta, "marketing_cta").when(
         T.holds_any(searched, T.WRAPPER_HEADING) & ~method, F.when(T.holds_any(searched, T.BACK_MATTER), "back_matter").otherwise("marketing_wrapper")).when(_any_match(t, T.WRAPPER_LINE) & ~method, "marketing_wrapper")
@@ -70,7 +79,7 @@ def classify(blocks: DataFrame) -> DataFrame:
     cta, wrapper = T.contains_any(t, T.CTA), F.col("wrapper")
     lesson = T.holds_any(t, T.TUTORIAL) | T.knowledge_signal(t) | T.holds_any(heading, T.BUSINESS) | T.knowledge_signal(heading)
     case = lambda status, new, safe, confidence, reason: F.struct(F.lit(status).alias("status"), (new if isinstance(new, F.Column) else F.lit(new)).alias("type"), (safe if isinstance(safe, F.Column) else F.lit(safe)).alias("protected"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"))
-    unread = T.count(t, T.GARBLED)
+    unread = T.garbled_count(t)
     rules = [
         (t == "", case("discard", "empty", False, 0.95, "empty")),
         (wrapper.isNotNull(), case("discard", wrapper, False, 0.96, "marketing_wrapper")),
@@ -78,14 +87,16 @@ def classify(blocks: DataFrame) -> DataFrame:
         (kind.isin("section_heading", "quote"), case("keep", kind, F.col("protected"), 0.90, "structural")),
         (kind == "image_evidence", case("unclassified", kind, False, 0.0, "image")),
         (kind == "operation_step", case("keep", kind, True, 0.90, "protected_type")),
-        *[(T.matches(t, p), case("keep", label, True, 0.90, "protected_pattern")) for label, p in T.PROTECTED],
+        (t.startswith("```"), case("keep", "code", True, 0.90, "protected_pattern")),
+        (t.startswith("|") | F.contains(F.lower(t), F.lit("<table")), case("keep", "table", True, 0.90, "protected_pattern")),
+        *[(T.matches(t, p, "iuUm"), case("keep", label, True, 0.90, "protected_pattern")) for label, p in T.PROTECTED],
         (cta & lesson, case("keep", "case_step", True, 0.88, "contextual_cta")),
         (_any_match(t, [*T.FILLER, *T.FILLER_MORE]), case("discard", "transcript_filler", False, 0.95, "filler")),
         (cta, case("discard", "marketing_cta", False, 0.95, "cta")),
         (T.matches(t, T.REFUND), case("discard", "refund_policy", False, 0.95, "refund")),
         (T.matches(t, T.FOOTER), case("discard", "footer", False, 0.95, "footer")),
         *[(T.matches(t, p), case("evidence", label, False, 0.85, "evidence")) for label, p in T.EVIDENCE],
-        ((F.length(t) >= 20) & ((T.count(t, "�") >= 3) | (unread / F.length(t) > 0.15)), case("review", "garbled", False, 0.80, "garbled")),
+        ((F.length(t) >= 20) & ((T.count(t, "�") >= 3) | (unread / F.length(t) > 0.15)), case("discard", "garbled_text", F.col("protected"), 0.80, "garbled")),
     ]
     chain = F
     for condition, value in rules:
@@ -118,10 +129,17 @@ def gate(patched: DataFrame, blocks: DataFrame, active: list[str]) -> DataFrame:
     return met.select("doc_id", "block_idx", "rule_id", "change_type", reason.alias("rejected"))
 
 
+def kept_blocks(blocks: DataFrame, row: F.Column, *more: F.Column) -> DataFrame:
+    """(doc_id, b, ...): the kept blocks of each document that keeps any, in order.
+
+    Kept ones are picked within the aggregate: as a filter the rules would sink below it and each evaluate the block's text anew.
+    """
+    kept = (F.col("status") == "keep") & (F.col("text") != "")
+    return blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(kept, row))).alias("b"), *more).where("size(b) > 0")
+
+
 def chunk_generic(blocks: DataFrame) -> DataFrame:
     """(doc_id, chunk, blocks, char_count): kept blocks packed in order, closed before they pass the target."""
-    kept = blocks.where("status = 'keep' AND text <> ''").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", F.length("text").alias("n")))).alias("b"))
-    packed = F.aggregate("b", F.struct(F.array().cast("array<struct<first:bigint,blocks:int,n:int>>").alias("done"), F.lit(None).cast("struct<first:bigint,blocks:int,n:int>").alias("open")), lambda a, x: F.when(
-        a["open"].isNotNull() & (a["open"]["n"] + 2 + x["n"] <= TARGET), F.struct(a["done"].alias("done"), F.struct(a["open"]["first"].alias("first"), (a["open"]["blocks"] + 1).alias("blocks"), (a["open"]["n"] + 2 + x["n"]).alias("n")).alias("open"))
-    ).otherwise(F.struct(F.when(a["open"].isNull(), a["done"]).otherwise(F.array_append(a["done"], a["open"])).alias("done"), F.struct(x["block_idx"].alias("first"), F.lit(1).alias("blocks"), x["n"].alias("n")).alias("open"))), lambda a: F.array_append(a["done"], a["open"]))
-    return kept.select("doc_id", F.posexplode(packed).alias("chunk", "c")).select("doc_id", F.col("chunk").cast("long"), F.col("c.first").alias("first_block"), F.col("c.blocks").cast("long").alias("blocks"), F.col("c.n").cast("long").alias("char_count"))
+    from docmill.operators.packing import pack
+
+    return pack(blocks, lambda g, x: g["n"] + 2 + x["n"] > TARGET, lambda g, x: F.lit(False))

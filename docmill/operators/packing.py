@@ -10,20 +10,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.operators.blocks import LONGEST, TARGET
+from docmill.operators.blocks import LONGEST, TARGET, kept_blocks
 
 GROUP = "struct<first:bigint,blocks:int,n:int>"
 PART_FROM, PART_LEAST, PART_MOST = 12_000, 6_000, 18_000
 
 
-def pack(blocks: DataFrame, opens: Callable[[Column, Column], Column], closes: Callable[[Column, Column], Column], gap: int = 2, flags: dict[str, Column] | None = None) -> DataFrame:
+def pack(blocks: DataFrame, opens: Callable[[Column, Column], Column], closes: Callable[[Column, Column], Column], gap: int = 2, flags: dict[str, Column] | None = None, least: int = 0) -> DataFrame:
     """(doc_id, chunk, first_block, blocks, char_count).
 
-    ``opens(group, block)``: whether a block begins a new group; ``closes(group, block)``: whether the group ends after it.
+    ``opens(group, block)``: whether a block begins a new group; ``closes(group, block)``: whether the group ends after it;
+    ``least``: documents that keep fewer characters have no groups.
     """
     flags = flags or {}
-    kept = blocks.where("status = 'keep' AND text <> ''").select("doc_id", F.struct("block_idx", F.length("text").alias("n"), *[c.alias(k) for k, c in flags.items()]).alias("x"))
-    rows = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("b"))
+    rows = kept_blocks(blocks, F.struct("block_idx", F.length("text").alias("n"), *[c.alias(k) for k, c in flags.items()]))
+    if least:
+        rows = rows.where(F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x["n"]) >= least)
     none = F.lit(None).cast(GROUP)
 
     def step(a, x):
@@ -51,5 +53,4 @@ def chunk_transcript(blocks: DataFrame) -> DataFrame:
 
 def parts(blocks: DataFrame) -> DataFrame:
     """Parts of documents that keep 12 000 characters or more: new at headings and before 18 000, from 6 000 on."""
-    long = blocks.where("status = 'keep'").groupBy("doc_id").agg(F.sum(F.length("text")).alias("kept")).where(F.col("kept") >= PART_FROM).select("doc_id")
-    return pack(blocks.join(long, "doc_id", "left_semi"), lambda g, x: (g["n"] >= PART_LEAST) & (x["heading"] | (g["n"] + x["n"] > PART_MOST)), lambda g, x: F.lit(False), gap=0, flags={"heading": F.col("type") == "section_heading"})
+    return pack(blocks, lambda g, x: (g["n"] >= PART_LEAST) & (x["heading"] | (g["n"] + x["n"] > PART_MOST)), lambda g, x: F.lit(False), gap=0, flags={"heading": F.col("type") == "section_heading"}, least=PART_FROM)

@@ -134,11 +134,12 @@ def quality_gates(spark, sf):
 
 
 def review_pack(spark, sf):
-    return _classified(spark, sf).where("status = 'review' OR confidence < 0.76").groupBy("doc_id").agg(F.count("*").alias("blocks"), F.min("block_idx").alias("first_block"))
+    low = (F.col("status") == "review") | (F.col("confidence") < 0.76)
+    return _classified(spark, sf).groupBy("doc_id").agg(F.count_if(low).alias("blocks"), F.min(F.when(low, F.col("block_idx"))).alias("first_block")).where("blocks > 0")
 
 
 def render_cleaned(spark, sf):
-    kept = _classified(spark, sf).where("status = 'keep'").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", "text"))).alias("b"))
+    kept = B.kept_blocks(_classified(spark, sf), F.struct("block_idx", "text"))
     md = F.array_join(F.transform("b", lambda x: x["text"]), "\n\n")
     return kept.select("doc_id", F.length(md).cast("long").alias("chars"), F.sha2(md, 256).alias("cleaned_sha256"))
 
@@ -290,6 +291,27 @@ def _re(p: str) -> str:
     return "'" + p.replace("'", "''") + "'"
 
 
+def _RE2(p: str) -> str:
+    """Escapes of code points as DuckDB's engine writes them."""
+    import re
+
+    return re.sub(r"\\u([0-9a-fA-F]{4})", r"\\x{\1}", p)
+
+
+def _holds(col: str, terms: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({col}, {_re(t)})" for t in terms) + ")"
+
+
+def _knows(col: str) -> str:
+    """One knowledge term of three characters or of ASCII, or two of any."""
+    short = [t for t in T.KNOWLEDGE if len(t) < 3 and not t.isascii()]
+    return f"({_holds(col, [t for t in T.KNOWLEDGE if t not in short])} OR {' + '.join(f'contains({col}, {_re(t)})::INT' for t in short)} >= 2)"
+
+
+def _matches(col: str, patterns: list[str], flags: str = "i") -> str:
+    return "(" + " OR ".join(f"regexp_matches({col}, {_re(f'(?{flags})' + p)})" for p in patterns) + ")"
+
+
 def _any(col: str, terms: list[str]) -> str:
     return "(" + " OR ".join(f"contains(lower({col}), {_re(t.lower())})" for t in terms) + ")"
 
@@ -299,10 +321,13 @@ _CNT = lambda t, p: f"len(regexp_extract_all({t}, {p}))"
 _STRIP = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 _KINDS = f"""
 k0 AS (SELECT *, {_STRIP('line')} AS s FROM lines),
-k1 AS (SELECT *, starts_with(s, '```') AS fence, sum(starts_with(s, '```')::INT) OVER w AS fences, lag(s) OVER (PARTITION BY doc_id ORDER BY line_no) AS b, lead(s) OVER (PARTITION BY doc_id ORDER BY line_no) AS a
-  FROM k0 WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
-kinds AS (SELECT doc_id, line_no, line, s, fence AND fences % 2 = 1 AS opens, CASE WHEN fence OR fences % 2 = 1 THEN 'code' WHEN s = '' THEN 'blank' WHEN regexp_matches(line, '^#{{1,6}}\\s+\\S') THEN 'section_heading'
-  WHEN starts_with(s, '|') AND (coalesce(starts_with(b, '|'), false) OR coalesce(starts_with(a, '|'), false)) THEN 'table' WHEN regexp_matches(s, {_re(T.IMAGE)}) AND length(s) < 200 THEN 'image_evidence' WHEN starts_with(s, '>') THEN 'quote' ELSE 'text' END AS kind FROM k1)"""
+k1 AS (SELECT *, starts_with(s, '```') AS fence, sum(starts_with(s, '```')::INT) OVER w AS fences FROM k0 WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
+k2 AS (SELECT *, starts_with(s, '|') AND NOT fence AND fences % 2 = 0 AS pipe FROM k1),
+k3 AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id, pipe ORDER BY line_no) AS run FROM k2),
+k4 AS (SELECT *, min(line_no) FILTER (contains(substr(s, 2), '|')) OVER (PARTITION BY doc_id, pipe, run) AS rows_from, max(line_no) OVER (PARTITION BY doc_id, pipe, run) AS rows_to FROM k3),
+k5 AS (SELECT doc_id, line_no, line, s, fence AND fences % 2 = 1 AS opens, CASE WHEN fence OR fences % 2 = 1 THEN 'code' WHEN s = '' THEN 'blank' WHEN regexp_matches(line, '^#{{1,6}}\\s+\\S') THEN 'section_heading'
+  WHEN pipe AND line_no >= rows_from AND rows_to > rows_from THEN 'table' WHEN regexp_matches(s, {_re(T.IMAGE)}) AND length(s) < 200 THEN 'image_evidence' WHEN starts_with(s, '>') THEN 'quote' ELSE 'text' END AS kind FROM k4),
+kinds AS (SELECT * REPLACE (CASE WHEN kind = 'blank' AND lag(kind) OVER w = 'quote' AND coalesce(lead(kind) OVER w, 'quote') = 'quote' THEN 'quote' ELSE kind END AS kind) FROM k5 WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))"""
 _PATH = ", ".join(f"max(CASE WHEN level = {n} THEN line_no END) OVER w AS h{n}" for n in range(1, 7))
 _ON = lambda n: " AND ".join([f"h{n} IS NOT NULL", *[f"coalesce(h{m}, -1) < h{n}" for m in range(1, n)]])
 _BLOCKS = f"""{D.LINES_SQL},{_KINDS},
@@ -310,19 +335,28 @@ b0 AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) AS prev,
 b1 AS (SELECT *, sum((kind <> 'blank' AND (opens OR kind IN ('section_heading', 'image_evidence') OR prev IS NULL OR prev <> kind))::INT) OVER w - 1 AS block_idx, {_PATH} FROM b0 WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
 titles AS (SELECT doc_id, line_no, {_STRIP("regexp_extract(line, '^#{1,6}\\s+(.*)$', 1)")} AS title FROM b0 WHERE kind = 'section_heading'),
 b2 AS (SELECT doc_id, block_idx, min(line_no) AS line_start, max(line_no) AS line_end, min(kind) AS kind, {_STRIP("string_agg(line, chr(10) ORDER BY line_no)")} AS text, {', '.join(f"arg_max(CASE WHEN {_ON(n)} THEN h{n} ELSE -1 END, line_no) AS h{n}" for n in range(1, 7))} FROM b1 WHERE kind <> 'blank' GROUP BY doc_id, block_idx),
-blocks AS (SELECT b2.doc_id, block_idx::BIGINT AS block_idx, line_start::BIGINT AS line_start, line_end::BIGINT AS line_end, text, CASE WHEN kind <> 'text' THEN kind WHEN starts_with(text, '|') THEN 'table' WHEN regexp_matches(text, {_re(T.STEP)}) THEN 'operation_step' ELSE 'paragraph' END AS type,
+blocks AS (SELECT b2.doc_id, block_idx::BIGINT AS block_idx, line_start::BIGINT AS line_start, line_end::BIGINT AS line_end, text, CASE WHEN kind <> 'text' THEN kind WHEN starts_with(text, '|') THEN 'table' WHEN (regexp_matches(text, {_re(T.STEP_LINE)}) OR regexp_matches(text, {_re('(?i)' + _RE2(T.EN_STEP_LINE))})) THEN 'operation_step' ELSE 'paragraph' END AS type,
   kind IN ('code', 'table') AS protected, concat_ws(' > ', {', '.join(f't{n}.title' for n in range(1, 7))}) AS heading_path FROM b2 {' '.join(f'LEFT JOIN titles t{n} ON t{n}.doc_id = b2.doc_id AND t{n}.line_no = h{n}' for n in range(1, 7))})"""
+_HEADS = "replace(coalesce(heading_path, ''), ' > ', ' ')"
+_SEARCHED = f"({_HEADS} || chr(10) || text)"
+_SQUEEZED = "regexp_replace(text, '\\s+', '', 'g')"
+_METHOD = f"((NOT starts_with(text, '```') AND NOT starts_with(text, '|') AND NOT contains(lower(text), '<table') AND {_matches('text', [T.PROTECTED[0][1]], 'im')}) OR {_holds(_SEARCHED, T.BUSINESS)} OR {_knows(_SEARCHED)})"
+_SQUEEZED_CTA = _any(_SQUEEZED, [t.replace(" ", "") for t in T.CTA])
+_GARBLED = "greatest(len(regexp_extract_all(regexp_replace(text, '[\\n\\r\\t]', '', 'g'), '\\p{Cc}|\\p{Cf}|\\p{Co}|\\x{fffd}')), length(text) - length(regexp_replace(text, " + _re(_RE2(T.ABNORMAL)) + ", '', 'g')))"
+_WRAPPER = f"""CASE WHEN {_matches('text', [T.REFUND])} THEN NULL WHEN length({_SQUEEZED}) <= 80 AND {_SQUEEZED_CTA} AND NOT {_holds(_SQUEEZED, T.TUTORIAL)} AND NOT {_knows(_SQUEEZED)} THEN 'marketing_cta'
+  WHEN {_METHOD} THEN NULL WHEN {_holds(_SEARCHED, T.WRAPPER_HEADING)} THEN CASE WHEN {_holds(_SEARCHED, T.BACK_MATTER)} THEN 'back_matter' ELSE 'marketing_wrapper' END WHEN {_matches('text', T.WRAPPER_LINE)} THEN 'marketing_wrapper' END"""
 _RULES = [
     ("text = ''", "discard", "'empty'", "false", 0.95, "empty"),
-    (f"length(regexp_replace(text, '\\s+', '', 'g')) <= 80 AND {_any('text', T.CTA)} AND NOT {_any('text', T.KNOWLEDGE)} AND type NOT IN ('code', 'table')", "discard", "'marketing_cta'", "false", 0.96, "marketing_wrapper"),
+    (f"({_WRAPPER}) IS NOT NULL", "discard", f"({_WRAPPER})", "false", 0.96, "marketing_wrapper"),
     ("type IN ('code', 'table')", "keep", "type", "true", 0.90, "structural"), ("type IN ('section_heading', 'quote')", "keep", "type", "protected", 0.90, "structural"),
     ("type = 'image_evidence'", "unclassified", "type", "false", 0.0, "image"), ("type = 'operation_step'", "keep", "type", "true", 0.90, "protected_type"),
-    *[(f"regexp_matches(text, {_re('(?i)' + p)})", "keep", f"'{label}'", "true", 0.90, "protected_pattern") for label, p in T.PROTECTED],
-    (f"{_any('text', T.CTA)} AND {_any('text', T.KNOWLEDGE)}", "keep", "'case_step'", "true", 0.88, "contextual_cta"),
-    *[(f"regexp_matches(text, {_re('(?i)' + p)})", "discard", "'transcript_filler'", "false", 0.95, "filler") for p in T.FILLER],
-    (_any("text", T.CTA), "discard", "'marketing_cta'", "false", 0.95, "cta"), (f"regexp_matches(text, {_re(T.REFUND)})", "discard", "'refund_policy'", "false", 0.95, "refund"), (f"regexp_matches(text, {_re('(?i)' + T.FOOTER)})", "discard", "'footer'", "false", 0.95, "footer"),
-    *[(f"regexp_matches(text, {_re('(?i)' + p)})", "evidence", f"'{label}'", "false", 0.85, "evidence") for label, p in T.EVIDENCE],
-    ("length(text) >= 20 AND length(text) - length(replace(text, chr(65533), '')) >= 3", "review", "'garbled'", "false", 0.80, "garbled"),
+    ("starts_with(text, '```')", "keep", "'code'", "true", 0.90, "protected_pattern"), ("starts_with(text, '|') OR contains(lower(text), '<table')", "keep", "'table'", "true", 0.90, "protected_pattern"),
+    *[(_matches("text", [p], "im"), "keep", f"'{label}'", "true", 0.90, "protected_pattern") for label, p in T.PROTECTED],
+    (f"{_any('text', T.CTA)} AND ({_holds('text', T.TUTORIAL)} OR {_knows('text')} OR {_holds(_HEADS, T.BUSINESS)} OR {_knows(_HEADS)})", "keep", "'case_step'", "true", 0.88, "contextual_cta"),
+    (_matches("text", [*T.FILLER, *T.FILLER_MORE]), "discard", "'transcript_filler'", "false", 0.95, "filler"),
+    (_any("text", T.CTA), "discard", "'marketing_cta'", "false", 0.95, "cta"), (_matches("text", [T.REFUND]), "discard", "'refund_policy'", "false", 0.95, "refund"), (_matches("text", [T.FOOTER]), "discard", "'footer'", "false", 0.95, "footer"),
+    *[(_matches("text", [p]), "evidence", f"'{label}'", "false", 0.85, "evidence") for label, p in T.EVIDENCE],
+    (f"length(text) >= 20 AND (length(text) - length(replace(text, chr(65533), '')) >= 3 OR {_GARBLED}::DOUBLE / length(text) > 0.15)", "discard", "'garbled_text'", "protected", 0.80, "garbled"),
 ]
 _CASE = lambda k, other: "CASE " + " ".join(f"WHEN {r[0]} THEN {k(r)}" for r in _RULES) + f" ELSE {other} END"
 _CLASSIFIED = f"""{_BLOCKS},

@@ -67,3 +67,28 @@ def test_filler_and_wrapper_rules_of_the_reference(spark):
     blocks = spark.createDataFrame([(1, i, k, t, i, i, False, h) for i, (t, k, h, _) in enumerate(rows)], "doc_id long, block_idx long, type string, text string, line_start long, line_end long, protected boolean, heading_path string")
     got = [r["type"] if r["status"] == "discard" else None for r in B.classify(blocks).orderBy("block_idx").collect()]
     assert got == [want for *_, want in rows]
+
+
+def test_texts_are_built_once(spark):
+    from docmill.plans import catalogue
+
+    for name in ("chunk_generic", "chunk_markdown", "parts", "render_cleaned", "review_pack"):
+        plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        # the block's text once, not once a rule; what is rendered from the blocks stands in two columns
+        assert plan.count("array_join(transform(") <= (3 if name == "render_cleaned" else 1), name
+
+
+def test_classification_follows_the_rules_of_the_reference(spark):
+    rows = [
+        ("plain ��� text that cannot be read", "paragraph", "discard", "garbled_text"), ("short ���", "paragraph", "keep", "paragraph"), ("first line\n2) second line is a step", "paragraph", "keep", "operation_step"),
+        ("see <TABLE border=1>", "paragraph", "keep", "table"), ("①②③④⑤⑥⑦ ①②③④⑤⑥ ab cd", "paragraph", "discard", "garbled_text"), ("Scan the QR code", "table", "discard", "marketing_cta"),
+        ("scan the qr code: a case study", "paragraph", "keep", "case_step"), ("step 3: open it", "paragraph", "keep", "operation_step"), ("7 apples", "paragraph", "keep", "operation_step"), ("", "paragraph", "discard", "empty")]
+    blocks = spark.createDataFrame([(1, i, k, t, i, i, False, "") for i, (t, k, _, _) in enumerate(rows)], "doc_id long, block_idx long, type string, text string, line_start long, line_end long, protected boolean, heading_path string")
+    got = [(r["status"], r["type"]) for r in B.classify(blocks).orderBy("block_idx").collect()]
+    assert got == [(status, kind) for *_, status, kind in rows]
+
+
+def test_tables_and_quotes(spark):
+    text = "| lonely\n\n| no second\n| a | b |\n| c\n\n> one\n\n> two\n\n\n> three"
+    got = [(r["type"], r["text"]) for r in B.blockify(lines(spark, text)).orderBy("block_idx").collect()]
+    assert got == [("table", "| lonely"), ("table", "| no second"), ("table", "| a | b |\n| c"), ("quote", "> one\n\n> two"), ("quote", "> three")]

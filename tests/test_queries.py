@@ -34,4 +34,4 @@ def test_matches_sql(spark, duck, name):
 
 def test_every_branch_occurs(spark):
     kinds = {(r["status"], r["type"]) for r in catalogue.block_status_counts(spark, SF).collect()}
-    assert {("discard", "marketing_cta"), ("discard", "footer"), ("discard", "transcript_filler"), ("keep", "code"), ("keep", "table"), ("keep", "operation_step"), ("evidence", "revenue_claim"), ("review", "garbled")} <= kinds
+    assert {("discard", "marketing_cta"), ("discard", "footer"), ("discard", "transcript_filler"), ("keep", "code"), ("keep", "table"), ("keep", "operation_step"), ("evidence", "revenue_claim"), ("discard", "garbled_text")} <= kinds
