@@ -14,7 +14,12 @@
    replacement (so the split of the sources is multivariate hypergeometric),
    down to the output shards. Quotas are exact: they add up over the shards.
 4. Draws. A source's permuted block copies are dealt to the shards as disjoint
-   runs whose lengths are the quotas; ``mixed_rows`` shuffles within each shard.
+   runs whose lengths are the quotas; ``mixed_rows`` gives every shard a partition of
+   its own and shuffles within it.
+
+A node's draw for a source of up to ``ONE_BY_ONE`` copies goes copy by copy; of more it is taken
+from the normal law of the hypergeometric's mean and variance, within its bounds, so that a
+node costs the same however large its quotas are.
 
 Only per-source rows (targets, urns) meet in one place. Documents meet them by
 a broadcast join while there are at most ``BROADCAST_SOURCES`` sources, and by a
@@ -31,12 +36,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.common import WORD, materialize, table
+from docmill.llm.common import WORD, discard, materialize, table
 
 WEIGHTS = (1, 2, 3)
 #: At most so many source rows are broadcast (about 1 KB each).
 BROADCAST_SOURCES = 20_000
 SALTS = 32
+ONE_BY_ONE = 64
 
 
 def _joined(docs: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
@@ -74,17 +80,23 @@ def shard_offsets(sources: DataFrame, shards: int, seed: int) -> DataFrame:
     """(skey, offsets): where each shard's run of the source's permuted block copies begins.
 
     ``shards`` is a power of two. Each tree level halves every node's urn: the copies of
-    each source in turn go left with the exact conditional chance (left still to fill /
-    copies still to deal), which draws the multivariate hypergeometric split.
+    each source in turn go left by the conditional law (left still to fill / copies still to
+    deal), which draws the multivariate hypergeometric split.
     """
     urn = sources.groupBy().agg(F.array_sort(F.collect_list(F.struct("idx", "skey", F.col("blocks").alias("q")))).alias("urn")).select(F.lit(0).alias("node"), "urn")
     for level in range(shards.bit_length() - 1):
-        draw = f"pmod(xxhash64({seed}, {level}, node, s.idx, i), 1000000007L) / 1000000007D"
+        draw = lambda i: f"(pmod(xxhash64({seed}, {level}, node, s.idx, {i}), 1000000007L) + 0.5D) / 1000000007D"
+        # rest copies are still to deal, free of them go left; s.q are of this source
+        one_by_one = f"""aggregate(sequence(1L, s.q), struct(a.rest AS rest, a.free AS free),
+            (b, i) -> struct(b.rest - 1L AS rest, b.free - if({draw("i")} * b.rest < b.free, 1L, 0L) AS free), b -> a.free - b.free)"""
+        share = "(a.free / a.rest)"
+        spread = f"sqrt(s.q * {share} * (1 - {share}) * (a.rest - s.q) / greatest(a.rest - 1, 1))"
+        normal = f"cast(round(s.q * {share} + {spread} * sqrt(-2 * ln({draw(0)})) * cos(2 * pi() * {draw(1)})) AS bigint)"
+        at_once = f"least(least(s.q, a.free), greatest(greatest(0L, a.free - (a.rest - s.q)), {normal}))"
+        drawn = f"CASE WHEN s.q = 0 OR a.free = 0 THEN 0L WHEN s.q <= {ONE_BY_ONE} THEN {one_by_one} ELSE {at_once} END"
         left = f"""aggregate(urn,
             struct(aggregate(urn, 0L, (a, s) -> a + s.q) AS rest, aggregate(urn, 0L, (a, s) -> a + s.q) div 2 AS free, cast(array() AS array<bigint>) AS took),
-            (a, s) -> aggregate(if(s.q > 0, sequence(1L, s.q), cast(array() AS array<bigint>)), struct(a.rest AS rest, a.free AS free),
-                (b, i) -> struct(b.rest - 1L AS rest, b.free - if({draw} * b.rest < b.free, 1L, 0L) AS free),
-                b -> struct(b.rest AS rest, b.free AS free, array_append(a.took, a.free - b.free) AS took))).took"""
+            (a, s) -> transform(array({drawn}), x -> struct(a.rest - s.q AS rest, a.free - x AS free, array_append(a.took, x) AS took))[0]).took"""
         split = urn.selectExpr("node", "urn", f"{left} AS took")
         child = lambda q: f"zip_with(urn, took, (s, t) -> struct(s.idx AS idx, s.skey AS skey, {q} AS q))"
         urn = split.select("node", F.inline(F.array(*[F.struct(F.lit(side).alias("side"), F.expr(child(q)).alias("part")) for side, q in ((0, "t"), (1, "s.q - t"))]))).selectExpr("node * 2 + side AS node", "part AS urn")
@@ -98,8 +110,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     ``copies``: how often the mix holds the document; ``shards``: the output shard of each copy.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")).withColumns(
+    size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), size.alias("size")).withColumns(
         {"key": F.xxhash64(F.lit(seed), "id", "size", "source"), "skey": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))})
     base = materialize(base, "mix-sizes")
     sized = base.groupBy("skey", "source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size"))
@@ -124,7 +136,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     chosen = last.groupBy("skey").agg(F.collect_list(F.struct("key", "size")).alias("units"), F.first("p2_left").alias("left")).selectExpr("skey", f"{fill} AS chosen")
     blocks = F.col("full") * F.col("fan") * F.col("fan") + F.coalesce(F.col("p1_end") * F.col("fan") + F.coalesce(F.col("p2_end"), F.lit(0)) + 1, F.lit(0))
     cut = sources.select("skey", "idx", "fan", "full").join(ends.drop("p1_left", "p2_left"), "skey", "left").join(chosen, "skey", "left").withColumn("blocks", F.when(F.col("full") + F.coalesce(F.col("p1_end"), F.lit(-1)) >= 0, blocks).otherwise(0))
-    cut = materialize(cut, "mix-cut")
+    written, cut = ends, materialize(cut, "mix-cut")
+    discard(written)
     cut = cut.drop("idx", "fan", "full", "blocks").join(shard_offsets(cut, shards, seed), "skey", "left")
     more = F.expr("CASE WHEN p1_end IS NULL THEN false WHEN p1 < p1_end THEN true WHEN p1 > p1_end THEN false WHEN p2 < p2_end THEN true WHEN p2 > p2_end THEN false ELSE array_contains(coalesce(chosen, cast(array() AS array<bigint>)), key) END")
     out = _joined(placed, cut, n).withColumn("copies", F.col("full") + F.coalesce(more, F.lit(False)).cast("long"))
@@ -135,17 +148,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 5, **options) -> DataFrame:
+def _partition_keys(docs: DataFrame, shards: int) -> list[int]:
+    """For each shard a number that Spark's hash partitioning sends to a partition of its own."""
+    tried = docs.sparkSession.range(64 * shards).select(F.pmod(F.hash("id"), F.lit(shards)).alias("p"), "id").groupBy("p").agg(F.min("id").alias("id"))
+    keys = {r["p"]: r["id"] for r in tried.collect()}
+    return [keys.get(k, k) for k in range(shards)]
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 5, shards: int = 64, shard_col: str | None = None, **options) -> DataFrame:
     """The mix itself: each document of ``docs`` once per copy, dealt to its shards and shuffled within them.
 
-    Rows that agree in id, source and size are mixed alike. The columns are those of ``docs``.
+    Every shard is one partition, and so one file if written as it is. The columns are those of ``docs``, and the shard's
+    number where ``shard_col`` names a column for it. Rows that agree in id, source and size are mixed alike.
     """
-    plan = mix(docs, id_col, text_col, source_col, seed=seed, **options).where("copies > 0").groupBy("key").agg(F.first("shards").alias("_mix_shards")).withColumnRenamed("key", "_mix_key")
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    keyed = docs.withColumn("_mix_key", F.xxhash64(F.lit(seed), F.col(id_col), size, F.col(source_col))).join(plan, "_mix_key")
-    dealt = keyed.select(*[F.col(f"`{c}`") for c in docs.columns], "_mix_key", F.posexplode("_mix_shards").alias("_mix_copy", "_mix_shard"))
-    shuffled = dealt.repartition("_mix_shard").sortWithinPartitions("_mix_shard", F.xxhash64(F.lit(seed + 1), "_mix_key", "_mix_copy"))
-    return shuffled.select(*[F.col(f"`{c}`") for c in docs.columns])
+    free = "_mix"
+    while any(c.startswith(free) for c in docs.columns):
+        free = "_" + free
+    key, copy, shard = (f"{free}_{x}" for x in ("key", "copy", "shard"))
+    plan = mix(docs, id_col, text_col, source_col, seed=seed, shards=shards, **options).where("copies > 0").groupBy("key").agg(F.first("shards").alias(f"{shard}s")).withColumnRenamed("key", key)
+    size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn(key, F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), size, F.col(f"`{source_col}`"))).join(plan, key)
+    dealt = keyed.select(*columns, key, F.posexplode(f"{shard}s").alias(copy, shard))
+    apart = F.get(F.array(*[F.lit(k) for k in _partition_keys(docs, shards)]), F.col(shard)).cast("long")
+    shuffled = dealt.repartition(shards, apart).sortWithinPartitions(shard, F.xxhash64(F.lit(seed + 1), key, copy))
+    return shuffled.select(*columns, *([F.col(shard).alias(shard_col)] if shard_col else []))
 
 
 def op5_mixing(spark, sf_dir):

@@ -46,11 +46,11 @@ from docmill.llm.common import discard, in_fold, materialize, shuffle_parts, sma
 
 HEAD = 1 << 17
 SHARD, CHUNK = 150_000, 1 << 20  # tokens of a shard, and of a stretch of documents that is dealt at once
-SPELLED = 8_000  # spelled words of a shard
+SPELLED = 5_000  # spelled words of a shard
 START = 0xFFFFFFFF  # stands for the word before the first
 GATES, BUCKETS, LIMIT, STEPS, RIDGE = 16, 33, 8.0, 2, 4.0
 FLUSH = 800_000
-BLOCK = 1 << 18
+BLOCK, PART = 1 << 16, 25_000  # bits priced at once; tokens of a part of a shard, whose counts fit a core's cache
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -124,42 +124,41 @@ def price(symbols: np.ndarray, contexts: list[np.ndarray], train: np.ndarray, co
     if not len(owner):
         return np.zeros(len(symbols))
     at = np.arange(len(owner)) + np.repeat(offsets[symbols] - (np.cumsum(length) - length), length)
-    node, y = nodes[at], bits[at]
+    node, one = nodes[at], bits[at]
     del at
-    learn = np.flatnonzero(train[owner]).astype(np.int32)
+    learn = train[owner]
+    y = one.astype(np.float32)
     size = max(18, math.ceil(math.log2(len(owner))))
-    slots, counts = [], []
+    mark, n = node.astype(np.uint32) * np.uint32(0x9E3779B1), len(contexts) + (alone is not None)
+    pairs = []  # how often a zero and a one were met in each bit's slot
     for c in contexts:
-        slot = hashed(c[owner] ^ (node.astype(np.uint32) * np.uint32(0x9E3779B1))) >> np.uint32(32 - size)
-        slots.append((slot * np.uint32(2)).astype(np.int32))
-        counts.append(np.zeros(2 << size, np.float32))
-        np.add.at(counts[-1], slots[-1][learn] + y[learn], np.float32(1))
-        del slot
-    n = len(contexts) + (alone is not None)
-
-    def inputs(which, unseen: bool):
-        """(stretched chances, gates, bits); ``unseen``: as if each bit had not been counted."""
-        yy = y[which].astype(np.float32)
-        x, gate = np.empty((n, len(yy)), np.float32), np.zeros(len(yy), np.uint8)
+        slot = ((hashed(c)[owner] + mark) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - size)
+        counts = np.zeros(2 << size, np.float32)
+        np.add.at(counts, (slot * np.uint32(2) + one)[learn].astype(np.int64), np.float32(1))
+        pairs.append(counts.view(np.complex64)[slot.astype(np.int64)].view(np.float32).reshape(-1, 2))
+    del mark, counts, slot
+
+    def inputs(which, less):
+        """(stretched chances, gates); ``less``: what each bit itself has been counted."""
+        x, gate = np.empty((n, len(y[which])), np.float32), np.uint8(0)
         if alone is not None:
             x[0] = alone[node[which]]
-        for k in range(len(contexts)):
-            s = slots[k][which]
-            n0, n1 = counts[k][s], counts[k][s + 1]
-            if unseen:
-                n1 = n1 - yy
-                n0 = n0 - (1 - yy)
-            x[n - len(contexts) + k] = stretch(n0, n1)
-            if k >= len(contexts) - 2:
+        for k, pair in enumerate(pairs):
+            n0, n1 = pair[which, 0], pair[which, 1]
+            if less is not None:
+                n0, n1 = n0 - (less - y[which]), n1 - y[which]
+            x[n - len(pairs) + k] = stretch(n0, n1)
+            if k >= len(pairs) - 2:
                 gate = gate * np.uint8(4) + np.minimum(n0 + n1, 3).astype(np.uint8)
-        return x, gate, yy
+        return x, gate
 
     start = np.full(n, 0.9 / n)
     weights, centres = np.tile(start, (GATES, 1)), np.linspace(-LIMIT, LIMIT, BUCKETS)
-    maps = np.tile(centres, (GATES, 1))
-    x, gate, yy = inputs(learn, True)
+    maps, chance = np.tile(centres, (GATES, 1)), 1 / (1 + np.exp(-centres))
+    x, gate = inputs(learn, np.float32(1))
     order = np.argsort(gate, kind="stable")
     ends = np.searchsorted(gate[order], np.arange(GATES + 1))
+    yy = y[learn]
     for g in range(GATES):
         mine = order[ends[g] : ends[g + 1]]
         if not len(mine):
@@ -170,7 +169,6 @@ def price(symbols: np.ndarray, contexts: list[np.ndarray], train: np.ndarray, co
             pull = xs @ (ys - p) - RIDGE * (weights[g] - start)
             weights[g] += np.linalg.solve((xs * np.maximum(p * (1 - p), np.float32(0.005))) @ xs.T + RIDGE * np.eye(n), pull)
         bucket = np.rint((np.clip(weights[g].astype(np.float32) @ xs, -LIMIT, LIMIT) + LIMIT) * ((BUCKETS - 1) / (2 * LIMIT))).astype(np.int64)
-        chance = 1 / (1 + np.exp(-centres))
         p = (np.bincount(bucket, ys, BUCKETS) + 4 * chance) / (np.bincount(bucket, minlength=BUCKETS) + 4)
         maps[g] = np.log(p / (1 - p))
     del x, gate, yy, order
@@ -178,16 +176,17 @@ def price(symbols: np.ndarray, contexts: list[np.ndarray], train: np.ndarray, co
     cost = np.zeros(len(symbols))
     for a in range(0, len(owner), BLOCK):
         some = slice(a, a + BLOCK)
-        x, gate, yy = inputs(some, False)
-        dot = np.zeros(len(yy), np.float32)
+        x, gate = inputs(some, None)
+        gate = gate.astype(np.int64)
+        dot = np.zeros(len(gate), np.float32)
         for k in range(n):
-            dot += weights[:, k][gate] * x[k]
+            dot += weights[:, k].take(gate) * x[k]
         place = (np.clip(dot, -LIMIT, LIMIT) + np.float32(LIMIT)) * np.float32((BUCKETS - 1) / (2 * LIMIT))
-        low = np.minimum(place.astype(np.int32), BUCKETS - 2)
-        part = place - low
-        low += gate.astype(np.int32) * BUCKETS
-        mean = (dot + maps[low] * (1 - part) + maps[low + 1] * part) / 2
-        spent = np.logaddexp(np.float32(0), np.where(yy > 0, -mean, mean))
+        low = np.minimum(place.astype(np.int64), BUCKETS - 2)
+        part = place - low.astype(np.float32)
+        low += gate * BUCKETS
+        mean = (dot + maps.take(low) * (1 - part) + maps.take(low + 1) * part) * (np.float32(0.5) - y[some])
+        spent = np.maximum(mean, 0) + np.log1p(np.exp(-np.abs(mean)))  # ln(1 + e^mean)
         first, last = int(owner[a]), int(owner[min(a + BLOCK, len(owner)) - 1]) + 1
         cost[first:last] += np.bincount(owner[some] - first, spent, last - first)
     return cost
@@ -306,7 +305,7 @@ def _read(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def deal(stream: DataFrame, shared) -> DataFrame:
-    """(shard, chunk, events): every token with the two words before it, sent to the shard of its contexts."""
+    """(shard, chunk, events, before): every token with the two words before it, sent to the shard of its contexts."""
 
     def run(batches):
         import pyarrow as pa
@@ -338,10 +337,11 @@ def deal(stream: DataFrame, shared) -> DataFrame:
                 data = []
                 for s in full:
                     mine = order[ends[s] : ends[s + 1]]
-                    data.append(packed(symbol[mine], one[mine], two[mine], steps(doc[mine] * 2 + train[doc[mine]])))
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["chunk"]] * len(full), pa.int64()), pa.array(data, pa.binary())], names=["shard", "chunk", "events"])
+                    words, number = np.unique(one[mine], return_inverse=True)
+                    data.append((packed(symbol[mine], number, two[mine], steps(doc[mine] * 2 + train[doc[mine]])), packed(steps(words))))
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["chunk"]] * len(full), pa.int64()), pa.array([e for e, _ in data], pa.binary()), pa.array([w for _, w in data], pa.binary())], names=["shard", "chunk", "events", "before"])
 
-    return stream.select("chunk", "docs", "tokens", "words").mapInArrow(run, "shard int, chunk bigint, events binary")
+    return stream.select("chunk", "docs", "tokens", "words").mapInArrow(run, "shard int, chunk bigint, events binary, before binary")
 
 
 def learn_words(dealt: DataFrame, shared) -> DataFrame:
@@ -351,19 +351,25 @@ def learn_words(dealt: DataFrame, shared) -> DataFrame:
         import pyarrow as pa
 
         know = shared.value
-        rows = sorted(zip(t["chunk"].to_pylist(), t["events"].to_pylist()))
-        parts = [unpacked(e, 4) for _, e in rows]
-        symbol, one, two = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        rows = sorted(zip(t["chunk"].to_pylist(), t["events"].to_pylist(), t["before"].to_pylist()))
+        parts = [unpacked(e, 4) for _, e, _ in rows]
+        symbol, two = (np.concatenate([p[k] for p in parts]) for k in (0, 2))
+        one = np.concatenate([np.cumsum(unpacked(w, 1)[0], dtype=np.uint32)[p[1]] for p, (_, _, w) in zip(parts, rows)])
         marks = [np.cumsum(p[3].astype(np.int64)) for p in parts]
         train = np.concatenate(marks) % 2 == 1
-        cost = price(symbol.astype(np.int64), [hashed(one), hashed(one, two)], train, know.code, know.alone)
+        # parts by the word before, each with its own counts and weights
+        part = hashed(one) % np.uint32(max(1, len(one) // PART))
+        order = np.argsort(part, kind="stable")
+        cost = np.zeros(len(one))
+        for mine in np.split(order, np.searchsorted(part[order], np.arange(1, part.max(initial=0) + 1))):
+            cost[mine] = price(symbol[mine].astype(np.int64), [one[mine], hashed(one[mine], two[mine])], train[mine], know.code, know.alone)
         out, at = [], 0
         for m in marks:
             doc, firsts = np.unique(m >> 1, return_index=True)
             sums = np.add.reduceat(cost[at : at + len(m)], firsts)
             out.append(packed(steps(doc), sums.astype(np.float32).view(np.uint32)))
             at += len(m)
-        return pa.table({"chunk": pa.array([c for c, _ in rows], pa.int64()), "costs": pa.array(out, pa.binary())})
+        return pa.table({"chunk": pa.array([c for c, _, _ in rows], pa.int64()), "costs": pa.array(out, pa.binary())})
 
     return dealt.groupBy("shard").applyInArrow(run, "chunk bigint, costs binary")
 
@@ -406,7 +412,7 @@ def spelled(words: DataFrame, shards: int) -> DataFrame:
         for k in range(1, int(length.max())):
             here = np.flatnonzero(place == k)
             far[here] = (far[here - 1] + raw[here - 1] + np.uint32(1)) * np.uint32(0x9E3779B1)
-        contexts = [hashed(last[0]), hashed(*last[:2]), hashed(*last), hashed(far, place)]
+        contexts = [last[0], hashed(*last[:2]), hashed(*last), hashed(far, place)]
         cost = price(raw.astype(np.int64), contexts, (c > 0)[owner], BYTE_CODE)
         return pa.table({"w": t["w"], "known": pa.array(c > 0), "log": pa.array(np.log10(c + 0.1)), "spell": pa.array(np.bincount(owner, cost, len(found)))})
 

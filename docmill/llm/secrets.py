@@ -8,12 +8,12 @@ cases are candidates. Their encoding is inferred (hex, base32 or base64) and
 three tests ask whether they look uniform in it: chi-squared of the alphabet's
 counts (standardised with its exact mean and variance, so short runs are not
 judged by an asymptotic law), runs above and below the middle of the alphabet,
-and lag-1 serial correlation. A candidate whose smallest p-value, times three,
-is under ``ALPHA`` is not random.
+and lag-1 serial correlation. p is the smallest of their p-values, times three.
 
-False discoveries. Each survivor's likelihood ratio of "uniform in its
-encoding" against "written text" is an e-value; it grows with the length, so
-short runs need to be unlikelier text than long ones. "Text" is the likeliest of
+False discoveries. A candidate's likelihood ratio of "uniform in its
+encoding" against "written text" grows with the length, so short runs need to be unlikelier
+text than long ones. It counts in the measure in which the battery finds the candidate uniform: in full from a p of
+``FULL`` on, in proportion below, not at all under ``ALPHA``. A ratio times at most 1 is still an e-value. "Text" is the likeliest of
 lower case, upper case, capitalised and digits-only writing. Among a document's m candidates
 the e-BH rule keeps the largest k with e(k) >= m / (FDR * k), which bounds the
 rate of false discoveries for any dependence.
@@ -25,6 +25,8 @@ long texts are scanned whole; other columns of the input are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
-ALPHA, FDR = 0.001, 0.001
+ALPHA, FULL, FDR = 0.001, 0.05, 0.001
 HEX_ABC, B32_ABC = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 B64_ABC = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 FOUND = "array<struct<s:int,e:int,hit:string>>"
@@ -43,17 +45,25 @@ FOUND = "array<struct<s:int,e:int,hit:string>>"
 MODES = ((0.90, 0.04, 0.04, 0.02), (0.04, 0.90, 0.04, 0.02), (0.78, 0.18, 0.02, 0.02), (0.04, 0.04, 0.90, 0.02))
 
 
+def running(values: str, kind: str, how: Callable[[str, str], str]) -> str:
+    """SQL of the running results of ``how`` (of what is so far and a value) over an array expression of ``kind``, in blocks of 256 so that long arrays cost little more a value."""
+    block = "transform(sequence(0, greatest(size(v) - 1, 0) div 256), b -> slice(v, b * 256 + 1, 256))"
+    fold = lambda array, start: f"aggregate({array}, struct({start} AS a, cast(array() AS array<{kind}>) AS seen), (s, x) -> transform(array({how('s.a', 'x')}), y -> struct(y AS a, array_append(s.seen, y) AS seen))[0])"
+    ends = fold(f"transform(bs, c -> aggregate(c, cast(0 AS {kind}), (a, x) -> {how('a', 'x')}))", f"cast(0 AS {kind})")
+    return f"transform(array({values}), v -> transform(array({block}), bs -> transform(array({ends}.seen), es -> flatten(transform(bs, (c, i) -> {fold('c', f'if(i = 0, cast(0 AS {kind}), get(es, i - 1))')}.seen)))[0])[0])[0]"
+
+
 def located(text: Column, pattern: str) -> Column:
     """All matches with their code point spans: array of (s, e, hit)."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     steps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda a, b: F.struct(F.length(a).alias("skip"), F.length(b).alias("n"), b.alias("hit")))
-    none = F.array().cast(FOUND)
+    return F.when(F.rlike(text, F.lit(pattern)), steps).otherwise(F.array().cast("array<struct<skip:int,n:int,hit:string>>"))
 
-    def step(acc, x):
-        s = acc["at"] + x["skip"]
-        return F.struct((s + x["n"]).alias("at"), F.array_append(acc["found"], F.struct(s.alias("s"), (s + x["n"]).alias("e"), x["hit"].alias("hit"))).alias("found"))
 
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])).otherwise(none)
+def placed(steps: str) -> Column:
+    """The spans of ``located`` steps: where each begins is a running sum of what was skipped and matched."""
+    ends = running(f"transform({steps}, t -> t.skip + t.n)", "int", "{} + {}".format)
+    return F.expr(f"if(size({steps}) = 0, cast(array() AS {FOUND}), zip_with({steps}, {ends}, (t, e) -> struct(e - t.n AS s, e AS e, t.hit AS hit)))")
 
 
 #: Two-sided normal tail P(|Z| > z), by a known approximation with an error under 0.01.
@@ -80,7 +90,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, text, base, spans): ``base`` and ``spans`` are arrays of (s, kind, e), sorted; kind is a place in ``KINDS``."""
     text = F.col("text")
     found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(
-        "id", "text", located(text, ASSIGN).alias("assign"), located(text, ACCESS).alias("access"), located(text, HEX).alias("hex"), located(text, CANDIDATE).alias("runs"))
+        "id", "text", located(text, ASSIGN).alias("assign"), located(text, ACCESS).alias("access"), located(text, HEX).alias("hex"), located(text, CANDIDATE).alias("runs")).select("id", "text", *[placed(c).alias(c) for c in ("assign", "access", "hex", "runs")])
     spanned = lambda name, k: F.transform(name, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("kind"), x["e"].alias("e")))
     long = F.filter("assign", lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN, 2)) >= 6)
     base = found.select("id", "text", "runs", F.array_sort(F.concat(spanned(long, 0), spanned("access", 1), spanned("hex", 2))).alias("base"))
@@ -88,7 +98,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         AND NOT exists(base, b -> b.s < r.e AND r.s < b.e))"""
     tested = base.select("id", "text", "base", F.expr(free).alias("runs")).select("id", "text", "base", F.expr(f"transform(runs, u -> struct(u.s AS s, u.e AS e, {battery('u.hit')} AS test))").alias("runs"))
     # e-BH: candidates by falling e-value, the last place k (from 1) that still has e >= m / (FDR k)
-    ranked = F.expr(f"array_sort(filter(runs, r -> r.test.p >= {ALPHA}), (a, b) -> CASE WHEN a.test.ln_e > b.test.ln_e THEN -1 WHEN a.test.ln_e < b.test.ln_e THEN 1 ELSE 0 END)")
+    weighed = f"transform(filter(runs, r -> r.test.p >= {ALPHA}), r -> struct(r.s AS s, r.e AS e, struct(r.test.ln_e + ln(least(1D, r.test.p / {FULL})) AS ln_e) AS test))"
+    ranked = F.expr(f"array_sort({weighed}, (a, b) -> CASE WHEN a.test.ln_e > b.test.ln_e THEN -1 WHEN a.test.ln_e < b.test.ln_e THEN 1 ELSE 0 END)")
     kept = F.expr(f"slice(ranked, 1, greatest(0, coalesce(array_max(filter(transform(ranked, (r, i) -> if(r.test.ln_e >= ln(size(runs) / ({FDR} * (i + 1))), i + 1, 0)), k -> k > 0)), 0)))")
     return tested.select("id", "text", "base", "runs", ranked.alias("ranked")).select("id", "text", "base", F.array_sort(F.concat("base", F.transform(kept, lambda r: F.struct(r["s"].alias("s"), F.lit(3).alias("kind"), r["e"].alias("e"))))).alias("spans"))
 
@@ -103,13 +114,13 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     """``docs`` with every span of its texts replaced by ``mark`` (overlapping spans by one)."""
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("body"))
     found = find_secrets(kept, "row", "body")
-    merged = """aggregate(spans, cast(array() AS array<struct<s:int,e:int>>), (a, x) ->
-        if(size(a) > 0 AND x.s < try_element_at(a, -1).e,
-           array_append(slice(a, 1, size(a) - 1), struct(try_element_at(a, -1).s AS s, greatest(try_element_at(a, -1).e, x.e) AS e)),
-           array_append(a, struct(x.s AS s, x.e AS e))))"""
-    clean = f"""aggregate({merged}, struct(0 AS at, cast(array() AS array<string>) AS parts),
-        (a, x) -> struct(x.e AS at, array_append(a.parts, concat(substring(text, a.at + 1, x.s - a.at), '{mark}')) AS parts),
-        a -> concat(array_join(a.parts, ''), substring(text, a.at + 1)))"""
+    # spans that overlap have one mark: a stretch begins where a span starts at or after all ends before it
+    begins = "filter(spans, (x, i) -> i = 0 OR x.s >= get(reach, i - 1))"
+    ends = "filter(reach, (m, i) -> i = size(reach) - 1 OR get(spans, i + 1).s >= m)"
+    stretches = f"zip_with({begins}, {ends}, (b, m) -> struct(b.s AS s, m AS e))"
+    pieces = f"concat(transform(st, (x, i) -> concat(substring(text, if(i = 0, 0, get(st, i - 1).e) + 1, x.s - if(i = 0, 0, get(st, i - 1).e)), '{mark}')), array(substring(text, try_element_at(st, -1).e + 1)))"
+    reach = running("transform(spans, x -> x.e)", "int", "greatest({}, {})".format)
+    clean = f"transform(array({reach}), reach -> transform(array({stretches}), st -> array_join({pieces}, ''))[0])[0]"
     text = F.when(F.size("spans") == 0, F.col(f"id.`{text_col}`")).otherwise(F.expr(clean))
     return found.select(*[(text if c == text_col else F.col(f"id.`{c}`")).alias(c) for c in docs.columns])
 
