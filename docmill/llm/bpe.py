@@ -307,7 +307,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 ids = list(c.encode_all(b.column(1)[k : k + 64].to_pylist()))
                 yield pa.RecordBatch.from_arrays([b.column(0)[k : k + 64], pa.array(ids, pa.list_(pa.int32())), pa.array([c.offsets(x) for x in ids], pa.list_(pa.int64()))], names=[id_col, "ids", "offsets"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, offsets array<bigint>")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, offsets array<bigint>")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", path: str | None = None) -> DataFrame:
@@ -322,7 +322,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", path: str | None = None)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(x.as_py() or []) for x in b.column(1)], pa.binary())], names=[id_col, "bytes"])
 
-    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, bytes binary")
+    return encoded.select(F.col(f"`{id_col}`").alias("id"), "ids").mapInArrow(run, f"`{id_col}` {kind}, bytes binary")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -343,7 +343,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
                     decoded.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_bpe(spark, sf_dir):

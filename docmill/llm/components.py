@@ -15,38 +15,39 @@ from pyspark.sql import functions as F
 from docmill.llm.common import discard, materialize
 
 
+def united(batches):
+    """Arrow batches of edges (u, v) reduced to one edge per node, to the least node it reaches in them."""
+    import pyarrow as pa
+
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        r = x
+        while up.setdefault(r, r) != r:
+            r = up[r]
+        while up[x] != r:
+            up[x], x = r, up[x]
+        return r
+
+    def out():
+        pairs = [(x, root(x)) for x in list(up)]
+        pairs = [(x, r) for x, r in pairs if x != r]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            a, c = root(u), root(v)
+            if a != c:
+                up[max(a, c)] = min(a, c)
+        if len(up) > 1_000_000:  # bounded memory: what is known so far goes on as edges
+            yield out()
+            up.clear()
+    yield out()
+
+
 def forest(edges: DataFrame) -> DataFrame:
     """Within each partition, edges (u, v) reduced to one edge per node, to the least node it reaches there."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        up: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            r = x
-            while up.setdefault(r, r) != r:
-                r = up[r]
-            while up[x] != r:
-                up[x], x = r, up[x]
-            return r
-
-        def out():
-            pairs = [(x, root(x)) for x in list(up)]
-            pairs = [(x, r) for x, r in pairs if x != r]
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
-
-        for b in batches:
-            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                a, c = root(u), root(v)
-                if a != c:
-                    up[max(a, c)] = min(a, c)
-            if len(up) > 1_000_000:  # bounded memory: what is known so far goes on as edges
-                yield out()
-                up.clear()
-        yield out()
-
-    return edges.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(run, "u bigint, v bigint")
+    return edges.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(united, "u bigint, v bigint")
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

@@ -101,7 +101,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
                 rows = [classify(t.as_py()) for t in b.column(1)]
                 yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.float64(), pa.float64(), pa.bool_()))]], names=[id_col, "lang_pred", "score", "margin", "rejected"])
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, OUT.format(id=f"`{id_col}`", type=kind))
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, OUT.format(id=f"`{id_col}`", type=kind))
 
 
 def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_margin: float = MIN_MARGIN) -> DataFrame:

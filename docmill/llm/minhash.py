@@ -20,7 +20,8 @@ deviations below the threshold.
 
 Edge cases: null texts and texts without words have the empty set, are linked with
 nothing and kept; texts under five words have one shingle, the whole sequence;
-rows with one id are one document; a null id is linked with nothing; words longer
+ids may be of any type that has an order; sets are numbered by a 64-bit hash of what they hold, so rows that repeat
+an id are documents of their own; a null id is linked with nothing; words longer
 than ``LONG`` bytes stand in sets as digests; an empty table gives an empty
 result; other columns of the input are not read.
 """
@@ -33,15 +34,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import discard, materialize, small_batches, table, worker_store
-from docmill.llm.components import connected_components, forest
+from docmill.llm.common import discard, materialize, sliced, small_batches, table, worker_store
+from docmill.llm.components import connected_components, united
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 HASHES = BANDS * ROWS
 SEED = 10
 LONG, WINDOW = 256, 4000
-CHUNK = 32
+CHUNK = 64
 #: Ids up to this count (16 MB) are broadcast, more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -109,8 +110,13 @@ def minima(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least
 
 
+def number(found: np.ndarray) -> int:
+    """A set's number: what identifies it wherever sets are compared."""
+    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "big", signed=True)
+
+
 def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, digest, bands, signature): null digest for the empty set."""
+    """(id, n_shingles, node, bands, signature): no node for the empty set and for null ids."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -121,37 +127,36 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                n, digests, bands, signatures = [], [], [], []
-                for text in part.column(1).to_pylist():
+                n, node, bands, signatures = [], [], [], []
+                for known, text in zip(part.column(0).is_valid().to_pylist(), part.column(1).to_pylist()):
                     found = shingles(text)
                     n.append(len(found))
-                    if not len(found):
-                        digests.append(None), bands.append(None), signatures.append(None)
+                    if not len(found) or not known:
+                        node.append(None), bands.append(None), signatures.append(None)
                         continue
                     least = minima(found, a, b)
-                    digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                    node.append(number(found))
                     bands.append(_mixed((least.reshape(BANDS, ROWS) * weights).sum(1, dtype=np.uint64)).view(np.int64))
                     signatures.append((least >> np.uint64(32)).astype(np.uint32).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], names=["id", "n_shingles", "digest", "bands", "signature"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], names=["id", "n_shingles", "node", "bands", "signature"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {kind}, n_shingles bigint, digest binary, bands array<bigint>, signature binary")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text")).mapInArrow(run, f"id {kind}, n_shingles bigint, node bigint, bands array<bigint>, signature binary")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, hashes) for the documents of ``ids`` only, from their texts."""
+def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, hashes) for the sets of ``nodes`` (node, rep) only, from the texts of the rows that stand for them."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["id", "hashes"])
+            for part in sliced(b):
+                found = [(node, x) for node, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if number(x := shingles(t)) == node]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([x.tobytes() for _, x in found], pa.binary())], names=["id", "hashes"])
 
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    # rows that repeat an id have one set each; the least digest stands for the id, as it does among the features
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).join(wanted, "id", "left_semi")
-    return found.mapInArrow(run, "id bigint, hashes binary")
+    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
+    texts = docs.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").cast("binary").alias("text")).join(wanted, "rep")
+    return texts.select("node", "text").mapInArrow(run, "id bigint, hashes binary").dropDuplicates(["id"])
 
 
 def _similar(inter, union, percent):
@@ -205,14 +210,31 @@ def _blocks(rows: DataFrame, keys: list[str], left: str, right: str, payload: li
     return a.unionByName(b)
 
 
+def _united(u, v):
+    """A block's edges as a forest: one for each node at most."""
+    import pyarrow as pa
+
+    return pa.Table.from_batches(list(united([pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])])))
+
+
 def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of sets in ``a`` with sets in ``b``."""
-    values, places = np.unique(np.concatenate([*a, *b, np.empty(0, np.uint64)]), return_inverse=True)
-    if len(values) * (len(a) + len(b)) > 30_000_000:  # too large for a dense block: pair by pair
-        return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in b] for x in a]).reshape(len(a), len(b))
-    dense = np.zeros((len(a) + len(b), len(values)), np.float32)
-    dense[np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)]), places] = 1
-    return (dense[: len(a)] @ dense[len(a) :].T).astype(np.int64)
+    left, right = (np.concatenate([*x, np.empty(0, np.uint64)]) for x in (a, b))
+    shared = np.intersect1d(left, right)
+    out = np.zeros((len(a), len(b)), np.int64)
+    owner = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)]
+    held = [np.isin(x, shared) for x in (left, right)]
+    place = [np.searchsorted(shared, x[k]) for x, k in zip((left, right), held)]
+    owner = [o[k] for o, k in zip(owner, held)]
+    for at in range(0, len(shared), 1 << 14):  # a bounded stretch of them at a time
+        dense = []
+        for x, p, o in zip((a, b), place, owner):
+            here = (p >= at) & (p < at + (1 << 14))
+            m = np.zeros((len(x), min(1 << 14, len(shared) - at)), np.float32)
+            m[o[here], p[here] - at] = 1
+            dense.append(m)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
 
 
 def _linked_by_difference(stars: DataFrame, percent: int) -> DataFrame:
@@ -231,9 +253,9 @@ def _linked_by_difference(stars: DataFrame, percent: int) -> DataFrame:
         apart = np.array([len(d) for d in deltas[0]])[:, None] + np.array([len(d) for d in deltas[1]])[None, :] - 2 * _common(*deltas)
         total = n[0][:, None] + n[1][None, :]
         i, j = np.nonzero(_similar(total - apart, total + apart, percent) & (ids[0][:, None] != ids[1][None, :]))
-        return pa.table({"u": pa.array(ids[0][i], pa.int64()), "v": pa.array(ids[1][j], pa.int64())})
+        return _united(ids[0][i], ids[1][j])
 
-    return forest(blocks.groupBy("leader", "i", "j").applyInArrow(run, "u bigint, v bigint"))
+    return blocks.groupBy("leader", "i", "j").applyInArrow(run, "u bigint, v bigint")
 
 
 def _linked_in_rest(rest: DataFrame, percent: int) -> DataFrame:
@@ -256,19 +278,18 @@ def _linked_in_rest(rest: DataFrame, percent: int) -> DataFrame:
             inter = len(np.intersect1d(sets[0][i], sets[1][j], assume_unique=True))
             if _similar(inter, size[0][i] + size[1][j] - inter, percent):
                 found.append((ids[0][i], ids[1][j]))
-        return pa.table({k: pa.array([f[n] for f in found], pa.int64()) for n, k in enumerate("uv")})
+        return _united(*([f[n] for f in found] for n in (0, 1)))
 
-    return forest(blocks.groupBy("band", "key", "i", "j").applyInArrow(run, "u bigint, v bigint"))
+    return blocks.groupBy("band", "key", "i", "j").applyInArrow(run, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``docs``; ``percent`` (0 to 100) is the least similarity that links."""
     small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType
-    found = materialize(features(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col), "mh-features")
-    texts = found.where("digest IS NOT NULL AND id IS NOT NULL")
-    same = materialize(texts.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "mh-same")
-    nodes = materialize(texts.join(same.select("digest", F.col("rep").alias("id")), ["digest", "id"]).dropDuplicates(["digest"]).select("id", "bands", "signature"), "mh-nodes")
+    found = materialize(features(docs, id_col, text_col), "mh-features")
+    texts = found.where("node IS NOT NULL")
+    same = materialize(texts.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "mh-same")
+    nodes = materialize(texts.groupBy("node").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature")).withColumnRenamed("node", "id"), "mh-nodes")
     banded = nodes.select("id", F.posexplode("bands").alias("band", "key"))
     lead = materialize(banded.groupBy("band", "key").agg(F.min("id").alias("leader"), F.max("id").alias("most")).where("leader <> most").drop("most"), "mh-leaders")
     member = materialize(banded.join(lead, ["band", "key"]).where("id <> leader"), "mh-members")
@@ -276,29 +297,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signatures = nodes.select("id", "signature")
     estimate = materialize(_estimated(pairs, signatures, ruled_out_below(2 * percent / 100 - 1)), "mh-estimates")
     may = estimate.where("may").select("x", "y")
-    sets = materialize(full_sets(docs, may.select(F.explode(F.array("x", "y")).alias("id")).distinct(), id_col, text_col).dropDuplicates(["id"]), "mh-sets")
+    standing = lambda ids: materialize(ids.distinct().join(same.select("node", "rep"), "node"), "mh-wanted")
+    sets = materialize(full_sets(docs, standing(may.select(F.explode(F.array("x", "y")).alias("node"))), id_col, text_col), "mh-sets")
     stars = materialize(verified(may, sets, percent), "mh-stars")
     status = estimate.join(stars.select("x", "y", "status"), ["x", "y"], "left").select(F.col("x").alias("id"), F.col("y").alias("leader"), F.coalesce("status", F.lit("C")).alias("status"))
     judged = materialize(member.join(materialize(status, "mh-status"), ["id", "leader"]).where("status <> 'A'"), "mh-placed")
     busy = judged.groupBy("band", "key").agg(F.count_if(F.col("status") == "C").alias("c"), F.count("*").alias("all")).where("c > 0 AND all > 1").select("band", "key")
     rest = materialize(judged.join(busy, ["band", "key"]), "mh-rest")
-    others = materialize(full_sets(docs, rest.select("id").distinct(), id_col, text_col).dropDuplicates(["id"]), "mh-sets")
+    others = materialize(full_sets(docs, standing(rest.select(F.col("id").alias("node"))), id_col, text_col), "mh-sets")
     late = _linked_in_rest(rest.join(signatures, "id").join(others, "id"), percent)
     star_edges = stars.where("status = 'A'").select(F.col("x").alias("u"), F.col("y").alias("v"))
-    edges = star_edges.unionByName(_linked_by_difference(stars, percent)).unionByName(late)
+    # written first, so that a task holds one Python process at a time
+    edges = materialize(star_edges.unionByName(_linked_by_difference(stars, percent)).unionByName(late), "mh-edges")
     parts = connected_components(edges)
-    known = materialize(same.join(parts, same["rep"] == parts["node"], "left").where("copies > 1 OR component IS NOT NULL").select("digest", F.coalesce("component", "rep").alias("component")), "mh-components")
-    lone = found.where("digest IS NULL OR id IS NULL").select("id", "n_shingles", F.col("id").alias("component"))
-    placed = found.where("digest IS NOT NULL AND id IS NOT NULL").select("id", "n_shingles", "digest").join(known, "digest", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
-    for used in (nodes, lead, member, estimate, sets, stars, judged, rest, others):
+    linked = materialize(same.join(parts, "node", "left").where("copies > 1 OR component IS NOT NULL").select("node", "rep", F.coalesce("component", "node").alias("component")), "mh-components")
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    known = linked.join(least, "component").select("node", "component_id")
+    placed = found.select("id", "n_shingles", "node").join(known, "node", "left")
+    for used in (nodes, lead, member, estimate, sets, stars, judged, rest, others, edges):
         discard(used)
-    return placed.unionByName(lone).select(F.col("id").cast(kind).alias(id_col), "n_shingles", F.col("component").cast(kind).alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+    return placed.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one with the smallest id."""
-    kept = near_duplicates(docs, id_col, text_col, percent).where("kept").select(F.col(id_col).alias("_kept_id"), F.lit(True).alias("_kept")).distinct()
-    keep = docs.join(kept, F.col(f"`{id_col}`") == F.col("_kept_id"), "left").where(F.col("_kept") | F.col(f"`{id_col}`").isNull())
+    free = "_kept"
+    while any(c.startswith(free) for c in docs.columns):
+        free = "_" + free
+    kept = near_duplicates(docs, id_col, text_col, percent).where("kept").select(F.col(f"`{id_col}`").alias(f"{free}_id"), F.lit(True).alias(free)).distinct()
+    keep = docs.join(kept, F.col(f"`{id_col}`") == F.col(f"{free}_id"), "left").where(F.col(free) | F.col(f"`{id_col}`").isNull())
     return keep.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -89,7 +89,7 @@ def battery(token: str) -> str:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, base, spans): ``base`` and ``spans`` are arrays of (s, kind, e), sorted; kind is a place in ``KINDS``."""
     text = F.col("text")
-    found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(
+    found = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).select(
         "id", "text", located(text, ASSIGN).alias("assign"), located(text, ACCESS).alias("access"), located(text, HEX).alias("hex"), located(text, CANDIDATE).alias("runs")).select("id", "text", *[placed(c).alias(c) for c in ("assign", "access", "hex", "runs")])
     spanned = lambda name, k: F.transform(name, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("kind"), x["e"].alias("e")))
     long = F.filter("assign", lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN, 2)) >= 6)

@@ -222,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = F.when(F.col("y") == 1, F.lit(sample / counts[1])).otherwise(F.lit(sample / counts[0]))
     drawn = known.where(F.pmod(F.xxhash64(F.lit(7), F.col("id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
     # at most about 2 * sample ids: bounded
-    texts = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(drawn), "id").select("text", "y"), "toxic-sample")
+    texts = materialize(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL").join(F.broadcast(drawn), "id").select("text", "y"), "toxic-sample")
     n = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
     n1, n0 = max(n.get(1, 0), 1), max(n.get(0, 0), 1)
 
@@ -305,7 +305,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                 out.append(model["rate"] if z is None else 1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=[id_col, "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
 def op7_toxicity(spark, sf_dir):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.common import discard, materialize, shuffle_parts, small_batches, table
-from docmill.llm.components import connected_components, forest
+from docmill.llm.components import connected_components, united
 
 PASSES, BITS, WINDOW, CHUNK, SEED = 6, 64, 64, 256, 8
 COARSE = 0.94
@@ -210,7 +210,7 @@ def _coarse_edges(rows: DataFrame, parts: int, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(join(u)), pa.array(join(v))], names=["u", "v"])
 
     ordered = _records(rows, means, passes).repartitionByRange(parts, "r").sortWithinPartitions("r")
-    return forest(ordered.mapInArrow(run, "u bigint, v bigint"))
+    return ordered.mapInArrow(lambda batches: united(run(batches)), "u bigint, v bigint")  # one Python process a task
 
 
 def _members(rows: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -99,3 +99,21 @@ def test_rows_in_order_whatever_the_buckets(spark, buckets):
         if not a[1] and a[0] == b[0]:
             following[a[3]] = b[3]
     assert following == {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
+
+
+def test_ids_of_any_type_and_clashing_columns(spark):
+    from docmill.llm import language, minhash, mixing, secrets, toxicity, vectors
+
+    rows = [(f"d{i}", t, "en", s, 1, "x", None) for i, (_, t, s) in enumerate(TEXTS)]
+    df = spark.createDataFrame(rows, "`doc.id` string, text string, lang string, source string, node int, key string, id int")
+    same = {r["doc.id"]: r["component_id"] for r in minhash.near_duplicates(df, "doc.id").collect()}
+    assert same["d3"] == "d2" and same["d0"] == "d0" and len(same) == len(rows)
+    assert {r["doc.id"] for r in minhash.without_copies(df, "doc.id").collect()} >= {"d0", "d1", "d2"}
+    assert language.identify(df, {"en": b"one two three four"}, "doc.id").count() == len(rows)
+    assert secrets.redact(df.withColumnRenamed("doc.id", "doc_id")).columns[1:] == df.columns[1:]
+    clash = df.withColumnRenamed("doc.id", "doc_id").withColumnRenamed("node", "_mix_shard").withColumnRenamed("key", "_mix_key")
+    assert mixing.mixed_rows(clash).columns == clash.columns
+    named = spark.createDataFrame([("b", [1.0, 0.0], 1), ("a", [2.0, 0.0], 1), ("c", [0.0, 1.0], 1), (None, [1.0, 0.0], 1)], "vec_id string, embedding array<float>, label int")
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(named).collect()} == {"a": (1, "a", True), "b": (1, "a", False), "c": (0, "c", True), None: (0, None, True)}
+    model = {"words": ["grumblefoot"], "stems": [], "weights": [1.0] * 8 + [-2.0], "rate": 0.1}
+    assert toxicity.score(df.withColumnRenamed("doc.id", "doc_id"), model).count() == len(rows)
