@@ -1,6 +1,6 @@
 """The query catalogues, with their SQL."""
 
-MODULES = ("catalogue", "cleaning")
+MODULES = ("catalogue", "cleaning", "diagnosis")
 
 
 def _modules():
