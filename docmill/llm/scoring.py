@@ -94,11 +94,6 @@ def alone_by_node(code: tuple, counts: np.ndarray) -> np.ndarray:
     return stretch(np.bincount(nodes, each * (1 - bits.astype(np.int64)), size), np.bincount(nodes, each * bits, size)).astype(np.float32)
 
 
-#: Bytes have codes of eight bits; node 0 is unused.
-_BYTES = np.arange(256)
-BYTE_CODE = (np.arange(257) * 8, np.concatenate([(1 << k) | (_BYTES >> (8 - k)) for k in range(8)]).reshape(8, 256).T.ravel().astype(np.int32), np.concatenate([(_BYTES >> (7 - k)) & 1 for k in range(8)]).reshape(8, 256).T.ravel().astype(np.uint8))
-
-
 def stretch(n0, n1):
     return np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4)))
 
@@ -127,38 +122,43 @@ def price(symbols: np.ndarray, contexts: list[np.ndarray], train: np.ndarray, co
     node, one = nodes[at], bits[at]
     del at
     learn = train[owner]
+    counted = np.flatnonzero(learn)
     y = one.astype(np.float32)
     size = max(18, math.ceil(math.log2(len(owner))))
     mark, n = node.astype(np.uint32) * np.uint32(0x9E3779B1), len(contexts) + (alone is not None)
-    pairs = []  # how often a zero and a one were met in each bit's slot
+    zeros, ones = [], []  # how often each was met in a bit's slot
     for c in contexts:
-        slot = ((hashed(c)[owner] + mark) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - size)
+        slot = ((((hashed(c)[owner] + mark) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - size)) * np.uint32(2)).astype(np.int64)
         counts = np.zeros(2 << size, np.float32)
-        np.add.at(counts, (slot * np.uint32(2) + one)[learn].astype(np.int64), np.float32(1))
-        pairs.append(counts.view(np.complex64)[slot.astype(np.int64)].view(np.float32).reshape(-1, 2))
-    del mark, counts, slot
-
-    def inputs(which, less):
-        """(stretched chances, gates); ``less``: what each bit itself has been counted."""
-        x, gate = np.empty((n, len(y[which])), np.float32), np.uint8(0)
+        np.add.at(counts, (slot + one)[counted], np.float32(1))
+        pair = counts.view(np.complex64).take(slot >> 1)
+        zeros.append(pair.real.copy())
+        ones.append(pair.imag.copy())
+    del mark, counts, slot, pair
+
+    def inputs(some, less):
+        """(stretched chances, gates) of a slice of the bits; ``less``: as if each bit had not been counted."""
+        yy = y[some]
+        x, gate = np.empty((n, len(yy)), np.float32), np.uint8(0)
         if alone is not None:
-            x[0] = alone[node[which]]
-        for k, pair in enumerate(pairs):
-            n0, n1 = pair[which, 0], pair[which, 1]
-            if less is not None:
-                n0, n1 = n0 - (less - y[which]), n1 - y[which]
-            x[n - len(pairs) + k] = stretch(n0, n1)
-            if k >= len(pairs) - 2:
+            x[0] = alone.take(node[some])
+        for k, (n0, n1) in enumerate(zip(zeros, ones)):
+            n0, n1 = n0[some], n1[some]
+            if less:
+                n0, n1 = np.maximum(n0 - (1 - yy), 0), np.maximum(n1 - yy, 0)
+            x[n - len(ones) + k] = stretch(n0, n1)
+            if k >= len(ones) - 2:
                 gate = gate * np.uint8(4) + np.minimum(n0 + n1, 3).astype(np.uint8)
         return x, gate
 
     start = np.full(n, 0.9 / n)
     weights, centres = np.tile(start, (GATES, 1)), np.linspace(-LIMIT, LIMIT, BUCKETS)
     maps, chance = np.tile(centres, (GATES, 1)), 1 / (1 + np.exp(-centres))
-    x, gate = inputs(learn, np.float32(1))
+    x, gate = inputs(slice(None), True)
+    gate = np.where(learn, gate, np.uint8(GATES))  # what is not learned from stands last
     order = np.argsort(gate, kind="stable")
     ends = np.searchsorted(gate[order], np.arange(GATES + 1))
-    yy = y[learn]
+    yy = y
     for g in range(GATES):
         mine = order[ends[g] : ends[g + 1]]
         if not len(mine):
@@ -176,7 +176,7 @@ def price(symbols: np.ndarray, contexts: list[np.ndarray], train: np.ndarray, co
     cost = np.zeros(len(symbols))
     for a in range(0, len(owner), BLOCK):
         some = slice(a, a + BLOCK)
-        x, gate = inputs(some, None)
+        x, gate = inputs(some, False)
         gate = gate.astype(np.int64)
         dot = np.zeros(len(gate), np.float32)
         for k in range(n):
@@ -270,10 +270,16 @@ def token_stream(docs: DataFrame, shared) -> DataFrame:
         from pyspark import TaskContext
 
         know = shared.value
-        places, escape = places_of(know), know.escape
+        escape = know.escape
         number = TaskContext.get().partitionId() << 32
         ids, meta, stream, words = [], [], [], {}
 
+        class Places(dict):
+            def __missing__(self, w):
+                return escape + words.setdefault(w, len(words))
+
+        place = Places(places_of(know)).__getitem__
+
         def row(ids, meta, stream, words, number):
             return pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), pa.array([ids], pa.list_(of)), pa.array([packed(*np.array(meta, np.int64).T)], pa.binary()), pa.array([packed(np.concatenate(stream))], pa.binary()), pa.array([list(words)], pa.list_(pa.binary()))],
@@ -284,10 +290,7 @@ def token_stream(docs: DataFrame, shared) -> DataFrame:
             of = b.column(0).type
             for i, text, train in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 found = tokens(text)
-                at = [places.get(w, escape) for w in found]
-                if escape in at:
-                    at = [p if p < escape else escape + words.setdefault(w, len(words)) for p, w in zip(at, found)]
-                ids.append(i), meta.append((len(found), len((text or "").encode("utf-8", "replace")), train)), stream.append(np.array(at, np.uint32))
+                ids.append(i), meta.append((len(found), len((text or "").encode("utf-8", "replace")), train)), stream.append(np.fromiter(map(place, found), np.uint32, len(found)))
                 held += len(found)
                 if held >= CHUNK:
                     yield row(ids, meta, stream, words, number)
@@ -413,7 +416,8 @@ def spelled(words: DataFrame, shards: int) -> DataFrame:
             here = np.flatnonzero(place == k)
             far[here] = (far[here - 1] + raw[here - 1] + np.uint32(1)) * np.uint32(0x9E3779B1)
         contexts = [last[0], hashed(*last[:2]), hashed(*last), hashed(far, place)]
-        cost = price(raw.astype(np.int64), contexts, (c > 0)[owner], BYTE_CODE)
+        known = (c > 0)[owner]
+        cost = price(raw.astype(np.int64), contexts, known, huffman(np.bincount(raw[known], minlength=256) + 1))
         return pa.table({"w": t["w"], "known": pa.array(c > 0), "log": pa.array(np.log10(c + 0.1)), "spell": pa.array(np.bincount(owner, cost, len(found)))})
 
     begun = words.withColumn("pre", F.substring("w", 1, 3))
