@@ -1,6 +1,6 @@
 """The query catalogues, with their SQL."""
 
-MODULES = ("catalogue", "cleaning", "diagnosis")
+MODULES = ("catalogue", "cleaning", "diagnosis", "quality")
 
 
 def _modules():
