@@ -7,13 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.operators.blocks import LONGEST, TARGET, kept_blocks
 
 GROUP = "struct<first:bigint,blocks:int,n:int>"
 PART_FROM, PART_LEAST, PART_MOST = 12_000, 6_000, 18_000
+LEAST = 300
+STRATEGIES = ("pdf_like", "page_order", "markdown", "transcript", "generic")
+TURN = r"^\s*(?:(?:\d{1,2}:)?\d{1,2}:\d{2}|[^:\n：]{1,24}[：:]\s+\S)"
 
 
 def pack(blocks: DataFrame, opens: Callable[[Column, Column], Column], closes: Callable[[Column, Column], Column], gap: int = 2, flags: dict[str, Column] | None = None, least: int = 0) -> DataFrame:
@@ -47,8 +50,40 @@ def chunk_markdown(blocks: DataFrame) -> DataFrame:
 
 def chunk_transcript(blocks: DataFrame) -> DataFrame:
     """A new chunk before the longest size, or at a turn once the target is reached."""
-    turn = F.rlike("text", F.lit(r"^\s*(?:(?:\d{1,2}:)?\d{1,2}:\d{2}|[^:\n：]{1,24}[：:]\s+\S)"))
-    return pack(blocks, lambda g, x: (g["n"] + 2 + x["n"] > LONGEST) | (x["turn"] & (g["n"] >= TARGET)), lambda g, x: F.lit(False), flags={"turn": turn})
+    return pack(blocks, lambda g, x: (g["n"] + 2 + x["n"] > LONGEST) | (x["turn"] & (g["n"] >= TARGET)), lambda g, x: F.lit(False), flags={"turn": F.rlike("text", F.lit(TURN))})
+
+
+def chunk_pdf_like(blocks: DataFrame) -> DataFrame:
+    """A new chunk at a heading or before the longest size, unless the chunk is still short; closed at the target."""
+    return pack(blocks, lambda g, x: (x["heading"] | (g["n"] + 2 + x["n"] > LONGEST)) & (g["n"] >= LEAST), lambda g, x: g["n"] >= TARGET, flags={"heading": F.col("type") == "section_heading"})
+
+
+def turned(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with turns_page: whether a kept block stands on another page than the kept one before."""
+    order = Window.partitionBy("doc_id").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, -1)
+    kept = (F.col("status") == "keep") & (F.col("text") != "")
+    return blocks.withColumn("turns_page", F.coalesce(F.last(F.when(kept, F.col("page")), True).over(order) != F.col("page"), F.lit(False)))
+
+
+def chunk_page_order(blocks: DataFrame) -> DataFrame:
+    """A new chunk wherever the page changes or before the longest size; blocks have a ``page``."""
+    return pack(turned(blocks), lambda g, x: x["turned"] | (g["n"] + 2 + x["n"] > LONGEST), lambda g, x: F.lit(False), flags={"turned": F.col("turns_page")})
+
+
+def chunk_by(blocks: DataFrame, strategy: Column) -> DataFrame:
+    """(doc_id, strategy, chunk, ...): every document packed by its own strategy, in one fold for all."""
+    kinds = turned(blocks.withColumn("strategy", strategy))
+    heading = F.col("type") == "section_heading"
+    flags = {"s": F.col("strategy"), "heading": heading, "top": heading & F.rlike("text", F.lit(r"^\s*#{1,3}\s+")), "turn": F.rlike("text", F.lit(TURN)), "turned": F.col("turns_page")}
+
+    def opens(g, x):
+        over = g["n"] + 2 + x["n"] > LONGEST
+        return F.when(x["s"] == "pdf_like", (x["heading"] | over) & (g["n"] >= LEAST)).when(x["s"] == "page_order", x["turned"] | over).when(x["s"] == "markdown", x["top"] | over).when(x["s"] == "transcript", over | (x["turn"] & (g["n"] >= TARGET))).otherwise(g["n"] + 2 + x["n"] > TARGET)
+
+    def closes(g, x):
+        return (g["n"] >= TARGET) & ((x["s"] == "pdf_like") | ((x["s"] == "markdown") & ~x["heading"]))
+
+    return pack(kinds, opens, closes, flags=flags).withColumn("strategy", strategy)
 
 
 def parts(blocks: DataFrame) -> DataFrame:
