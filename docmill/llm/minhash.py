@@ -201,7 +201,7 @@ def _estimated(pairs: DataFrame, signatures: DataFrame, at_least: float) -> Data
 
 def _blocks(rows: DataFrame, keys: list[str], left: str, right: str, payload: list[str]) -> DataFrame:
     """Rows dealt to blocks (i, j) of their group: those of ``left`` to all j of one i, those of ``right`` to all i of one j."""
-    counts = materialize(rows.groupBy(*keys).agg(F.count_if(F.expr(left)).alias("lefts"), F.count_if(F.expr(right)).alias("rights")).where("lefts > 0 AND lefts + rights > 2"), "mh-counts")
+    counts = rows.groupBy(*keys).agg(F.count_if(F.expr(left)).alias("lefts"), F.count_if(F.expr(right)).alias("rights")).where("lefts > 0 AND lefts + rights > 2")
     sized = rows.join(counts, keys).withColumns({"ni": F.ceil(F.col("lefts") / CHUNK).cast("int"), "nj": F.ceil(F.col("rights") / CHUNK).cast("int")})
     deal = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n).cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -291,17 +291,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = materialize(texts.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "mh-same")
     nodes = materialize(texts.groupBy("node").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature")).withColumnRenamed("node", "id"), "mh-nodes")
     banded = nodes.select("id", F.posexplode("bands").alias("band", "key"))
-    lead = materialize(banded.groupBy("band", "key").agg(F.min("id").alias("leader"), F.max("id").alias("most")).where("leader <> most").drop("most"), "mh-leaders")
+    lead = banded.groupBy("band", "key").agg(F.min("id").alias("leader"), F.max("id").alias("most")).where("leader <> most").drop("most")
     member = materialize(banded.join(lead, ["band", "key"]).where("id <> leader"), "mh-members")
     pairs = member.select(F.col("id").alias("x"), F.col("leader").alias("y")).distinct()
     signatures = nodes.select("id", "signature")
     estimate = materialize(_estimated(pairs, signatures, ruled_out_below(2 * percent / 100 - 1)), "mh-estimates")
     may = estimate.where("may").select("x", "y")
-    standing = lambda ids: materialize(ids.distinct().join(same.select("node", "rep"), "node"), "mh-wanted")
+    standing = lambda ids: ids.distinct().join(same.select("node", "rep"), "node")
     sets = materialize(full_sets(docs, standing(may.select(F.explode(F.array("x", "y")).alias("node"))), id_col, text_col), "mh-sets")
     stars = materialize(verified(may, sets, percent), "mh-stars")
     status = estimate.join(stars.select("x", "y", "status"), ["x", "y"], "left").select(F.col("x").alias("id"), F.col("y").alias("leader"), F.coalesce("status", F.lit("C")).alias("status"))
-    judged = materialize(member.join(materialize(status, "mh-status"), ["id", "leader"]).where("status <> 'A'"), "mh-placed")
+    judged = materialize(member.join(status, ["id", "leader"]).where("status <> 'A'"), "mh-placed")
     busy = judged.groupBy("band", "key").agg(F.count_if(F.col("status") == "C").alias("c"), F.count("*").alias("all")).where("c > 0 AND all > 1").select("band", "key")
     rest = materialize(judged.join(busy, ["band", "key"]), "mh-rest")
     others = materialize(full_sets(docs, standing(rest.select(F.col("id").alias("node"))), id_col, text_col), "mh-sets")
@@ -314,7 +314,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
     known = linked.join(least, "component").select("node", "component_id")
     placed = found.select("id", "n_shingles", "node").join(known, "node", "left")
-    for used in (nodes, lead, member, estimate, sets, stars, judged, rest, others, edges):
+    for used in (nodes, member, estimate, sets, stars, judged, rest, others, edges):
         discard(used)
     return placed.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
