@@ -1,6 +1,6 @@
 """The query catalogues, with their SQL."""
 
-MODULES = ("catalogue", "cleaning", "diagnosis", "quality", "structure")
+MODULES = ("catalogue", "cleaning", "diagnosis", "quality", "structure", "feedback")
 
 
 def _modules():
