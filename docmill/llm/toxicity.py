@@ -10,7 +10,8 @@ and determinised as words come (see ``Automaton``). One edit is allowed for entr
 stand for letters are read as letters, and drawn-out letters are shortened first.
 
 Misspellings are rare among labelled texts, so each toxic one is read a second time with its exact hits
-misspelled: how much such a hit tells follows from these and from chance hits in clean texts.
+misspelled, at a weight of ``RARE`` (the share of toxic texts taken to be written so): how much such a hit
+tells follows from these and from chance hits in clean texts.
 
 Context. Every hit looks at ``SPAN`` words to either side: between quotation marks
 or beside a word of reporting it counts as quoted, else as abuse. A logistic model
@@ -39,6 +40,7 @@ from docmill.llm.common import discard, in_fold, materialize, small_batches, tab
 SPAN = 6
 STEMS = range(4, 9)
 WORDS_HELD = 500_000
+RARE = 0.03
 #: fixed values: characters written for letters, marks of quotation, words of reporting
 LEET = str.maketrans("013457@$", "oieastas")
 QUOTES = "\"“”„«»‘‚"
@@ -262,16 +264,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in batches:
             rows = []
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows.append((s.features(t), y))
+                rows.append((s.features(t), y, 1.0))
                 if y == 1 and (changed := misspelled(t, s.hit)) is not None:
-                    rows.append((s.features(changed), y))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.list_(pa.float64())), pa.array([y for _, y in rows], pa.int32())], names=["x", "y"])
+                    rows.append((s.features(changed), y, RARE))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, *_ in rows], pa.list_(pa.float64())), pa.array([y for _, y, _ in rows], pa.int32()), pa.array([w for *_, w in rows], pa.float64())], names=["x", "y", "w"])
 
-    rows = texts.mapInArrow(featured, "x array<double>, y int").collect()
+    rows = texts.mapInArrow(featured, "x array<double>, y int, w double").collect()
     discard(texts)
     x = np.array([r["x"] for r in rows])
     y = np.array([float(r["y"] == 1) for r in rows])
-    weight = np.where(y == 1, counts[1] / max(y.sum(), 1), counts[0] / n0)
+    weight = np.where(y == 1, counts[1] / n1, counts[0] / n0) * np.array([r["w"] for r in rows])
     return {"words": words, "stems": stems, "weights": _logistic(x, y, weight / weight.mean()).tolist(), "rate": counts[1] / (counts[0] + counts[1])}
 
 
