@@ -136,7 +136,7 @@ def relations(typed: DataFrame, at: str = "n", heading: str = "heading", figures
     above = lambda k: F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(F.col(f"h{m}"), F.lit(-1)) for m in range(1, k)])
     holds = [F.when((above(k) < F.coalesce(F.col(f"h{k}"), F.lit(-1))) & (F.col("level").isNull() | (F.col("level") > k)), F.col(f"h{k}")) for k in range(1, 7)]
     edge = lambda name, a, b: F.struct(F.lit(name).alias("kind"), a.cast("long").alias("source"), b.cast("long").alias("target"))
-    own = F.array(F.when(F.col("next").isNotNull(), edge("next_sibling", F.col(at), F.col("next"))), F.when((F.col("type") == "paragraph") & F.col("next_type").isin(*figures), edge("references", F.col(at), F.col("next"))), *[F.when(h.isNotNull(), edge("contains", h, F.col(at))) for h in holds])
+    own = F.array(F.when(F.col("next").isNotNull(), edge("next_sibling", F.col(at), F.col("next"))), *([F.when((F.col("type") == "paragraph") & F.col("next_type").isin(*figures), edge("references", F.col(at), F.col("next")))] if figures else []), *[F.when(h.isNotNull(), edge("contains", h, F.col(at))) for h in holds])
     return seen.select("doc_id", F.inline(F.array_compact(own)))
 
 

@@ -9,6 +9,7 @@ from docmill.functions import text as T
 from docmill.operators import blocks as B
 from docmill.operators import joins as J
 from docmill.operators import packing as P
+from docmill.operators import structure as U
 from docmill.operators import transcripts as TR
 from docmill.sources import converters as C
 from docmill.sources import decorated as D
@@ -37,7 +38,7 @@ def text_quality(spark, sf):
 
 def language_hint(spark, sf):
     """ch where at least 3 CJK characters make up a fifth of CJK and Latin letters, else en."""
-    t = F.substring(F.coalesce("text", F.lit("")), 1, 65536)
+    t = F.coalesce("text", F.lit(""))
     cjk, latin = T.count(t, T.CJK), T.count(t, "[A-Za-z]")
     return _docs(spark, sf).select("doc_id", F.when((cjk >= 3) & (cjk / (cjk + latin) >= 0.2), "ch").otherwise("en").alias("language"))
 
@@ -102,15 +103,9 @@ def patch_gate(spark, sf):
 
 def relationships(spark, sf):
     """next_sibling by document order; contains from a heading to what follows it up to the next heading of its level or above."""
-    order = Window.partitionBy("doc_id").orderBy("block_idx")
-    b = _blocks(spark, sf).select("doc_id", "block_idx", "type", F.length(F.regexp_extract("text", "^(#+)", 1)).alias("level"))
-    sibling = b.select("doc_id", F.lit("next_sibling").alias("kind"), F.col("block_idx").alias("source"), F.lead("block_idx").over(order).alias("target")).where("target IS NOT NULL")
-    upto = order.rowsBetween(Window.unboundedPreceding, -1)
-    heads = [F.max(F.when((F.col("type") == "section_heading") & (F.col("level") == n), F.col("block_idx"))).over(upto).alias(f"h{n}") for n in range(1, 7)]
-    open_ = b.select("*", *heads)
-    at = [F.when((F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(F.col(f"h{m}"), F.lit(-1)) for m in range(1, n)]) < F.coalesce(F.col(f"h{n}"), F.lit(-1))) & ~((F.col("type") == "section_heading") & (F.col("level") <= n)), F.col(f"h{n}")) for n in range(1, 7)]
-    contains = open_.select("doc_id", F.lit("contains").alias("kind"), F.explode(F.array_compact(F.array(*at))).alias("source"), F.col("block_idx").alias("target"))
-    return sibling.unionByName(contains).groupBy("doc_id", "kind").agg(F.count("*").alias("edges"), F.sum(F.col("source") * 1000 + F.col("target")).alias("checksum"))
+    b = _blocks(spark, sf).select("doc_id", "block_idx", "type", F.length(F.regexp_extract("text", "^(#+)", 1)).alias("size"))
+    edges = U.relations(b, "block_idx", "section_heading", ())
+    return edges.groupBy("doc_id", "kind").agg(F.count("*").alias("edges"), F.sum(F.col("source") * 1000 + F.col("target")).alias("checksum"))
 
 
 def annotations(spark, sf):
@@ -383,7 +378,7 @@ _PATCH = f"""patched AS (SELECT doc_id, block_idx, rule_id, 'status_update' AS c
 
 SQL = {
     "text_quality": f"SELECT doc_id, length(t) AS total_chars, coalesce({_CNT('t', _CJK)}::DOUBLE / nullif(length(t), 0), 0) AS chinese_ratio, coalesce({_CNT('t', _re('[a-zA-Z0-9]'))}::DOUBLE / nullif(length(t), 0), 0) AS alnum_ratio, coalesce({_CNT('t', _re('[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{9f}]'))}::DOUBLE / nullif(length(t), 0), 0) AS control_ratio, length(t) - length(replace(t, chr(65533), '')) AS replacement_chars, {_any('t', T.CTA)} AS has_cta_text FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
-    "language_hint": f"SELECT doc_id, CASE WHEN c >= 3 AND c::DOUBLE / (c + a) >= 0.2 THEN 'ch' ELSE 'en' END AS language FROM (SELECT doc_id, {_CNT('t', _CJK)} AS c, {_CNT('t', _re('[A-Za-z]'))} AS a FROM (SELECT doc_id, substr(coalesce(text, ''), 1, 65536) AS t FROM documents))",
+    "language_hint": f"SELECT doc_id, CASE WHEN c >= 3 AND c::DOUBLE / (c + a) >= 0.2 THEN 'ch' ELSE 'en' END AS language FROM (SELECT doc_id, {_CNT('t', _CJK)} AS c, {_CNT('t', _re('[A-Za-z]'))} AS a FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))",
     "language_mix": f"SELECT lang, cjk, letters, CASE WHEN letters = 0 THEN 'other' WHEN cjk / letters >= 0.2 THEN 'zh' WHEN cjk / letters <= 0.05 THEN 'en' ELSE 'mixed' END AS mix FROM (SELECT lang, sum({_CNT('coalesce(text, chr(32))', _CJK)})::BIGINT AS cjk, sum({_CNT('coalesce(text, chr(32))', _re(r'\\p{L}'))})::BIGINT AS letters FROM documents GROUP BY lang)".replace("\\\\p", "\\p"),
     "lines": f"WITH {D.LINES_SQL} SELECT doc_id, count(*) AS lines, count(*) FILTER ({_STRIP('line')} = '') AS blank, max(length(line)) AS longest FROM lines GROUP BY doc_id",
     "structure_counts": f"WITH {D.LINES_SQL},{_KINDS} SELECT doc_id, count(*) FILTER (kind = 'section_heading') AS headings, count(*) FILTER (opens) AS fences, count(*) FILTER (kind = 'image_evidence') AS images, count(*) FILTER (kind = 'table') AS table_lines FROM kinds GROUP BY doc_id",
