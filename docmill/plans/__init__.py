@@ -1,6 +1,6 @@
 """The query catalogues, with their SQL."""
 
-MODULES = ("catalogue", "cleaning", "diagnosis", "quality", "structure", "feedback", "intake", "artifacts")
+MODULES = ("catalogue", "cleaning", "diagnosis", "quality", "structure", "feedback", "intake", "artifacts", "records")
 
 
 def _modules():
