@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm import bpe, language, minhash, mixing, secrets
-from docmill.llm.common import materialize, table
+from docmill.llm.common import discard, materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -43,7 +43,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again as the next one's input."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)  # what the stage has read is not read again
+        before = docs
     return docs
