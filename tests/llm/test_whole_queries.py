@@ -320,3 +320,39 @@ def test_scoring_and_url_queries_run_whole(spark, empty):
     test = got[got["held_out"]]
     assert test["score"].sum() > test["base_score"].sum()  # contexts tell more than counts, on texts that were not learned
     assert run(spark, "op6_scoring", empty).count() == 0
+
+
+def test_components_of_nothing_and_of_a_hot_node(spark):
+    from docmill.llm import components
+
+    assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+    star = spark.range(1, 3000).selectExpr("0L AS u", "id AS v")
+    assert {r["component"] for r in components.connected_components(star).collect()} == {0}
+
+
+def test_long_texts(spark):
+    from docmill.llm import language, minhash, toxicity
+
+    rnd = random.Random(4)
+    words = [rnd.choice(WORDS) + str(rnd.randrange(300)) for _ in range(30_000)]
+    words[500] = "w" * 5000  # longer than a word is kept as it is
+    text = " ".join(words)
+    want = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    assert len(minhash.shingles(text.encode())) == len(want)
+    assert (minhash.shingles(text.encode()) == minhash.shingles(("  " + text.upper().replace(" ", "\n") + "\n").encode())).all()
+    model = {"aa": " ".join(words[:300]).encode(), "bb": b"quite other words here"}
+    classify = language.classifier(model)
+    assert classify(text)[0] == "aa" == classify(text * 3)[0]
+    assert toxicity.Scorer(["grumblefoot"], []).features(text + " grumblefoot")[0] > 0
+    rows = spark.createDataFrame([(1, text), (1, text), (2, text + " end"), (3, "")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(rows).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
+
+
+def test_equal_rows_get_equal_answers(spark):
+    from docmill.llm import secrets, toxicity
+
+    rows = spark.createDataFrame([(1, "see token=abcdef12 now", "x"), (1, "see token=abcdef12 now", "x"), (None, None, "y")], "doc_id long, text string, spans string")
+    assert len({tuple(r) for r in secrets.redact(rows).collect()}) == 2 and secrets.redact(rows).columns == rows.columns
+    model = {"words": ["grumblefoot"], "stems": [], "weights": [1.0] * 8 + [-2.0], "rate": 0.1}
+    assert len({tuple(r) for r in toxicity.score(rows, model).collect()}) == 2
