@@ -50,7 +50,7 @@ SPELLED = 5_000  # spelled words of a shard
 START = 0xFFFFFFFF  # stands for the word before the first
 GATES, BUCKETS, LIMIT, STEPS, RIDGE = 16, 33, 8.0, 2, 4.0
 FLUSH = 800_000
-BLOCK, PART = 1 << 16, 25_000  # bits priced at once; tokens of a part of a shard, whose counts fit a core's cache
+BLOCK, PART = 1 << 15, 10_000  # bits priced at once; tokens of a part of a shard, whose counts fit a core's cache
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -154,8 +154,10 @@ def price(symbols: np.ndarray, contexts: list[np.ndarray], train: np.ndarray, co
     start = np.full(n, 0.9 / n)
     weights, centres = np.tile(start, (GATES, 1)), np.linspace(-LIMIT, LIMIT, BUCKETS)
     maps, chance = np.tile(centres, (GATES, 1)), 1 / (1 + np.exp(-centres))
-    x, gate = inputs(slice(None), True)
-    gate = np.where(learn, gate, np.uint8(GATES))  # what is not learned from stands last
+    x, gate = np.empty((n, len(owner)), np.float32), np.empty(len(owner), np.uint8)
+    for a in range(0, len(owner), BLOCK):
+        x[:, a : a + BLOCK], gate[a : a + BLOCK] = inputs(slice(a, a + BLOCK), True)
+    gate[~learn] = GATES  # what is not learned from stands last
     order = np.argsort(gate, kind="stable")
     ends = np.searchsorted(gate[order], np.arange(GATES + 1))
     yy = y
@@ -169,7 +171,8 @@ def price(symbols: np.ndarray, contexts: list[np.ndarray], train: np.ndarray, co
             pull = xs @ (ys - p) - RIDGE * (weights[g] - start)
             weights[g] += np.linalg.solve((xs * np.maximum(p * (1 - p), np.float32(0.005))) @ xs.T + RIDGE * np.eye(n), pull)
         bucket = np.rint((np.clip(weights[g].astype(np.float32) @ xs, -LIMIT, LIMIT) + LIMIT) * ((BUCKETS - 1) / (2 * LIMIT))).astype(np.int64)
-        p = (np.bincount(bucket, ys, BUCKETS) + 4 * chance) / (np.bincount(bucket, minlength=BUCKETS) + 4)
+        tally = np.bincount(bucket * 2 + (ys > 0), minlength=2 * BUCKETS).reshape(BUCKETS, 2)
+        p = (tally[:, 1] + 4 * chance) / (tally.sum(1) + 4)
         maps[g] = np.log(p / (1 - p))
     del x, gate, yy, order
     weights, maps = weights.astype(np.float32), maps.astype(np.float32).ravel()
@@ -446,44 +449,35 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     stream = materialize(token_stream(rows, shared), "lm-stream")
     costs = gathered(learn_words(deal(stream, shared), shared))
 
+    distinct = materialize(stream.select(F.explode("words").alias("w")).distinct().join(counts, "w", "left").select("w", F.coalesce("c", F.lit(0)).alias("c")), "lm-distinct")
+    priced = spelled(distinct, max(2 * shuffle_parts(spark), distinct.count() // SPELLED))
+    # the words of a stretch meet their counts and costs once each, not once for each document
+    met = stream.select("chunk", F.posexplode("words").alias("i", "w")).join(priced, "w").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("i", "known", "log", "spell"))).alias("others"))
+
     def documents(batches):
         import pyarrow as pa
 
         know = shared.value
         escape = know.escape
         for b in batches:
-            for row, ids in zip(b.to_pylist(), b.column(b.schema.get_field_index("ids"))):
+            ids_at, others_at = b.schema.get_field_index("ids"), b.schema.get_field_index("others")
+            for k, row in enumerate(b.select(["chunk", "docs", "tokens"]).to_pylist()):
                 total, size, train, at = _read(row)
+                others = b.column(others_at)[k].values
+                told = lambda name, of: np.zeros(0) if others is None else others.field(name).cast(of).to_numpy(zero_copy_only=False)  # noqa: B023, E731
                 firsts = np.cumsum(total) - total
-                logs = np.add.reduceat(know.logs[np.minimum(at, escape)], firsts)
-                common = np.add.reduceat((at < escape).astype(np.int64), firsts)
+                add = lambda head, tail: np.add.reduceat(np.concatenate([head, tail])[at], firsts)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["chunk"]] * len(total), pa.int64()), pa.array(np.arange(len(total)), pa.int32()), ids.values, pa.array(train == 0), pa.array(total, pa.int64()), pa.array(size.astype(np.int64)), pa.array(common), pa.array(logs)],
-                    names=["chunk", "place", "id", "held_out", "total", "bytes", "n", "base"])
-
-    def others(batches):
-        import pyarrow as pa
+                    [pa.array([row["chunk"]] * len(total), pa.int64()), pa.array(np.arange(len(total)), pa.int32()), b.column(ids_at)[k].values, pa.array(train == 0), pa.array(total, pa.int64()), pa.array(size.astype(np.int64)),
+                     pa.array(add(np.ones(escape), told("known", pa.int8())).astype(np.int64)), pa.array(add(know.logs[:escape], told("log", pa.float64()))), pa.array(add(np.zeros(escape), told("spell", pa.float64())))],
+                    names=["chunk", "place", "id", "held_out", "total", "bytes", "n", "base", "spell"])
 
-        escape = shared.value.escape
-        for b in batches:
-            for row in b.to_pylist():
-                total, _, _, at = _read(row)
-                here = np.flatnonzero(at >= escape)
-                pair, times = np.unique(np.repeat(np.arange(len(total)), total)[here] << 32 | (at[here] - escape).astype(np.int64), return_counts=True)
-                words = pa.array(row["words"], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * len(pair), pa.int64()), pa.array((pair >> 32).astype(np.int32)), words.take(pa.array(pair & 0xFFFFFFFF)), pa.array(times.astype(np.int32))], names=["chunk", "place", "w", "n"])
-
-    each = stream.mapInArrow(documents, f"chunk bigint, place int, id {kind}, held_out boolean, total bigint, bytes bigint, n bigint, base double")
-    tail = stream.select("chunk", "docs", "tokens", "words").mapInArrow(others, "chunk bigint, place int, w binary, n int")
-    distinct = stream.select(F.explode("words").alias("w")).distinct().join(counts, "w", "left").select("w", F.coalesce("c", F.lit(0)).alias("c"))
-    distinct = materialize(distinct, "lm-distinct")
-    priced = materialize(spelled(distinct, max(2 * shuffle_parts(spark), distinct.count() // SPELLED)), "lm-words")
-    of_tail = tail.join(priced, "w").groupBy("chunk", "place").agg(F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("tn"), F.sum(F.col("n") * F.col("log")).alias("tbase"), F.sum(F.col("n") * F.col("spell")).alias("tcost"))
-    met = each.join(costs, ["chunk", "place"], "left").join(of_tail, ["chunk", "place"], "left")
-    whole = -(F.coalesce("cost", F.lit(0.0)) + F.coalesce("tcost", F.lit(0.0)))
+    each = stream.drop("words").join(met, "chunk", "left").mapInArrow(documents, f"chunk bigint, place int, id {kind}, held_out boolean, total bigint, bytes bigint, n bigint, base double, spell double")
+    met = each.join(costs, ["chunk", "place"], "left")
+    whole = -(F.coalesce("cost", F.lit(0.0)) + F.col("spell"))
     return met.select(
-        F.col("id").alias(id_col), "held_out", F.col("total").alias("n_tokens"), (F.col("n") + F.coalesce("tn", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("tbase", F.lit(0.0)) - F.col("total") * F.lit(math.log10(n + 0.1 * (types + 1)))).alias("base_score"),
+        F.col("id").alias(id_col), "held_out", F.col("total").alias("n_tokens"), F.col("n").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("total") * F.lit(math.log10(n + 0.1 * (types + 1)))).alias("base_score"),
         (whole / F.lit(math.log(10))).alias("score"), (-whole / F.lit(math.log(2)) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"))
 
 
