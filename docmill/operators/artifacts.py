@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from docmill.functions import text as T
 
 # What a title may not be, and what speaks for one.
-TITLE_SPLIT = ["译", "横版", "中文译本", "仅供", "内部研究"]
-TITLE_REJECT = ["译", "中文译本", "仅供", "内部研究", "YouTube", "目录", r"Chapter\d*", "Resources"]
+TITLE_SPLIT = ["Anthropic", "Claude", "Building an", "译", "横版", "中文译本", "仅供", "内部研究"]
+TITLE_REJECT = ["Anthropic", "Claude", "译", "中文译本", "仅供", "内部研究", "YouTube", "目录", r"Chapter\d*", "Resources"]
 TITLE_NEVER = {"目录", "资源", "Resources", "Contents"}
 TITLE_WORDS = ["手册", "指南", "报告", "白皮书", "行动", "Playbook", "Guide", "Manual", "Report"]
 VIDEO_HOSTS = ["youtube.com", "www.youtube.com", "m.youtube.com"]
