@@ -72,6 +72,14 @@ def in_fold(c: Column, modulus: int) -> Column:
     return F.coalesce(fold(c, modulus) == 0, F.lit(False))
 
 
+def partition_keys(spark: SparkSession, parts: int, each: int = 1) -> list[int]:
+    """``parts * each`` numbers, the k-th of which Spark's hash partitioning sends to partition k modulo ``parts``."""
+    n = 32 * parts * (each + 2)
+    placed = spark.range(n).select(F.pmod(F.hash("id"), F.lit(parts)).alias("p"), "id").groupBy("p").agg(F.slice(F.sort_array(F.collect_list("id")), 1, each).alias("ids"))
+    found = {r["p"]: r["ids"] for r in placed.collect()}
+    return [found[k % parts][k // parts] for k in range(parts * each)]
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows and bytes unless the session sets its own: a worker holds whole texts of one batch at a time."""
     chosen = spark.conf.getAll

@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.common import WORD, discard, materialize, table
+from docmill.llm.common import WORD, discard, materialize, partition_keys, table
 
 WEIGHTS = (1, 2, 3)
 #: At most so many source rows are broadcast (about 1 KB each).
@@ -148,13 +148,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
-def _partition_keys(docs: DataFrame, shards: int) -> list[int]:
-    """For each shard a number that Spark's hash partitioning sends to a partition of its own."""
-    tried = docs.sparkSession.range(64 * shards).select(F.pmod(F.hash("id"), F.lit(shards)).alias("p"), "id").groupBy("p").agg(F.min("id").alias("id"))
-    keys = {r["p"]: r["id"] for r in tried.collect()}
-    return [keys.get(k, k) for k in range(shards)]
-
-
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 5, shards: int = 64, shard_col: str | None = None, **options) -> DataFrame:
     """The mix itself: each document of ``docs`` once per copy, dealt to its shards and shuffled within them.
 
@@ -170,7 +163,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.withColumn(key, F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), size, F.col(f"`{source_col}`"))).join(plan, key)
     dealt = keyed.select(*columns, key, F.posexplode(f"{shard}s").alias(copy, shard))
-    apart = F.get(F.array(*[F.lit(k) for k in _partition_keys(docs, shards)]), F.col(shard)).cast("long")
+    apart = F.get(F.array(*[F.lit(k) for k in partition_keys(docs.sparkSession, shards)]), F.col(shard)).cast("long")
     shuffled = dealt.repartition(shards, apart).sortWithinPartitions(shard, F.xxhash64(F.lit(seed + 1), key, copy))
     return shuffled.select(*columns, *([F.col(shard).alias(shard_col)] if shard_col else []))
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.common import shuffle_parts, table
+from docmill.llm.common import partition_keys, shuffle_parts, table
 
 K, W = 16, 64
 BASE, PRIME = 1_000_003, (1 << 30) - 35
@@ -153,7 +153,11 @@ def op1_winnowing(spark, sf_dir):
     own = docs.select("id", "text", F.expr(segments("text")).alias("gs")).select(
         "id", "text", F.unhex(digest(F.expr(placed("gs")))).alias("fingerprint"), F.expr("transform(gs, g -> transform(g, x -> cast(x.p AS smallint)))").alias("p"), F.expr("flatten(transform(gs, g -> transform(g, x -> x.h)))").alias("h"))
     order = Window.partitionBy("bucket").orderBy("mirrored", F.col("id").asc_nulls_first(), "text")
-    lead = in_order(own).select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in ("text", "p", "h")]).where("NOT mirrored")
+    # twice as many buckets as partitions, dealt so that every partition gets two
+    parts = shuffle_parts(spark)
+    keys = F.array(*[F.lit(k) for k in partition_keys(spark, parts, 2)]).cast("array<bigint>")
+    dealt = in_order(own, 2 * parts).withColumn("bucket", F.get(keys, F.col("bucket")))
+    lead = dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in ("text", "p", "h")]).where("NOT mirrored")
     marks = lambda p, h: once(f"zip_with(flatten(transform({p}, (g, k) -> transform(g, x -> cast(x + k * {SEGMENT} AS int)))), {h}, (p, h) -> struct(p AS p, h AS h))")
     half = F.floor(F.length("text") / 2).cast("int")
     edited = lead.select(
