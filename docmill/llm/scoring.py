@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from docmill.llm.common import discard, in_fold, materialize, shuffle_parts, small_batches, table, worker_store
 
 HEAD = 1 << 17
-SHARD, CHUNK = 600_000, 1 << 20  # tokens of a shard, and of a stretch of documents that is dealt at once
+SHARD, CHUNK = 300_000, 1 << 20  # tokens of a shard, and of a stretch of documents that is dealt at once
 SPELLED = 5_000  # spelled words of a shard
 START = 0xFFFFFFFF  # stands for the word before the first
 GATES, BUCKETS, LIMIT, STEPS, RIDGE = 16, 33, 8.0, 2, 4.0
