@@ -243,6 +243,53 @@ def test_chances_add_up_to_one():
     assert np.allclose(free, 8 * math.log(2), atol=1e-5)  # nothing learned: every bit is a half
 
 
+def test_unseen_contexts_are_alike_however_many_there_are():
+    rng = np.random.default_rng(4)
+    code = scoring.huffman(rng.integers(1, 50, 300))
+    symbols = np.concatenate([rng.integers(0, 300, 40_000), np.tile(np.arange(300), 5)])
+    contexts = np.concatenate([rng.integers(0, 20_000, 40_000), 50_000 + np.arange(1500)]).astype(np.uint32)
+    train = np.arange(len(symbols)) < 40_000
+    cost = scoring.price(symbols, [contexts, scoring.hashed(contexts)], train, code, scoring.alone_by_node(code, np.bincount(symbols[train], minlength=300)))
+    assert np.ptp(cost[40_000:].reshape(5, 300), axis=0).max() < 1e-6
+
+
+def test_what_comes_again_is_priced_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    code = scoring.huffman(np.array([9, 5, 3, 3, 2, 1, 1]))
+    symbol, one, two = rng.integers(0, 7, 900), rng.integers(0, 5, 900).astype(np.uint32), rng.integers(0, 3, 900).astype(np.uint32)
+    train = rng.random(900) < 0.8
+    alone = scoring.alone_by_node(code, np.bincount(symbol[train], minlength=7))
+    whole = scoring.price(symbol, [one, scoring.hashed(one, two)], train, code, alone)
+    rows, price = [], scoring.price
+    monkeypatch.setattr(scoring, "price", lambda symbols, *rest: rows.append(len(symbols)) or price(symbols, *rest))
+    assert np.allclose(scoring.price_words(symbol, one, two, train, code, alone), whole, rtol=1e-4, atol=1e-4)
+    assert sum(rows) == len(set(zip(symbol.tolist(), one.tolist(), two.tolist()))) < 900
+
+
+def test_spelling_prices_each_beginning_once(spark, monkeypatch):
+    words = [b"", b"a", b"ab", b"abc", b"abd", b"abdomen", b"b", b"bab", b"babble", "über".encode(), b"x" * 300, b"x" * 299 + b"y"]
+    known = [i % 3 > 0 for i in range(len(words))]
+    got = {bytes(r["w"]): r["spell"] for r in scoring.spelled(spark.createDataFrame([(bytearray(w), int(k)) for w, k in zip(words, known)], "w binary, c bigint"), 1).collect()}
+    rows = [(k, j, byte) for k, w in enumerate(words) for j, byte in enumerate(w + b"\xff")]
+    raw, owner = np.array([b for _, _, b in rows]), np.array([k for k, _, _ in rows])
+    last = [np.array([(words[k][j - i] if j >= i else 256) for k, j, _ in rows], np.uint32) for i in (1, 2, 3)]
+    begun = {}
+    far = np.array([begun.setdefault(words[k][:j], len(begun)) for k, j, _ in rows], np.uint32)
+    learn = np.array(known)[owner]
+    cost = scoring.price(raw, [last[0], scoring.hashed(*last[:2]), scoring.hashed(*last), far], learn, scoring.huffman(np.bincount(raw[learn], minlength=256) + 1))
+    assert np.allclose([got[w] for w in words], np.bincount(owner, cost), rtol=1e-3)
+
+
+def test_words_of_slices():
+    import pyarrow as pa
+
+    texts = ["A b", None, "", " \t c\x0b\x0cD\r\n", "\x1c é\x85 E\u3000F", "zz"] * 50
+    for at, n in ((0, 300), (7, 100), (299, 1), (5, 0)):
+        number, words = scoring.split(pa.array(texts, pa.string()).slice(at, n))
+        want = [scoring.tokens(t)[:-1] for t in texts[at : at + n]]
+        assert number.tolist() == [len(w) for w in want] and words.cast(pa.binary()).to_pylist() == [w for t in want for w in t]
+
+
 def test_codes_are_shortest():
     weights = np.array([40, 1, 7, 7, 30, 2, 13])
     offsets, nodes, bits = scoring.huffman(weights)
