@@ -29,7 +29,7 @@ from docmill.llm.common import partition_keys, shuffle_parts, table
 
 K, W = 16, 64
 BASE, PRIME = 1_000_003, (1 << 30) - 35
-SEGMENT = 1024
+SEGMENT = 2048
 MARKS = "array<struct<p:int,h:int>>"
 
 
@@ -38,14 +38,24 @@ def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def rolled(points: str) -> str:
-    """SQL of the hashes of every K consecutive ones of the code point array ``points`` (of all, if there are fewer)."""
-    out, m = points, 1
-    while m < K:  # values that would need code points past the end are cut off below
-        out = _let(out, f"v{m}", f"zip_with(v{m}, slice(v{m}, {m + 1}, size(v{m})), (x, y) -> (x * {pow(BASE, m, PRIME)}L + y) % {PRIME}L)")
-        m *= 2
-    few = f"array(aggregate({points}, 0L, (a, x) -> (a * {BASE}L + x) % {PRIME}L))"
-    return f"if(size({points}) < {K}, {few}, slice({out}, 1, size({points}) - {K - 1}))"
+def rolled(points: str, body: str) -> str:
+    """SQL of ``body`` with ``v``: from right to left the hashes of every K consecutive ones of the code point array ``points`` (of all, if there are fewer).
+
+    The body is innermost: Spark copies a value that leaves a let, and marks are fewer than hashes.
+    """
+    names = [f"{points}{m}" for m in (1, 2, 4, 8, 16)]
+    few = f"array(aggregate({points}1, 0L, (a, x) -> (a * {BASE}L + x) % {PRIME}L))"
+    # values that would need code points past the end are null
+    out = _let(f"if(size({points}1) < {K}, {few}, reverse(array_compact({names[4]})))", "v", body)
+    for k in (3, 2, 1, 0):
+        m, now = 1 << k, names[k]
+        zipped = f"zip_with({now}, slice({now}, {m + 1}, size({now})), (x, y) -> %s)"
+        value = f"x * {pow(BASE, m, PRIME)}L + y"
+        pairs = zipped % f"({value}) % {PRIME}L"
+        if m == 1:  # of small code points the value is below the prime as it is
+            pairs = f"if(array_max({now}) < {PRIME // (BASE + 1)}L, {zipped % value}, {pairs})"
+        out = _let(pairs, names[k + 1], out)
+    return _let(points, names[0], out)
 
 
 def selected(v: str) -> str:
@@ -60,17 +70,19 @@ def selected(v: str) -> str:
     step = f"if(a.p < 0, a, {_let(following, 'q', 'struct(q AS p, if(q < 0, a.found, array_append(a.found, q)) AS found)')})"
     walk = lambda steps, start: f"aggregate(sequence(1, {steps}), {start}, (a, i) -> {step})"
     begun = _let(first, "f", "struct(f AS p, array(f) AS found)")
-    # about 2 in W places are marks: few texts have more than 1 in 8
-    return _let(walk(f"size({v}) div 8 + 2", begun), "w", f"if(w.p < 0, w, {walk(f'size({v})', 'w')}).found")
+    # about 2 in W places are marks: few texts have more than 1 in 24
+    return _let(walk(f"size({v}) div 24 + 2", begun), "w", f"if(w.p < 0, w, {walk(f'size({v})', 'w')}).found")
 
 
 def segments(text: str) -> str:
     """SQL of array<array<struct<p, h>>>: for each segment of the string column ``text`` the marks, with places within the segment."""
-    n = f"greatest(length({text}) - {K - 1}, 1)"
-    ranges = f"sequence(0, greatest({n} - {W}, 0), {SEGMENT})"
-    points = f"transform(split(substring({text}, g + 1, {SEGMENT + W - 1 + K - 1}), ''), c -> cast(ascii(c) AS bigint))"
-    marks = _let(points, "c", _let(f"reverse({rolled('c')})", "v", f"transform(reverse({selected('v')}), i -> struct(size(v) - 1 - i AS p, cast(v[i] AS int) AS h))"))
-    return f"if(length({text}) = 0, cast(array() AS array<{MARKS}>), transform({ranges}, g -> {marks}))"
+    last = f"cast(greatest(length({text}) - {K - 1 + W}, 0) div {SEGMENT} AS int)"
+    # to cut a string, Spark walks it from its start: first into about as many stretches as a stretch has segments
+    stretch = f"substring({text}, g * {SEGMENT} + 1, r * {SEGMENT} + {W - 1 + K - 1})"
+    points = f"transform(split(substring(stretch, k * {SEGMENT} + 1, {SEGMENT + W - 1 + K - 1}), ''), c -> cast(ascii(c) AS bigint))"
+    marks = _let(points, "c", rolled("c", f"transform(reverse({selected('v')}), i -> struct(size(v) - 1 - i AS p, cast(v[i] AS int) AS h))"))
+    stretches = f"transform(sequence(0, last, r), g -> {_let(stretch, 'stretch', f'transform(sequence(0, least(r - 1, last - g)), k -> {marks})')})"
+    return f"if(length({text}) = 0, cast(array() AS array<{MARKS}>), flatten({_let(last, 'last', _let('cast(ceil(sqrt(last + 1)) AS int)', 'r', stretches))}))"
 
 
 def winnow(text: str) -> str:
@@ -95,8 +107,9 @@ def winnow_joined(joined: str, keep: str, taken: str, first: str, second: str) -
     seam = f"greatest({keep} - {reach - 1}, 0)"
     end = f"greatest({keep} + {taken} - {reach - 1}, 0)"
     piece = lambda start, n: _let(f"substring({joined}, {start} + 1, {n})", "piece", winnow("piece"))
-    parts = f"""concat(filter({first}, x -> x.p <= {keep} - {K + W}), {shifted(piece(seam, 2 * reach), seam)},
-        {shifted(f"filter({second}, x -> x.p >= {W} AND x.p <= {taken} - {K + W})", keep)}, {shifted(piece(end, reach), end)})"""
+    # every window of the second text that ends before what is cut off is one of the joined text: its marks stand from the start
+    parts = f"""concat(filter({first}, x -> x.p <= {keep} - {K + W}), {shifted(piece(seam, reach + W + K), seam)},
+        {shifted(f"filter({second}, x -> x.p <= {taken} - {K + W})", keep)}, {shifted(piece(end, reach), end)})"""
     return f"if({keep} < {reach} OR {taken} < {reach} OR {keep} + {taken} < {4 * reach}, {winnow(joined)}, {once(f'array_sort({parts})')})"
 
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -65,6 +66,29 @@ def test_winnowing(docs, none):
     assert winnowing.fingerprints(none).count() == 0
 
 
+def test_winnowing_cuts_long_texts_in_linear_steps(spark):
+    """One long text takes about as long as its characters in many texts; cut from its start for each segment it takes several times that."""
+    text = prose(2000, random.Random(1))
+    took = []
+    for copies, rows in ((1, 300), (300, 1)):
+        df = spark.range(rows).coalesce(1).selectExpr(f"repeat('{text} ', {copies}) AS text", "id").selectExpr("text", "id", f"size({winnowing.segments('text')}) AS n")
+        for _ in range(2):  # the first run compiles
+            began = time.time()
+            assert df.agg(F.sum("n")).collect()[0][0] > 0
+            last = time.time() - began
+        took.append(last)
+    assert took[1] < 2 * took[0], took
+
+
+def test_winnowing_of_texts_joined_at_any_length(spark):
+    rnd = random.Random(2)
+    rows = [(prose(120, rnd)[:a], prose(120, rnd), keep, taken) for a in (500, 700) for keep in (100, 143, 144, 145, 300, 431) for taken in (0, 143, 144, 145, 290, 431, 500)]
+    df = spark.createDataFrame(rows, "a string, b string, keep int, taken int").selectExpr("*", "concat(substring(a, 1, keep), substring(b, 1, taken)) AS joined")
+    marked = df.selectExpr("*", f"{winnowing.winnow('a')} AS first", f"{winnowing.winnow('b')} AS second")
+    for r in marked.selectExpr("joined", f"{winnowing.winnow_joined('joined', 'keep', 'taken', 'first', 'second')} AS marks").collect():
+        assert [(m["p"], m["h"]) for m in r["marks"]] == brute_marks(r["joined"])
+
+
 def test_language(docs, none, spark):
     rows = [(i, (" ".join(RND.choice(("der", "und", "nicht", "schaft")) for _ in range(40)) if i % 2 else " ".join(RND.choice(("the", "and", "ing", "tion")) for _ in range(40))), "de" if i % 2 else "en") for i in range(200)]
     model = language.fit_dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
