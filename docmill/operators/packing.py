@@ -29,6 +29,11 @@ def pack(blocks: DataFrame, opens: Callable[[Column, Column], Column], closes: C
     rows = kept_blocks(blocks, F.struct("block_idx", F.length("text").alias("n"), *[c.alias(k) for k, c in flags.items()]))
     if least:
         rows = rows.where(F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x["n"]) >= least)
+    return rows.select("doc_id", F.posexplode(groups(F.col("b"), opens, closes, gap)).alias("chunk", "c")).select("doc_id", F.col("chunk").cast("long"), F.col("c.first").alias("first_block"), F.col("c.blocks").cast("long").alias("blocks"), F.col("c.n").cast("long").alias("char_count"))
+
+
+def groups(blocks: Column, opens: Callable[[Column, Column], Column], closes: Callable[[Column, Column], Column], gap: int = 2) -> Column:
+    """The groups of a document's kept blocks, an array in order: one fold."""
     none = F.lit(None).cast(GROUP)
 
     def step(a, x):
@@ -38,8 +43,7 @@ def pack(blocks: DataFrame, opens: Callable[[Column, Column], Column], closes: C
         ends = closes(group, x)
         return F.struct(F.when(ends, F.array_append(done, group)).otherwise(done).alias("done"), F.when(ends, none).otherwise(group).alias("open"))
 
-    groups = F.aggregate("b", F.struct(F.array().cast(f"array<{GROUP}>").alias("done"), none.alias("open")), step, lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.array_append(a["done"], a["open"])))
-    return rows.select("doc_id", F.posexplode(groups).alias("chunk", "c")).select("doc_id", F.col("chunk").cast("long"), F.col("c.first").alias("first_block"), F.col("c.blocks").cast("long").alias("blocks"), F.col("c.n").cast("long").alias("char_count"))
+    return F.aggregate(blocks, F.struct(F.array().cast(f"array<{GROUP}>").alias("done"), none.alias("open")), step, lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.array_append(a["done"], a["open"])))
 
 
 def chunk_markdown(blocks: DataFrame) -> DataFrame:
