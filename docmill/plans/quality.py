@@ -16,8 +16,7 @@ TYPES = ["pdf_like", "markdown_note", "generic_block", "other"]
 
 
 def _measured(spark, sf):
-    b = base._classified(spark, sf)
-    return Q.measures(b, B.chunk_generic(b))
+    return Q.measures(base._classified(spark, sf))
 
 
 def _findings(spark, sf):
@@ -45,19 +44,14 @@ def quality_loop(spark, sf):
 
 def detail_retention(spark, sf):
     """Blocks that hold each kind of detail, by what became of them."""
-    b = base._classified(spark, sf).select("status", F.explode(Q.detail_categories(F.col("text"), F.col("type"))).alias("category"))
+    each, t = T.read(base._classified(spark, sf), "text")
+    b = each.select("status", F.explode(Q.detail_categories(t, F.col("type"))).alias("category"))
     return b.groupBy("category").agg(F.count("*").alias("blocks"), *[F.count_if(F.col("status") == s).alias(n) for s, n in (("keep", "kept"), ("evidence", "evidence"), ("review", "review"), ("discard", "discarded"))])
 
 
-def _rendered(spark, sf):
-    """Kept blocks as one text, every 17th left out, so that the check has something to find."""
-    some = base._classified(spark, sf).withColumn("status", F.when(F.col("block_idx") % 17 == 3, "lost").otherwise(F.col("status")))
-    return B.kept_blocks(some, F.struct("block_idx", "text")).select("doc_id", F.array_join(F.transform("b", lambda x: x["text"]), "\n\n").alias("body"))
-
-
 def output_retention(spark, sf):
-    """Code, tables and parameters of kept blocks that a rendered text lacks."""
-    return Q.output_retention(base._classified(spark, sf), _rendered(spark, sf))
+    """Code, tables and parameters of kept blocks that a rendered text lacks; every 17th block is left out of it, so that the check has something to find."""
+    return Q.output_retention(base._classified(spark, sf), F.col("block_idx") % 17 != 3)
 
 
 def missing_headings(spark, sf):
