@@ -41,9 +41,12 @@ def _cleaned(spark, sf):
     return C.apply_rules(before(spark, sf), RULES)
 
 
+def _judged(spark, sf):
+    return C.judged(before(spark, sf), RULES, ACTIVE)
+
+
 def _gated(spark, sf):
-    was, now = before(spark, sf), _cleaned(spark, sf)
-    return C.gate_patches(C.build_patches(was, now), was, now, ACTIVE)
+    return _judged(spark, sf).where("change_type IS NOT NULL")
 
 
 def _shown(blocks):
@@ -57,14 +60,13 @@ def clean_rules(spark, sf):
 
 def clean_rules_scoped(spark, sf):
     """The same where only some nodes are asked for: what changes, by document."""
-    was = before(spark, sf)
-    now = C.apply_rules(was, RULES, ["n_000004", "n_000012", "n_000016"])
-    return C.build_patches(was, now).groupBy("doc_id").agg(F.count("*").alias("patches"))
+    now = C.judged(before(spark, sf), RULES, ACTIVE, target_nodes=["n_000004", "n_000012", "n_000016"])
+    return now.where("change_type IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("patches"))
 
 
 def clean_patches(spark, sf):
     """What cleaning changes, block by block, without texts."""
-    return C.build_patches(before(spark, sf), _cleaned(spark, sf)).select("doc_id", "block_id", "parent_block_id", "change_type", "rule_id", "text_changed", F.col("before.status").alias("before_status"), F.col("after.status").alias("after_status"))
+    return _gated(spark, sf).select("doc_id", "block_id", "parent_block_id", "change_type", "rule_id", "text_changed", F.col("before.status").alias("before_status"), F.col("after.status").alias("after_status"))
 
 
 def clean_gate(spark, sf):
@@ -80,7 +82,7 @@ def patch_summary(spark, sf):
 
 def restored_blocks(spark, sf):
     """Blocks after the gate: rejected changes undone."""
-    return _shown(C.restore(_cleaned(spark, sf), before(spark, sf), _gated(spark, sf)))
+    return _shown(C.restored(_judged(spark, sf)))
 
 
 def policy_hash(spark, sf):
