@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.functions import text as T
 from docmill.operators.quality import detail_categories
 
 # Least feedback by scope, and how wide a scope reaches.
@@ -150,7 +151,8 @@ def applied(blocks: DataFrame, operations: DataFrame) -> DataFrame:
 
     Blocks that hold details, are protected or of a type to be kept are not discarded.
     """
-    held = blocks.withColumn("details", F.size(detail_categories(F.col("text"), F.col("type"))) > 0)
+    each, t = T.read(blocks, "text")
+    held = each.withColumn("details", F.size(detail_categories(t, F.col("type"))) > 0)
     met = operations.join(held, ["doc_id", "block_id"], "left")
     fault = F.when(F.col("type").isNull(), "block not found").when(F.col("value") == "discard", F.when(F.col("details"), "cannot discard detail-bearing block").when(F.col("type").isin("code", "table", "image", "formula"), "cannot discard protected type").when(F.col("protected"), "cannot discard protected block"))
     told = met.withColumn("fault", fault)

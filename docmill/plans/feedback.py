@@ -134,8 +134,9 @@ def review_operations(spark, sf):
 def apply_review(spark, sf):
     """Blocks after review: every fifth block is to be discarded, every seventh to be reviewed, some that are not there too."""
     b = base._classified(spark, sf).withColumn("block_id", F.format_string("b_%06d", "block_idx")).select("doc_id", "block_id", "block_idx", "type", "text", "protected")
-    ops = b.where("block_idx % 5 = 0").select("doc_id", F.lit(0).alias("seq"), "block_id", F.lit("discard").alias("value")).unionByName(b.where("block_idx % 7 = 0").select("doc_id", F.lit(1).alias("seq"), "block_id", F.lit("review").alias("value"))).unionByName(
-        b.where("block_idx = 0").select("doc_id", F.lit(2).alias("seq"), F.lit("b_none").alias("block_id"), F.lit("keep").alias("value")))
+    op = lambda where, seq, value, block_id="block_id": F.when(F.expr(where), F.struct(F.lit(seq).alias("seq"), F.expr(block_id).alias("block_id"), F.lit(value).alias("value")))
+    said = F.array_compact(F.array(op("block_idx % 5 = 0", 0, "discard"), op("block_idx % 7 = 0", 1, "review"), op("block_idx = 0", 2, "keep", "'b_none'")))
+    ops = b.select("doc_id", F.inline(said))
     return K.applied(b.drop("block_idx"), ops)
 
 

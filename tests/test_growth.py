@@ -34,14 +34,12 @@ def test_ruled_out_texts_match_nothing(spark):
 
 
 def test_wide_characters_are_all_that_patterns_hold(spark):
-    from docmill.plans import cleaning
-
-    said = "".join([*T.CTA, *T.TUTORIAL, *T.KNOWLEDGE, *T.BUSINESS, *T.WRAPPER_HEADING, *T.WRAPPER_LINE, *[r.pattern for r in cleaning.RULES], *S.DETAILS.values(), *S.IMAGE_QR, *S.MOJIBAKE_TOKENS, S.MOJIBAKE_SEQUENCE])
+    terms = [*T.CTA, *T.TUTORIAL, *T.KNOWLEDGE, *T.BUSINESS, *T.WRAPPER_HEADING, *T.BACK_MATTER, *S.MOJIBAKE_TOKENS, *"".join(re.findall(r"\[(.*?)\]", S.MOJIBAKE_SEQUENCE + S.MOJIBAKE_CHARACTER))]
     every = spark.createDataFrame([(i, chr(i)) for i in range(128, 0x20000) if not 0xD800 <= i < 0xE000], "id int, c string")
     got = every.select("id", T.is_wide(F.col("c")).alias("wide"), F.rlike("c", F.lit("(?iuU)[a-z]")).alias("latin"), T.is_unusual(F.col("c")).alias("unusual"), F.rlike("c", F.lit(f"{T.GARBLED}|{T.ABNORMAL.removesuffix('{2,}')}")).alias("counts"))
     assert got.where("latin AND NOT wide OR counts AND NOT unusual").count() == 0
     wide = {r["id"] for r in got.where("wide").collect()}
-    assert not [x for x in set(said) if ord(x) > 127 and ord(x) not in wide]
+    assert not [x for x in terms if not x.isascii() and not any(ord(c) in wide for c in x)]
 
 
 @pytest.mark.parametrize("name", ["clean_gate", "patch_summary", "restored_blocks", "clean_patches", "clean_rules", "qa_findings", "qa_gates", "quality_loop", "envelopes", "quality_gates", "output_retention"])
@@ -53,3 +51,18 @@ def test_blocks_are_made_once(spark, name):
 def test_tables_in_one_order(spark):
     plan = B.line_kinds(spark.createDataFrame([(1, 0, "| a |")], "doc_id long, line_no int, line string"))._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Sort \[", plan)) == 1
+
+
+def test_review_reads_blocks_twice(spark):
+    plan = all_queries()["apply_review"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation .*parquet", plan)) <= 2
+
+
+def test_measures_of_a_text_that_was_read(spark):
+    from docmill.operators import diagnosis as G
+
+    df, t = T.read(spark.createDataFrame([(x,) for x in [*TEXTS, "鐩綍 and 姗欑毊 text", "��� all in", "x\x07y", "A时代"]], "text string"), "text")
+    fast, plain = G.text_measures(t), G.text_measures(F.col("text"))
+    garbled = F.greatest(T.count(F.col("text"), T.GARBLED), (F.length("text") - F.length(F.regexp_replace("text", T.ABNORMAL, ""))).cast("long"))
+    for r in df.select("text", F.struct(*[c.alias(k) for k, c in fast.items()]).alias("a"), F.struct(*[c.alias(k) for k, c in plain.items()]).alias("b"), garbled.alias("g")).collect():
+        assert r["a"] == r["b"] and r["a"]["garbled_chars"] == r["g"], r["text"]
