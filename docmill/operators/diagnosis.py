@@ -21,19 +21,27 @@ def _length(text: Column, pattern: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
 
 
-def text_measures(text: Column) -> dict[str, Column]:
-    """Counts and shares that tell readable text from damaged text; shares are not rounded."""
+def text_measures(text: Column | T.Read) -> dict[str, Column]:
+    """Counts and shares that tell readable text from damaged text; shares are not rounded.
+
+    Of a text that was read once, what only wide or unusual characters can make is counted in texts that hold such.
+    """
+    t, text = text, text.text if isinstance(text, T.Read) else text
+    here = lambda found, c: F.when(found, c).otherwise(F.when(text.isNotNull(), F.lit(0).cast("long")))
+    wide = t.wide if isinstance(t, T.Read) else T.is_wide(text)
     n = F.length(text)
     share = lambda c: F.when(n > 0, c / n).otherwise(F.lit(0.0))
     garbled = T.garbled_count(text)
-    rare = T.count(text, r"[\p{C}&&[^\x{0}-\x{7f}]]|\x{fffd}")
-    mojibake = F.greatest(_length(text, S.MOJIBAKE_SEQUENCE), T.count(text, S.MOJIBAKE_CHARACTER), _length(text, "|".join(S.MOJIBAKE_TOKENS)))
-    replaced, said = T.count(text, "�"), T.count(text, T.CJK) + T.count(text, "[a-zA-Z0-9]")
-    lost = F.when(share(said) < 0.20, share(replaced)).otherwise(F.lit(0.0))
+    rare = here(T.is_unusual(text), T.count(text, r"[\p{C}&&[^\x{0}-\x{7f}]]|\x{fffd}"))
+    mojibake = here(wide, F.greatest(_length(text, S.MOJIBAKE_SEQUENCE), T.count(text, S.MOJIBAKE_CHARACTER), _length(text, "|".join(S.MOJIBAKE_TOKENS))))
+    replaced = F.when(F.contains(text, F.lit("\ufffd")), T.count(text, "\ufffd")).otherwise(F.when(text.isNotNull(), F.lit(0).cast("long")))
+    said = T.count(text, T.CJK) + T.count(text, "[a-zA-Z0-9]")
+    lost = F.when((replaced > 0) & (share(said) < 0.20), share(replaced)).otherwise(F.lit(0.0))
+    confused = F.when(F.contains(text, F.lit("Al")) | F.contains(text, F.lit("A时代")), T.count(text, f"(?U){S.OCR_CONFUSION}")).otherwise(F.when(text.isNotNull(), F.lit(0).cast("long")))
     return {
         "garbled_chars": garbled, "mojibake_chars": mojibake, "garbled_ratio": share(garbled), "non_common_unicode_ratio": share(rare), "replacement_char_ratio": share(replaced), "mojibake_ratio": share(mojibake),
-        "unreadable_text_ratio": F.greatest(share(garbled), share(rare), share(mojibake), lost), "ocr_confusions": T.count(text, f"(?U){S.OCR_CONFUSION}"),
-        "has_qr_text": T.matches(text, "|".join([*S.QR_MARKERS, *S.IMAGE_QR])), "has_cta_text": T.contains_any(text, T.CTA) | T.matches(text, "|".join(f"(?:{p})" for _, p in T.PROMO)),
+        "unreadable_text_ratio": F.greatest(share(garbled), share(rare), share(mojibake), lost), "ocr_confusions": confused,
+        "has_qr_text": T.matches(t, "|".join([*S.QR_MARKERS, *S.IMAGE_QR])), "has_cta_text": T.contains_any(t, T.CTA) | T.matches(t, "|".join(f"(?:{p})" for _, p in T.PROMO)),
     }
 
 

@@ -31,7 +31,8 @@ SOURCES, FORMATS = ["", "pdf_like", "subtitle_transcript", ""], ["", "html", "eb
 
 def text_measures(spark, sf):
     """Damage and packaging signals of raw texts."""
-    return _texts(spark, sf).select("doc_id", *[c.alias(k) for k, c in G.text_measures(F.col("text")).items()])
+    each, t = T.read(_texts(spark, sf), "text")
+    return each.select("doc_id", *[c.alias(k) for k, c in G.text_measures(t).items()])
 
 
 def text_profile(spark, sf):
